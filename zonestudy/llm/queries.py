@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonestudy.llm import chat, sharding, url_filter
+from zonestudy.llm import bitpack, chat, decontaminate, sharding, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +47,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_toxicity,
+        op5_benchmark_decontamination,
+        op6_token_id_output,
         op7_sharding,
         op8_chat_formatting,
         op10_url_filters,
