@@ -11,19 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import slices
-from zonestudy.llm.words import PUNCTUATION, tokenize
+from zonestudy.llm.words import PUNCTUATION, Words, tokenize
 
 #: Bytes after which a sentence ends: . ! ? and the line feed.
 ENDS = np.zeros(256, dtype=bool)
 ENDS[[10, 33, 46, 63]] = True
 
 
+#: Lengths in bytes of the word beginnings that count as features, beside whole words.
+PREFIXES = (4, 5, 6, 7, 8)
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
+
+
 @dataclass
 class ToxicModel:
-    """``words``: hashes in ascending order, and their ``weights``; ``bias``: log odds of a sentence without any of them; ``leak``:
-    the chance that a document is labelled for reasons its words don't show."""
+    """``features``: hashes in ascending order, and their ``weights``; ``bias``: log odds of a sentence without any of them;
+    ``leak``: the chance that a document is labelled for reasons its words don't show."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     leak: float
@@ -47,14 +52,33 @@ def log_not(z: np.ndarray | float) -> np.ndarray:
     return -np.logaddexp(0.0, z)
 
 
+def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature hashes and the words that have them: whole words, then beginnings of each length."""
+    yield w.hash ^ _WHOLE, np.arange(len(w.hash))
+    for n in PREFIXES:
+        yield w.prefix(n)
+
+
+def known(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that have a feature of the ascending ``vocabulary``, and which; a word can have several."""
+    present = np.zeros(1 << 16, dtype=bool)
+    present[vocabulary >> np.uint64(48)] = True
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for hashes, at in features(w):
+        maybe = np.flatnonzero(present[hashes >> np.uint64(48)])
+        if len(maybe):
+            place = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
+            sure = vocabulary[place] == hashes[maybe]
+            found.append((at[maybe[sure]], place[sure]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def score_texts(texts: pa.Array, model: ToxicModel, spans: bool = False) -> tuple[np.ndarray, np.ndarray, dict[int, list]]:
     """The scores and sentence counts of whole texts and, if asked for, the sentences that are likelier toxic than not."""
     w, sentence, row, start, end = sentences(texts)
     z = np.full(len(row), model.bias)
-    if len(model.words) and len(w.hash):
-        at = np.minimum(np.searchsorted(model.words, w.hash), len(model.words) - 1)
-        known = np.flatnonzero(model.words[at] == w.hash)
-        np.add.at(z, sentence[known], model.weights[at[known]])
+    word, place = known(w, model.features)
+    np.add.at(z, sentence[word], model.weights[place])
     clean = np.full(len(texts), np.log1p(-model.leak))
     np.add.at(clean, row, log_not(z))
     found: dict[int, list] = {}
@@ -63,56 +87,72 @@ def score_texts(texts: pa.Array, model: ToxicModel, spans: bool = False) -> tupl
     return -np.expm1(clean), np.bincount(row, minlength=len(texts)), found
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, min_docs: int = 5, max_words: int = 1000, steps: int = 400) -> ToxicModel:
+def choose(texts: list[str], labels: np.ndarray, min_docs: int, share: float, max_features: int) -> np.ndarray:
+    """Features of toxic documents that clean ones hardly have, in ascending order.
+
+    Near copies count once: support is the number of distinct smallest word hashes among the documents with a feature.
+    A feature needs support by ``min_docs`` and by ``share`` of the toxic documents, and 20 times that of clean ones."""
+    seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    owners: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    held = np.zeros(0, dtype=np.uint64)
+    for label in (1, 0):
+        for i in np.flatnonzero(labels == label):
+            w = tokenize(pa.array([texts[i]], pa.string()), PUNCTUATION)
+            own = np.unique(np.concatenate([h for h, _ in features(w)]))
+            if not label:
+                place = np.minimum(np.searchsorted(held, own), max(len(held) - 1, 0))
+                own = own[held[place] == own] if len(held) else own[:0]
+            seen[label].append(own)
+            owners[label].append(np.full(len(own), w.hash.min() if len(w.hash) else 0, dtype=np.uint64))
+        hashes, owner = np.concatenate([*seen[label], held[:0]]), np.concatenate([*owners[label], held[:0]])
+        pairs = np.unique(np.stack([hashes, owner]), axis=1)[0] if len(hashes) else hashes
+        if label:
+            all_toxic = len(np.unique(owner))
+            held, support = np.unique(pairs, return_counts=True)
+            enough = support >= max(min_docs, share * all_toxic)
+            held, support = held[enough], support[enough]
+        else:
+            values, counts = np.unique(pairs, return_counts=True)
+            clean = np.zeros(len(held), dtype=np.int64)
+            clean[np.searchsorted(held, values)] = counts
+            good = np.flatnonzero(support >= 20 * clean)
+            good = good[np.argsort(-support[good], kind="stable")[:max_features]]
+            return held[np.sort(good)]
+    raise AssertionError
+
+
+def fit(texts: list[str], labels: np.ndarray, min_docs: int = 4, share: float = 0.01, max_features: int = 1000, steps: int = 300) -> ToxicModel:
     """A noisy-or over sentences with a leak, by gradient steps on the documents' log loss.
 
-    ``docs``: word hashes and sentence numbers of each document. Words found in ``min_docs`` documents compete; the ``max_words``
-    with the largest association with either label get weights. Weights are drawn to 0 and the bias to a low value,
-    so that many sentences alone don't make a long document toxic."""
-    empty = ToxicModel(np.zeros(0, dtype=np.uint64), np.zeros(0), -9.0, 0.01)
-    if not len(docs) or labels.min() == labels.max():
-        return empty
-    pairs = [np.unique(h) for h, _ in docs]
-    words, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-    owner = np.repeat(np.arange(len(docs)), [len(p) for p in pairs])
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    with_word = np.bincount(inverse, minlength=len(words))
-    toxic = np.bincount(inverse, weights=labels[owner], minlength=len(words))
-    gap = (toxic / n1 - (with_word - toxic) / n0) / np.sqrt(with_word / len(docs) * (1 - with_word / len(docs)) + 1e-9)
-    gap[with_word < min_docs] = 0
-    chosen = np.sort(np.argsort(-np.abs(gap), kind="stable")[:max_words])
-    chosen = chosen[gap[chosen] != 0]
-    if not len(chosen):
-        return empty
-    words = words[chosen]
+    Weights start at 0 and are drawn there, and the bias to a low value, so that many sentences alone don't make a long
+    document toxic. Without documents of both labels, or without features, the model tells nothing."""
+    vocabulary = choose(texts, labels, min_docs, share, max_features) if len(texts) and labels.min() != labels.max() else np.zeros(0, dtype=np.uint64)
+    if not len(vocabulary):
+        return ToxicModel(vocabulary, np.zeros(0), -12.0, 0.01)
     rows, columns, doc_of, at = [], [], [], 0
-    for i, (h, s) in enumerate(docs):
-        n = int(s.max()) + 1 if len(s) else 0
-        place = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        known = np.flatnonzero(words[place] == h)
-        rows.append(s[known] + at)
-        columns.append(place[known])
-        doc_of.append(np.full(n, i))
-        at += n
+    for i, text in enumerate(texts):
+        w, sentence, row, _, _ = sentences(pa.array([text], pa.string()))
+        word, place = known(w, vocabulary)
+        rows.append(sentence[word] + at)
+        columns.append(place)
+        doc_of.append(np.full(len(row), i))
+        at += len(row)
     rows, columns, doc_of = (np.concatenate(x).astype(np.int64) for x in (rows, columns, doc_of))
-    weights, bias, leak = np.zeros(len(words)), -6.0, float(np.log(0.02 / 0.98))
-    state = [np.zeros(len(words) + 2), np.zeros(len(words) + 2)]
-    theta = np.concatenate([weights, [bias, leak]])
+    theta = np.concatenate([np.zeros(len(vocabulary)), [-12.0, -4.0]])
+    mean, square = np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, steps + 1):
         weights, bias, leak = theta[:-2], theta[-2], theta[-1]
         z = bias + np.bincount(rows, weights=weights[columns], minlength=len(doc_of))
-        clean = np.bincount(doc_of, weights=log_not(z), minlength=len(docs)) + log_not(leak)
-        toxic = np.maximum(-np.expm1(clean), 1e-12)
-        down = np.where(labels == 1, np.exp(clean) / toxic, -1.0)  # of the log likelihood by -clean
+        clean = np.bincount(doc_of, weights=log_not(z), minlength=len(texts)) + log_not(leak)
+        down = np.where(labels == 1, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-12), -1.0)  # of the log likelihood by -clean
         dz = down[doc_of] / (1 + np.exp(-z))
-        slope = np.concatenate([np.bincount(columns, weights=dz[rows], minlength=len(words)), [dz.sum(), (down / (1 + np.exp(-leak))).sum()]])
-        slope[:-2] -= 0.15 * weights
-        slope[-2] -= 20.0 * (bias + 9.0)
-        state[0] = 0.9 * state[0] + 0.1 * slope
-        state[1] = 0.999 * state[1] + 0.001 * slope**2
-        theta = theta + 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
-        theta[-2], theta[-1] = min(theta[-2], -7.0), np.clip(theta[-1], -9.0, -2.0)
-    return ToxicModel(words, theta[:-2], float(theta[-2]), float(1 / (1 + np.exp(-theta[-1]))))
+        slope = np.concatenate([np.bincount(columns, weights=dz[rows], minlength=len(vocabulary)), [dz.sum(), (down / (1 + np.exp(-leak))).sum()]])
+        slope[:-2] -= 0.002 * weights
+        slope[-2] -= 20.0 * (bias + 12.0)
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        theta = theta + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
+        theta[-2], theta[-1] = min(theta[-2], -11.0), np.clip(theta[-1], -9.0, -2.0)
+    return ToxicModel(vocabulary, theta[:-2], float(theta[-2]), float(1 / (1 + np.exp(-theta[-1]))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,8 +163,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000) -> ToxicModel:
     """Fits a model on the whole texts of at most ``max_docs`` labelled documents that aren't held out.
 
-    The labelled ids with the smallest hashes are taken, so the same input gives the same model; their sentences are
-    found where the texts are, and the bounded sample of word hashes meets in one task. A document with several labels
+    The labelled ids with the smallest hashes are taken, so the same input gives the same model. Only that bounded sample of
+    texts meets in one task. A document with several labels
     is toxic if any says so; null labels and ids are left out; of equal texts one is used. Without both labels the model knows no words."""
     order = F.xxhash64(F.lit("toxic"), "doc_id")
     sample = (
@@ -136,33 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000) -> ToxicMo
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("text").alias("key"), "label", "text")
 
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            w, sentence, row, _, _ = sentences(batch.column("text"))
-            cut = np.concatenate([[0], np.cumsum(w.counts())])
-            hashes, numbers = [], []
-            for a, b in zip(cut, cut[1:], strict=False):
-                hashes.append(w.hash[a:b].tobytes())
-                numbers.append((sentence[a:b] - (sentence[a] if b > a else 0)).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(hashes, pa.binary()), pa.array(numbers, pa.binary())], names=["key", "label", "words", "sentences"])
-
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((x for b in batches for x in b.to_pylist()), key=lambda x: (x["key"], -x["label"]))
         rows = [x for i, x in enumerate(rows) if not i or x["key"] != rows[i - 1]["key"]]
-        docs = [(np.frombuffer(x["words"], dtype=np.uint64), np.frombuffer(x["sentences"], dtype=np.int32)) for x in rows]
-        m = fit(docs, np.array([min(x["label"], 1) for x in rows], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([m.words.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.leak])], names=["words", "weights", "bias", "leak"])
+        m = fit([x["text"] or "" for x in rows], np.array([min(x["label"], 1) for x in rows], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([m.features.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.leak])], names=["features", "weights", "bias", "leak"])
 
-    model = (
-        rows.mapInArrow(words, "key long, label int, words binary, sentences binary")
-        .orderBy("key", "label")
-        .limit(max_docs)
-        .coalesce(1)
-        .mapInArrow(fitted, "words binary, weights binary, bias double, leak double")
-        .collect()
-    )
-    m = model[0]  # at most 1,000 words
-    return ToxicModel(np.frombuffer(m.words, dtype=np.uint64), np.frombuffer(m.weights), m.bias, m.leak)
+    bounded = rows.orderBy("key", "label").limit(max_docs).coalesce(1)
+    models = bounded.mapInArrow(fitted, "features binary, weights binary, bias double, leak double").collect()
+    m = models[0]  # at most 1,000 features
+    return ToxicModel(np.frombuffer(m.features, dtype=np.uint64), np.frombuffer(m.weights), m.bias, m.leak)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:

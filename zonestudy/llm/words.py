@@ -30,6 +30,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _scale(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for ``n`` bytes at least."""
+    return _powers(1 << max(16, n.bit_length()))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
@@ -47,6 +52,13 @@ class Words:
     hash: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    total: np.ndarray
+
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words that have as many, and which words those are."""
+        at = np.flatnonzero(self.end - self.start >= n)
+        start = self.start[at]
+        return mix((self.total[start + n] - self.total[start]) * _scale(len(self.data))[1][start]), at
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=len(self.offsets) - 1)
@@ -73,7 +85,7 @@ def tokenize(values: pa.Array, separators: np.ndarray) -> Words:
     raw, offsets = text_bytes(values)
     empty = np.zeros(0, dtype=np.int64)
     if not len(raw):
-        return Words(empty, empty, empty, empty.astype(np.uint64), raw, offsets)
+        return Words(empty, empty, empty, empty.astype(np.uint64), raw, offsets, np.zeros(1, dtype=np.uint64))
     data = LOWER[raw]
     inside = ~separators[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
@@ -82,12 +94,12 @@ def tokenize(values: pa.Array, separators: np.ndarray) -> Words:
     edges = offsets[(offsets > 0) & (offsets < len(raw))]
     before[edges], after[edges - 1] = False, False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    up, down = _scale(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     value = mix((total[end] - total[start]) * down[start])
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(doc, start, end, value, data, offsets)
+    return Words(doc, start, end, value, data, offsets, total)
 
 
 def hash_words(text: str, separators: np.ndarray) -> np.ndarray:
