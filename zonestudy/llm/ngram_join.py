@@ -269,9 +269,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose document is the one with the smallest doc_id of its component."""
-    kept = join_documents(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id.
+
+    Rows with one doc_id are one document: they stay or go together. The ids that go are broadcast while they are at most a
+    million; more of them are joined by a shuffle."""
+    gone = written(join_documents(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= 1 << 20
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
