@@ -1,71 +1,46 @@
-"""Exponential moving averages over long ordered columns, in chunks that many tasks share."""
+"""Exponential moving averages over long ordered columns, with windows that span short chunks only."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _local(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y[t] = (1 - alpha) y[t-1] + alpha x[t] from y[-1] = 0, in blocks short enough that powers don't vanish."""
-    out, carry, keep = np.empty(len(x)), 0.0, 1.0 - alpha
-    size = max(1, min(len(x), int(30 / -np.log(keep)) if 0 < keep < 1 else 1))
-    powers = keep ** np.arange(1, size + 1)
-    for at in range(0, len(x), size):
-        part = x[at : at + size]
-        p = powers[: len(part)]
-        out[at : at + size] = p * (np.cumsum(alpha * part / p) + carry)
-        carry = out[at + len(part) - 1]
-    return out
+#: A chunk is this many mean lifetimes long: powers within it stay near 1, and those of a few chunks vanish.
+LIFETIMES = 3
 
 
 def exponential_means(bars: DataFrame, means: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """``bars`` with a column for each of ``means``: name -> (column, alpha), the recurrence y = (1 - alpha) y + alpha x over each
-    symbol's bars in order of ts, from y = x at the first bar. Null inputs count as missing: y stays.
-
-    Each (symbol, month) is worked out on its own as if it followed a zero; what the months before add is a power of
-    (1 - alpha) times their last value, found from one row for each month. So a long symbol is spread over its months."""
-    month = F.date_trunc("month", "ts")
-    inputs = {c for c, _ in means.values()}
-    chunked = bars.withColumn("_month", month)
-    added = ", ".join([f"_{n}_local double, _{n}_n long" for n in means])
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        for name, (column, alpha) in means.items():
-            x = pdf[column].to_numpy(dtype=float)
-            there = ~np.isnan(x)
-            y = np.full(len(x), np.nan)
-            y[there] = _local(x[there], alpha)
-            pdf[f"_{name}_local"] = pd.Series(y, index=pdf.index).ffill().fillna(0.0)
-            pdf[f"_{name}_n"] = np.cumsum(there)
-        return pdf
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema.fields)
-    scanned = chunked.groupBy("symbol", "_month").applyInPandas(local, f"{types}, {added}")
-    last = [F.max_by(f"_{n}_{k}", "ts").alias(f"_{n}_{k}") for n in means for k in ("local", "n")]
-    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"_first_{c}") for c in inputs]
-    months = scanned.groupBy("symbol", "_month").agg(*last, *first)
-
-    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_month")
-        out = pdf[["symbol", "_month"]].copy()
-        for name, (column, alpha) in means.items():
-            carry, values = np.nan, []
-            for x0, n, y in zip(pdf[f"_first_{column}"], pdf[f"_{name}_n"], pdf[f"_{name}_local"], strict=True):
-                carry = x0 if np.isnan(carry) else carry
-                values.append(carry)
-                carry = carry if np.isnan(carry) else y + (1 - alpha) ** int(n) * carry
-            out[f"_{name}_carry"] = values
-        return out
-
-    carries = months.groupBy("symbol").applyInPandas(carried, "symbol string, _month timestamp, " + ", ".join(f"_{n}_carry double" for n in means))
-    out = scanned.join(carries, ["symbol", "_month"])
+    """``bars`` (with bar_seq) with a column for each of ``means``: name -> (column, alpha), the recurrence y = (1 - alpha) y + alpha x over
+    each symbol's bars in their order, from y = x at the first bar. Inputs must not be null.
+
+    Bars are cut in chunks by place. Within a chunk y is a running sum with weights that are powers of (1 - alpha). What
+    the chunks before add is their last values times powers of the chunk's decay, of which so many are summed that the rest is
+    below double precision. So nothing but one row for each chunk is ordered over a whole symbol, and all of it is JVM code."""
+    largest = max(a for _, a in means.values())
+    size = max(1, round(LIFETIMES / largest))
+    chunked = bars.withColumns({"_chunk": F.floor(F.col("bar_seq") / size).cast("long"), "_k": (F.col("bar_seq") % size).cast("double")})
+    within = Window.partitionBy("symbol", "_chunk").orderBy("bar_seq").rowsBetween(Window.unboundedPreceding, 0)
+    for name, (column, alpha) in means.items():
+        keep = 1.0 - alpha
+        summed = F.sum(F.col(column) * F.pow(F.lit(keep), -F.col("_k"))).over(within)
+        chunked = chunked.withColumn(f"_{name}", summed * F.pow(F.lit(keep), "_k") * F.lit(alpha))
+    lasts = chunked.groupBy("symbol", "_chunk").agg(
+        *[F.max_by(f"_{n}", "bar_seq").alias(f"_{n}_last") for n in means], *[F.min_by(c, "bar_seq").alias(f"_{n}_first") for n, (c, _) in means.items()]
+    )
+    order = Window.partitionBy("symbol").orderBy("_chunk")
+    carries = {}
+    for name, (_, alpha) in means.items():
+        decay = (1.0 - alpha) ** size
+        terms = 1 if decay <= 0 else math.ceil(42 / -math.log(decay))
+        before = [F.coalesce(F.lag(f"_{name}_last", m + 1).over(order), F.lit(0.0)) * F.lit(decay**m) for m in range(terms)]
+        seed = F.first(f"_{name}_first").over(order) * F.pow(F.lit(decay), F.col("_chunk").cast("double"))
+        carries[f"_{name}_carry"] = reduce(add, before) + seed
+    out = chunked.join(lasts.select("symbol", "_chunk", *[c.alias(n) for n, c in carries.items()]), ["symbol", "_chunk"])
     for name, (_, alpha) in means.items():
-        y = F.col(f"_{name}_local") + F.pow(F.lit(1 - alpha), F.col(f"_{name}_n")) * F.col(f"_{name}_carry")
-        out = out.withColumn(name, F.when(F.isnan(y), None).otherwise(y))
+        out = out.withColumn(name, F.col(f"_{name}") + F.pow(F.lit(1.0 - alpha), F.col("_k") + 1) * F.col(f"_{name}_carry"))
     return out.select(*bars.columns, *means)

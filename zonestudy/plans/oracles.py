@@ -111,7 +111,7 @@ def _zones(body: str, age: int, also: str = "CAST(NULL AS DOUBLE) AS displacemen
 
 def _block(threshold: float, back: int, swing: bool, low: str, high: str) -> dict[str, str]:
     """Order blocks: rows of places are joined to those before them, where the plan uses windows."""
-    rule = " AND CASE WHEN move > 0 THEN high > top ELSE low < bottom END" if swing else ""
+    rule = " AND CASE WHEN move > 0 THEN m.high > top ELSE m.low < bottom END" if swing else ""
     return _zones(
         f"""SELECT m.symbol, m.ts AS known, c.ts AS source_ts, {low} AS zone_low, {high} AS zone_high, CASE WHEN move > 0 THEN 1 ELSE -1 END AS bias,
         ({high} - {low}) / size AS zone_height_atr, abs(move) / size AS d FROM (

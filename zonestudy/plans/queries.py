@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,7 @@ from zonestudy.operators import zones as Z
 from zonestudy.plans.scan import scan
 from zonestudy.plans.spec import Spec
 from zonestudy.sources import bars_csv, registry, tables
+from zonestudy.sources.scratch import kept, shared_folder
 
 BASE, DETECT, HIGHER = "5min", "15min", "4h"
 SPEC = Spec.from_dict({
@@ -62,7 +62,7 @@ def detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return X.build_features(detection(spark, d))
+    return kept(X.build_features(detection(spark, d)))
 
 
 def events(spark: SparkSession, d: str, spec: Spec = SPEC) -> DataFrame:
@@ -174,7 +174,7 @@ def z6_z7_detect_long(spark, d):
 
 
 def _gaps(spark, d) -> tuple[DataFrame, DataFrame]:
-    return Z.fvg(features(spark, d)), B.with_bar_seq(base(spark, d))
+    return kept(Z.fvg(features(spark, d))), kept(B.with_bar_seq(base(spark, d)))
 
 
 @query
@@ -254,7 +254,7 @@ def e1_e2_scan_next_open(spark, d):
 
 @query
 def e3_rescore(spark, d):
-    own = events(spark, d)
+    own = kept(events(spark, d))
     lenses = [E.rescore(own, m).groupBy("symbol").agg(F.lit(m).alias("lens"), F.count_if("win").alias("wins"), F.count("*").alias("n")) for m in ("fixed", "atr", "mfe")]
     return lenses[0].unionByName(lenses[1]).unionByName(lenses[2])
 
@@ -270,7 +270,7 @@ def _won(spark, d) -> DataFrame:
 
 @query
 def g1_g4_summary(spark, d):
-    s = G.summarise(_won(spark, d), 0.3, n_boot=500)
+    s = G.summarise(kept(_won(spark, d)), 0.3, n_boot=500)
     near = (F.col("mean_r_low") < F.col("mean_r")) & (F.col("mean_r") < F.col("mean_r_high"))  # the bounds are drawn
     return s.withColumn("mean_in_bounds", near).drop("mean_r_low", "mean_r_high")
 
@@ -313,42 +313,34 @@ def g10_split_bars(spark, d):
 
 @query
 def g11_compare_splits(spark, d):
-    parts = G.split_is_oos(_won(spark, d), "2024-01-03", SPLIT)
+    parts = G.split_is_oos(kept(_won(spark, d)), "2024-01-03", SPLIT)
     a, b = (G.summarise(parts.filter(F.col("part") == p), n_boot=10) for p in ("in_sample", "out_of_sample"))
     return G.compare_splits(a, b)
 
 
 @query
 def c1_drift_baseline(spark, d):
-    return C.drift_baseline(B.with_bar_seq(base(spark, d)), events(spark, d), SPEC.scoring, 500)
+    return C.drift_baseline(kept(B.with_bar_seq(base(spark, d))), kept(events(spark, d)), SPEC.scoring, 500)
 
 
 @query
 def c2_placebo_baseline(spark, d):
-    return C.placebo_baseline(B.with_bar_seq(base(spark, d)), events(spark, d), SPEC.scoring)
+    return C.placebo_baseline(kept(B.with_bar_seq(base(spark, d))), kept(events(spark, d)), SPEC.scoring)
 
 
 @query
 def g2_g12_baseline_table(spark, d):
-    own = _won(spark, d)
-    bars = B.with_bar_seq(base(spark, d))
+    own = kept(_won(spark, d))
+    bars = kept(B.with_bar_seq(base(spark, d)))
     total = lambda c: c.agg((F.sum("wins") / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
     controls = {"drift": total(C.drift_baseline(bars, own, SPEC.scoring, 500)), "placebo": total(C.placebo_baseline(bars, own, SPEC.scoring))}
     return G.baseline_table(G.summarise(own, n_boot=10), controls)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; one of the driver's own only where the session names none."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-zonestudy-")
-    return f"{root.rstrip('/')}/zonestudy/{uuid.uuid4().hex}"
-
-
 @query
 def s1_s5_csv_bars(spark, d):
     """The bars of one symbol, written as a European export in New York time and read again."""
-    out, own = _folder(spark), base(spark, d).filter("symbol = 'view'")
+    out, own = shared_folder(spark), base(spark, d).filter("symbol = 'view'")
     local = F.from_utc_timestamp("ts", X.EXCHANGE_TZ)
     comma = lambda c: F.replace(F.format_string("%.6f", c), F.lit("."), F.lit(",")).alias(c.capitalize())
     text = own.select(F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in ("open", "high", "low", "close", "volume")])
@@ -360,7 +352,7 @@ def s1_s5_csv_bars(spark, d):
 @query
 def s6_s7_symbol_folder(spark, d):
     """A folder of a file for each symbol's half, its symbols, and the bars of one."""
-    out, own = _folder(spark), base(spark, d)
+    out, own = shared_folder(spark), base(spark, d)
     for name in ("click", "error"):
         own.filter(F.col("symbol") == name).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "open", "high", "low", "close", "volume").coalesce(1).write.option("header", True).csv(f"{out}/{name}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(out).select("path").collect()
@@ -380,7 +372,7 @@ def s4_localize(spark, d):
 
 @query
 def s8_bars_parquet(spark, d):
-    out = _folder(spark)
+    out = shared_folder(spark)
     tables.write_bars_parquet(base(spark, d), out)
     return tables.read_bars_parquet(spark, out, ["click", "purchase"], (2024, 2024))
 
@@ -392,7 +384,7 @@ def s9_dataset_fingerprint(spark, d):
 
 @query
 def s10_events_parquet(spark, d):
-    out = _folder(spark)
+    out = shared_folder(spark)
     tables.write_events(events(spark, d), out, "one")
     return tables.read_events(spark, out, "one").select(*EVENT)
 
@@ -400,17 +392,11 @@ def s10_events_parquet(spark, d):
 @query
 def r1_r6_registry(spark, d):
     """Two studies and a look at a holdout, added and counted."""
-    r = registry.Registry(spark, _folder(spark))
-    own = E.rescore(tables_cached(spark, d), "fixed")
-    summary = G.summarise(own, n_boot=10)
+    r = registry.Registry(spark, shared_folder(spark))
+    own = kept(_won(spark, d))
+    summary = kept(G.summarise(own, n_boot=10))
     for name in ("a", "b"):
         r.append_study(Spec(**{**SPEC.__dict__, "name": name}), summary, own, "all", "", "2024-01-01", SPLIT)
     r.log_reveal(SPEC, summary)
     studies = r.list_studies().agg(F.count("*").alias("studies"), F.max("n").alias("n_events"), F.max("rate").alias("rate"))
     return studies.join(r.trial_counts()).join(r.reveal_count(SPEC.family()))
-
-
-def tables_cached(spark: SparkSession, d: str) -> DataFrame:
-    out = _folder(spark)
-    tables.write_events(events(spark, d), out, "kept")
-    return tables.read_events(spark, out, "kept")

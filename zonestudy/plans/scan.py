@@ -14,6 +14,7 @@ from zonestudy.operators.scoring import score_events, trade_levels
 from zonestudy.operators.touches import attach_bar_context, attach_htf_context, first_test, separate_tests, zone_hits
 from zonestudy.operators.zones import detect, filter_direction
 from zonestudy.plans.spec import Spec, validate
+from zonestudy.sources.scratch import kept
 
 EVENT_COLUMNS = [
     "symbol", "event_id", "ts", "formed_at", "zone_low", "zone_high", *FEATURES, "entry", "stop", "target", "risk_points", "outcome", "ambiguous",
@@ -44,13 +45,13 @@ class Scan:
 
 def scan(bars: DataFrame, spec: Spec, exchange_tz: str = EXCHANGE_TZ) -> Scan:
     """Runs a spec over base bars of any number of symbols: resample, features, zones, their tests, what was known then, filters, and
-    the trades' ends. Raises ValueError, before any job, for a spec that can't run."""
+    the trades' ends. What several steps read is written once to the shared folder. Raises ValueError, before any job, for a spec that can't run."""
     problems = validate(spec)
     if problems:
         raise ValueError("the spec can't run:\n" + "\n".join(problems))
-    bars = with_bar_seq(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"))
-    features = build_features(resample(bars, spec.timeframe), exchange_tz)
-    zones = filter_direction(detect(features, spec.zone.detector, spec.zone.resolved()), spec.direction)
+    bars = kept(with_bar_seq(bars.select("symbol", "ts", "open", "high", "low", "close", "volume")))
+    features = kept(build_features(resample(bars, spec.timeframe), exchange_tz))
+    zones = kept(filter_direction(detect(features, spec.zone.detector, spec.zone.resolved()), spec.direction))
     t = spec.trigger
     hits = zone_hits(zones, bars, t.type, spec.timeframe, t.min_bars_after_formation, not t.first_test_only)
     tests = first_test(hits, zones) if t.first_test_only else separate_tests(hits, zones)
@@ -60,7 +61,7 @@ def scan(bars: DataFrame, spec: Spec, exchange_tz: str = EXCHANGE_TZ) -> Scan:
     known = attach_htf_context(known, higher, h.timeframe)
     judged = with_kept(known, spec.filters)
     s = spec.scoring
-    kept = judged.filter("kept").withColumn("event_id", F.concat_ws("-", "zone_id", F.col("test_number").cast("string")))
-    trades = trade_levels(kept, bars, (s.stop.mode, s.stop.value), (s.target.mode, s.target.value), s.entry)
-    events = score_events(trades, bars, s.max_holding_bars, s.entry == "zone_proximal").withColumnRenamed("bar_ts", "ts").select(*EVENT_COLUMNS)
+    passed = judged.filter("kept").withColumn("event_id", F.concat_ws("-", "zone_id", F.col("test_number").cast("string")))
+    trades = trade_levels(passed, bars, (s.stop.mode, s.stop.value), (s.target.mode, s.target.value), s.entry)
+    events = score_events(kept(trades), bars, s.max_holding_bars, s.entry == "zone_proximal").withColumnRenamed("bar_ts", "ts").select(*EVENT_COLUMNS)
     return Scan(zones, tests, judged, events)
