@@ -236,9 +236,9 @@ O["g1_g4_summary"] = sql(
     round(wins / n::DOUBLE - 0.3, 6) AS edge, round({_binom.replace('P0', '0.3::DOUBLE')}, 6) AS p_value, true AS mean_in_bounds
     FROM (SELECT count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, avg(r_fixed) AS mean_r, avg(ambiguous::INTEGER) AS ambiguous, median(bars_held)::DOUBLE AS median_bars FROM ev)""", "ev",
 )
-_groups = " UNION ALL ".join(f"SELECT '{c}' AS by, CAST({c} AS VARCHAR) AS value, outcome, r_fixed FROM ev" for c in ("session", "hour", "year", "aligned"))
+_groups = " UNION ALL ".join(f"SELECT '{c}' AS \"by\", CAST({c} AS VARCHAR) AS value, outcome, r_fixed FROM ev" for c in ("session", "hour", "year", "aligned"))
 O["g5_rate_by_group"] = sql(
-    f"SELECT by, value, n, {_wilson('wins', 'n')}, round(mean_r, 6) AS mean_r, n >= 20 AS reliable FROM (SELECT by, value, count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, avg(r_fixed) AS mean_r FROM ({_groups}) GROUP BY by, value)", "ev"
+    f"""SELECT "by", value, n, {_wilson('wins', 'n')}, round(mean_r, 6) AS mean_r, n >= 20 AS reliable FROM (SELECT "by", value, count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, avg(r_fixed) AS mean_r FROM ({_groups}) GROUP BY ALL)""", "ev"
 )
 O["g6_excursion_quantiles"] = sql(
     """SELECT measure, count(*) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50,
@@ -269,18 +269,18 @@ O["g11_compare_splits"] = sql(
 _u = lambda key: f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 _CONTROL = {
     "span": "SELECT symbol, min(bar_seq) AS lo, least(max(bar_seq), (SELECT count(*) FROM base b WHERE b.symbol = ev.symbol) - 242) AS hi, median(risk_points) AS risk, median(atr) AS atr, avg(CASE WHEN bias = 1 THEN 1 ELSE 0 END) AS longs FROM ev GROUP BY symbol",
-    "drawn": f"""SELECT *, 'd' || k AS id, lo + floor({_u("'drift place 0|' || symbol || '|' || k")} * (hi - lo)) AS at, CASE WHEN {_u("'drift side 0|' || symbol || '|' || k")} < longs THEN 1 ELSE -1 END AS side
+    "drawn": f"""SELECT *, 'd' || k AS id, lo + floor({_u("'drift place 0|' || symbol || '|' || k")} * (hi - lo)) AS spot, CASE WHEN {_u("'drift side 0|' || symbol || '|' || k")} < longs THEN 1 ELSE -1 END AS side
       FROM (SELECT *, unnest(range(0, 500)) AS k FROM span WHERE hi > lo)""",
     "moved": f"""SELECT symbol, bias, atr, z, formed_at, zone_low + shift AS zl, zone_high + shift AS zh FROM (SELECT *, (0.5 + {_u("'placebo size 0|' || eid")} * 2.5) * atr * CASE WHEN {_u("'placebo side 0|' || eid")} < 0.5 THEN -1 ELSE 1 END AS shift
       FROM (SELECT *, substr(md5(symbol || '|' || epoch_us(formed_at) || '|' || epoch_us(source_ts) || '|' || printf('%.9f', zone_low) || '|' || bias), 1, 16) || '-' || test_number AS eid FROM ev))""",
     "begun": "SELECT m.*, s.bar_seq AS a FROM moved m ASOF JOIN seq s ON s.symbol = m.symbol AND m.formed_at <= s.ts WHERE s.bar_seq < (SELECT count(*) FROM base b WHERE b.symbol = m.symbol) - 2",
-    "entered": """SELECT b.symbol, b.z, b.bias, b.atr, zl, zh, min(s.bar_seq) AS at FROM begun b JOIN (SELECT *, lag(low) OVER w AS l1, lag(high) OVER w AS h1 FROM seq WINDOW w AS (PARTITION BY symbol ORDER BY bar_seq)) s
+    "entered": """SELECT b.symbol, b.z, b.bias, b.atr, zl, zh, min(s.bar_seq) AS spot FROM begun b JOIN (SELECT *, lag(low) OVER w AS l1, lag(high) OVER w AS h1 FROM seq WINDOW w AS (PARTITION BY symbol ORDER BY bar_seq)) s
       ON s.symbol = b.symbol AND s.bar_seq > a AND s.bar_seq < a + 2000 AND s.high >= zl AND s.low <= zh AND CASE WHEN b.bias = 1 THEN l1 > zh ELSE h1 < zl END GROUP BY ALL""",
-    "control": """SELECT 'drift' AS kind, d.symbol, id, at, side AS bias, s.open AS entry, d.risk AS r FROM drawn d JOIN seq s ON s.symbol = d.symbol AND s.bar_seq = at
-      UNION ALL SELECT 'placebo', symbol, CAST(z AS VARCHAR), at, bias, CASE WHEN bias = 1 THEN zh ELSE zl END, zh - zl FROM entered""",
+    "control": """SELECT 'drift' AS kind, d.symbol, id, spot, side AS bias, s.open AS entry, d.risk AS r FROM drawn d JOIN seq s ON s.symbol = d.symbol AND s.bar_seq = spot
+      UNION ALL SELECT 'placebo', symbol, CAST(z AS VARCHAR), spot, bias, CASE WHEN bias = 1 THEN zh ELSE zl END, zh - zl FROM entered""",
     "steps": """SELECT c.*, s.bar_seq, CASE WHEN bias = 1 THEN s.low - entry ELSE entry - s.high END AS bad,
-      CASE WHEN s.bar_seq = at THEN greatest(0, (s.close - entry) * bias) WHEN bias = 1 THEN s.high - entry ELSE entry - s.low END AS good
-      FROM control c JOIN seq s ON s.symbol = c.symbol AND s.bar_seq >= at AND s.bar_seq < at + 240""",
+      CASE WHEN s.bar_seq = spot THEN greatest(0, (s.close - entry) * bias) WHEN bias = 1 THEN s.high - entry ELSE entry - s.low END AS good
+      FROM control c JOIN seq s ON s.symbol = c.symbol AND s.bar_seq >= spot AND s.bar_seq < spot + 240""",
     "done": """SELECT kind, symbol, id, coalesce(min(bar_seq) FILTER (good >= 2 * r), 1e18) < coalesce(min(bar_seq) FILTER (bad <= -r), 1e18) AS win FROM steps WHERE r > 0 GROUP BY kind, symbol, id""",
     "rates": "SELECT kind, symbol, count(*) AS n, count(*) FILTER (win) AS wins FROM done GROUP BY kind, symbol",
 }
