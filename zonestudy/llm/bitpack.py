@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import scratch_path, slices
 
-#: Words whose ids a worker remembers before it starts anew: about 50 MB.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers before it starts anew: about 130 MB.
+REMEMBERED = 600_000
 
 BLOCK = "part int, block long, bits int, first_id long, last_id long, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
 
@@ -45,28 +45,44 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+
+    New words are encoded many at a time, with a word of one id between them that none of them holds."""
+
+    BETWEEN = "|"
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[bytes, bytes] = {}
+        found = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.between = found[0] if len(found) == 1 else None
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
         words = [(x or "").encode().split() for x in texts]
-        fresh = list(set().union(*words) - self.known.keys())
+        fresh = set().union(*words) - self.known.keys()
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known = {}
-            fresh = list(set().union(*words))
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for word, found in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            fresh = set().union(*words)
+        plain = [w for w in fresh if self.between is not None and b"|" not in w]
+        for at in range(0, len(plain), 2048):
+            self._learn(plain[at : at + 2048])
+        for word in fresh - self.known.keys():
+            self.known[word] = self._encode(word.decode()).tobytes()
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids = self._encode(f" {self.BETWEEN} ".join(w.decode() for w in words))
+        cuts = np.flatnonzero(ids == self.between)
+        if len(cuts) == len(words) - 1:  # else each is encoded by itself
+            held = ids.tobytes()
+            self.known.update(zip(words, [held[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(held)], strict=True)], strict=True))
+
 
 @lru_cache(maxsize=1)
 def _encoder(file: str) -> WordEncoder:
