@@ -184,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000) -> ToxicMo
 
     bounded = rows.orderBy("key", "label").limit(max_docs).coalesce(1)
     models = bounded.mapInArrow(fitted, "features binary, weights binary, bias double, leak double").collect()
+    if not models:
+        return ToxicModel(np.zeros(0, dtype=np.uint64), np.zeros(0), -12.0, 0.01)
     m = models[0]  # at most 1,000 features
     return ToxicModel(np.frombuffer(m.features, dtype=np.uint64), np.frombuffer(m.weights), m.bias, m.leak)
 
