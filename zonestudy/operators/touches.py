@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonestudy.functions.timeframe import seconds
-from zonestudy.operators.bars import with_bar_seq
 
 TRIGGERS = ("touch", "close_inside", "wick_through")
 #: A bucket of time is this share of a zone's usual life.
@@ -146,6 +145,3 @@ def event_window(events: DataFrame, bars: DataFrame, before: int = 120, after: i
     e = e.withColumn("_block", F.explode(F.sequence(block(F.col("_at") - before), block(F.col("_at") + after))))
     b = bars.select("symbol", "ts", "bar_seq", "open", "high", "low", "close", block(F.col("bar_seq")).alias("_block"))
     return e.join(b, ["symbol", "_block"]).filter(F.col("bar_seq").between(F.col("_at") - before, F.col("_at") + after)).drop("_block", "_at")
-
-
-__all__ = ["asof_join", "attach_bar_context", "attach_htf_context", "event_window", "first_test", "separate_tests", "with_bar_seq", "zone_hits"]
