@@ -20,8 +20,10 @@ PERCENT = 75
 COMMON = 16
 #: Shingles that can be moved; the most frequent ones are.
 MOVED = 1 << 18
-#: Members of a list that share a pivot.
+#: Entries of a common shingle's list in a task, and pairs in a part of a comparison.
 LIST = 1024
+#: Entries from which a list is long; turns of comparisons with pivots at most, and the share of links from which another is worth while.
+LONG, TURNS, WORTH = 32, 8, 0.05
 
 
 def least_common(sizes: Column | int) -> Column | int:
@@ -154,35 +156,42 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, small: in
     return docs.select("text").mapInArrow(each, "key long, salt int, node long, n int, pos int")
 
 
-def _can_link(a: str, b: str, small: int) -> Column:
-    """Two entries of one list can link only so: sizes near enough, both within the first shingles that this pair of sizes needs,
-    and a pair of small sets only in lists of pairs (whose entries are all small)."""
+def _can_link(a: str, b: str) -> Column:
+    """Two entries of one list can link only so: sizes near enough, and both within the first shingles that this pair of sizes needs."""
     n, m, c = F.col(f"{a}.n"), F.col(f"{b}.n"), least_common(F.col(f"{a}.n") + F.col(f"{b}.n"))
     return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (F.col(f"{a}.pos") <= n - c) & (F.col(f"{b}.pos") <= m - c)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b: nodes) whose sets link, compared shingle by shingle.
-
-    Each node's set is made again from the text of one document with it. Pairs are grouped by b, large groups in parts of
-    at most about ``LIST`` pairs; within a part b's set comes first and the others stream past it."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
-    routed = pairs.join(parts, "b").select("a", "b", F.pmod("a", "parts").cast("int").alias("part"))
-    routes = routed.select(F.col("a").alias("node"), "b", "part", F.lit(True).alias("member")).unionByName(
-        routed.select(F.col("b").alias("node"), "b", "part", F.lit(False).alias("member")).distinct()
-    )
-    needed = written(routes.select("node").distinct().join(owners, "node"), "needed")
+def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """node, held (the set's hashes, ascending) of each node, made again from the text of one document that has the set."""
+    needed = written(nodes.join(owners, "node"), "needed")
     few = needed.count() <= 1 << 20
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed, "doc_id")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
             same = np.flatnonzero(s.key.view(np.int64) == batch.column("node").to_numpy(zero_copy_only=False))
             held = [s.hashes[s.first[i] : s.first[i + 1]].tobytes() for i in same]
             yield pa.RecordBatch.from_arrays([_signed(s.key[same]), pa.array(held, pa.binary())], names=["node", "held"])
 
+    return texts.select("node", "text").mapInArrow(each, "node long, held binary").dropDuplicates(["node"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b: nodes) whose sets link, compared shingle by shingle.
+
+    Pairs are grouped by b, large groups in parts of at most about ``LIST`` pairs; within a part b's set comes first and
+    the others stream past it."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
+    routed = pairs.join(parts, "b").select("a", "b", F.pmod("a", "parts").cast("int").alias("part"))
+    heads = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
+    routes = routed.select(F.col("a").alias("node"), "b", "part", F.lit(True).alias("member")).unionByName(heads)
+
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pivot = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -198,38 +207,76 @@ def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame
                         found.append((node[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    made = texts.select("node", "text").mapInArrow(sets, "node long, held binary").dropDuplicates(["node"])
-    grouped = made.join(routes, "node").repartition("b", "part").sortWithinPartitions("b", "part", "member")
+    grouped = sets.join(routes, "node").repartition("b", "part").sortWithinPartitions("b", "part", "member")
     return written(grouped.mapInArrow(compared, "a long, b long"), "links")
 
 
-def _linked(lists: DataFrame, docs: DataFrame, owners: DataFrame, small: int) -> DataFrame:
-    """a, b: links enough to connect all that are connected.
-
-    First each entry of a list is compared with the list's pivot, and the pivots of a salted list with one another's first. Then
-    what the lists still leave in different components is compared pair by pair, unless it has been."""
-    entry = F.struct("node", "n", "pos")
-    pivots = Window.partitionBy("key", "salt")
-    starred = lists.withColumn("p", F.min(entry).over(pivots)).withColumn("e", entry)
-    members = starred.filter(_can_link("e", "p", small)).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-    tops = starred.filter("salt > 0 or node = p.node").groupBy("key", "salt").agg(F.min("p").alias("e"))
-    tops = tops.withColumn("p", F.min("e").over(Window.partitionBy("key"))).filter(_can_link("e", "p", small))
-    first = written(members.unionByName(tops.select(F.col("e.node").alias("a"), F.col("p.node").alias("b"))).filter("a != b").distinct(), "stars")
-    links = _verified(first, docs, owners)
-    reached = components(links)
-    placed = lists.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_lists = written(placed.join(split, "key").select("key", F.struct("node", "n", "pos").alias("e"), "component"), "open")
-    left, right = open_lists.alias("l"), open_lists.alias("r")
+def _star(lists: DataFrame, turn: int) -> DataFrame:
+    """a, b: each entry of a list with the list's pivot, where the two are in different components and can link. The pivot is of
+    the largest component in the list, and another one each turn."""
+    entry = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "pos", "component")
+    pivots = lists.groupBy("key").agg(F.min(entry).alias("p"))
+    joined = lists.withColumn("e", F.struct("node", "n", "pos")).join(pivots, "key").filter(F.col("component") != F.col("p.component"))
+    return joined.filter(_can_link("e", "p")).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists whose entries aren't all in one component, with the number of their entries."""
+    split = lists.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(lists.drop("many").join(split.filter("low < high").select("key", "many"), "key"), "open")
+
+
+def _relabelled(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Each linked entry takes its pivot's label; ``size`` is how many entries have a label."""
+    labels = lists.select(F.col("node").alias("b"), "component").distinct()
+    moved = found.join(labels, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("to"))
+    lists = lists.drop("size").join(moved, "node", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+    return lists.join(lists.groupBy("component").agg(F.count("*").alias("size")), "component")
+
+
+def _reached(lists: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """node, component of every node that links with another one.
+
+    The entries of a list that aren't known to be connected to its pivot are compared with it: once in every list, and in further turns in
+    lists that stay long, so a large group of near copies costs a few comparisons for each member. A linked entry takes the
+    pivot's label, and lists with one label close. Equal labels mean connected; the labels needn't be complete. When turns find
+    few links, real components are made, and what the open lists still leave in different ones is compared pair by pair,
+    unless it has been: nothing that could link is passed over."""
+    placed = lists.withColumns({"component": F.col("node"), "size": F.lit(1).cast("long")})
+    tested = written(_star(placed, 0), "stars")
+    links = _verified(tested, _sets(_ends(tested), docs, owners))
+    placed = _open(_relabelled(placed, links))
+    long = written(placed.filter(F.col("many") >= LONG), "long")
+    sets = written(_sets(long.select("node").distinct(), docs, owners), "held")
+    for turn in range(1, TURNS):
+        pairs = written(_star(long, turn).join(tested, ["a", "b"], "left_anti"), "stars")
+        asked = pairs.count()
+        if not asked:
+            break
+        found = _verified(pairs, sets)
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        if found.count() < WORTH * asked:
+            break
+        long = _open(_relabelled(long, found))
+    reached = written(components(links), "components")
+    placed = _open(placed.drop("component", "size").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    entries = placed.select("key", F.struct("node", "n", "pos").alias("e"), "component")
+    left, right = entries.alias("l"), entries.alias("r")
     x, y = F.col("l.e.node"), F.col("r.e.node")
     rest = (
         left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
-        .filter(_can_link("l.e", "r.e", small))
+        .filter(_can_link("l.e", "r.e"))
         .select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         .distinct()
+        .join(_ordered(tested), ["a", "b"], "left_anti")
     )
-    rest = rest.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, docs, owners))
+    rest = written(rest, "rest")
+    found = _verified(rest, _sets(_ends(rest), docs, owners))
+    return components(links.unionByName(found)) if found.count() else reached
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -239,7 +286,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     one node, held once for each task before any shuffle. Each node stands in lists that two linked sets must share: up to
     a size chosen by cost those of pairs of its first shingles, above it those of single ones. Shingles that many documents have
     come last in the order, so that shared passages don't make long lists; lists that stay long are salted. Links are
-    verified on the whole sets, and no link between different sets is lost (see ``_linked``).
+    verified on the whole sets, and no link between different sets is lost (see ``_reached``).
 
     Null and empty texts have an empty set, and their own doc_id as component; so have documents without links. A null doc_id is
     ignored when the smallest of a component is sought. Repeated rows stay. Other columns are ignored; no rows give no rows."""
@@ -258,8 +305,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     lists = lists.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
     lists = lists.filter("low < high or salt > 0").select("key", "salt", "node", "n", "pos").distinct()
     owners = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = _linked(written(lists, "lists"), docs, owners, small)
-    reached = components(links)
+    reached = _reached(written(lists, "lists"), docs, owners)
     placed = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(reached, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     roots = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("root"))
