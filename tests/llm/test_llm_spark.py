@@ -74,6 +74,23 @@ def test_join_of_random_near_copies(spark):
     assert sorted(got, key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("long", [2, 16])
+def test_join_when_lists_are_salted(spark, monkeypatch, long):
+    """Pairs whose shingles are common, so that their short lists are salted and the two may have different salts."""
+    monkeypatch.setattr(ngram_join, "LIST", long)
+    rows = []
+    for g in range(24):
+        ws = [f"g{g}w{i}" for i in range(8)]
+        rows += [(len(rows), " ".join(ws[:7])), (len(rows) + 1, " ".join(ws))]
+        for k in range(144):
+            rows.append((len(rows), " ".join([*ws[k % 3 : k % 3 + 5], f"g{g}k{k}"])))
+    got = [tuple(r) for r in ngram_join.join_documents(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()]
+    linked = {r[0] for r in got if r[0] != r[2]}
+    assert linked == {146 * g + 1 for g in range(24)}
+    few = [r for r in rows if r[0] % 146 < 6]
+    assert sorted((r for r in got if r[0] % 146 < 6), key=str) == brute_components(few)
+
+
 def test_first_of_each_keeps_columns(spark, docs):
     kept = ngram_join.first_of_each(docs)
     assert kept.columns == docs.columns

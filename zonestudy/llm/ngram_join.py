@@ -115,7 +115,7 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, small: in
     """key, salt, node, n, pos: the lists. Sets up to ``small`` stand in those of pairs of their first shingles (pos of the second,
     less 1), larger ones and those that can link with them in those of their first shingles.
 
-    The order puts common shingles last, rarer ones first. A list that will be long is salted by the node."""
+    The order puts common shingles last, rarer ones first. A list that can be long is salted by the node, from 1; all others have salt 0."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((common, counts))  # at most MOVED entries
     low = (3 * (small + 1) + 3) // 4
@@ -150,7 +150,7 @@ def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, small: in
                 many = np.minimum(often[s.first[i] : s.first[i] + k][x], often[s.first[i] : s.first[i] + k][y])
                 parts.append((pair, many, np.full(len(x), i), y - 1))
             key, often, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            salt = (s.key[row] % (1 + often // LIST).astype(np.uint64)).astype(np.int32)
+            salt = np.where(often < LIST, 0, 1 + s.key[row] % (1 + often // LIST).astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([_signed(key), pa.array(salt), _signed(s.key[row]), pa.array(sizes[row], pa.int32()), pa.array(pos, pa.int32())], names=["key", "salt", "node", "n", "pos"])
 
     return docs.select("text").mapInArrow(each, "key long, salt int, node long, n int, pos int")
@@ -303,6 +303,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     lists = _postings(docs, moved[order], often[order], small)
     whole = Window.partitionBy("key", "salt")
     lists = lists.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
+    # a salted list has its other nodes under any salt, so none of its entries is alone until the lists are taken by key
     lists = lists.filter("low < high or salt > 0").select("key", "salt", "node", "n", "pos").distinct()
     owners = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     reached = _reached(written(lists, "lists"), docs, owners)
