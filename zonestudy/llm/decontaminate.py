@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +28,60 @@ class Seeds:
     tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def seeds_of(items: list[tuple], masks: tuple[tuple[int, ...], ...] = MASKS) -> Seeds:
-    """Seeds of (item_id, text) pairs. An item with fewer words than a mask spans gets a mask of all its words; one of fewer
+def wanted(n: int, min_words: int) -> int:
+    """The equal words that an overlap with an item of ``n`` words needs."""
+    return min(min_words, -(-n * 3 // 4))
+
+
+def short_masks(n: int, equal: int) -> set[tuple[int, ...]]:
+    """Positions in an item of ``n`` words, one set of which at least is all equal if ``equal`` words are: the words are dealt to a few
+    groups more than words may differ, and every choice of groups that can be left out is."""
+    apart = n - equal
+    groups = np.array_split(np.arange(n), n if apart < 2 else min(n, apart + 2))
+    return {tuple(int(i) for g in kept for i in g) for kept in combinations(groups, len(groups) - apart)}
+
+
+def seeds_of(items: list[tuple], masks: tuple[tuple[int, ...], ...] = MASKS, min_words: int = 12) -> Seeds:
+    """Seeds of (item_id, text) pairs. An item with fewer words than a mask spans gets masks of its own (see ``short_masks``); one of fewer
     than ``SHORTEST`` words gets none."""
     words = [hash_words(text or "", PUNCTUATION) for _, text in items]
     span = max(m[-1] for m in masks) + 1
-    whole = {tuple(range(len(w))) for w in words if SHORTEST <= len(w) < span}
-    tables = []
-    for mask in [*masks, *sorted(whole)]:
-        found = []
-        for item, w in enumerate(words):
-            if len(w) >= span if mask in masks else len(w) == len(mask):
+    found: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for item, w in enumerate(words):
+        if len(w) >= span:
+            for mask in masks:
                 hashes, at = windows(w, np.zeros(len(w), dtype=np.int64), mask)
-                found.append((hashes, np.full(len(at), item), at))
-        if found:
-            hashes, item, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            present = np.zeros(1 << _BITS, dtype=bool)
-            present[hashes >> np.uint64(64 - _BITS)] = True
-            tables.append((mask, hashes[order], item[order], at[order], present))
+                found.setdefault(mask, []).append((hashes, np.full(len(at), item), at))
+        elif len(w) >= SHORTEST:
+            for own in sorted(short_masks(len(w), wanted(len(w), min_words))):
+                mask = tuple(i - own[0] for i in own)  # the words before its first one may lie outside a document
+                part = w[own[0] : own[-1] + 1]
+                hashes, at = windows(part, np.zeros(len(part), dtype=np.int64), mask)
+                found.setdefault(mask, []).append((hashes, np.full(len(at), item), at + own[0]))
+    tables = []
+    for mask in sorted(found):
+        hashes, item, at = (np.concatenate(x) for x in zip(*found[mask], strict=True))
+        order = np.argsort(hashes, kind="stable")
+        present = np.zeros(1 << _BITS, dtype=bool)
+        present[hashes >> np.uint64(64 - _BITS)] = True
+        tables.append((mask, hashes[order], item[order], at[order], present))
     return Seeds([x for x, _ in items], words, tables)
 
 
-def best_run(same: np.ndarray) -> tuple[int, int]:
-    """The run with the largest score, 1 for each equal word and -1.5 for each other one."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -1.5))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+def best_run(same: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """The run with the most equal words, the shortest of those, of which ``min_identity`` are equal; none: (0, 0)."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    over = equal - min_identity * np.arange(len(equal))
+    # a run from s to e has the identity where over[e] >= over[s]; the first such s has the most equal words
+    low = np.minimum.accumulate(over)
+    first = np.searchsorted(-low, -over - 1e-9, "left")
+    count = equal - equal[first]
+    if not count.max():
+        return 0, 0
+    ends, at = np.flatnonzero(count == count.max()), np.flatnonzero(same)
+    start, stop = at[equal[first[ends]]], at[equal[ends] - 1] + 1
+    best = int(np.argmin(stop - start))
+    return int(start[best]), int(stop[best])
 
 
 def overlaps(texts: pa.Array, seeds: Seeds, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int, int]]:
@@ -77,9 +104,9 @@ def overlaps(texts: pa.Array, seeds: Seeds, min_words: int, min_identity: float)
                 words = seeds.words[item]
                 a, b = max(shift, first[row]), min(shift + len(words), first[row + 1])
                 same = w.hash[a:b] == words[a - shift : b - shift]
-                s, e = best_run(same)
+                s, e = best_run(same, min_identity)
                 equal = int(same[s:e].sum())
-                if equal >= min(min_words, -(-len(words) * 3 // 4)) and equal >= min_identity * (e - s):
+                if equal and equal >= wanted(len(words), min_words):
                     found = (equal, -(e - s), -int(w.start[a + s] - w.offsets[row]), int(w.end[a + e - 1] - w.offsets[row]))
                     best[row, item] = max(best.get((row, item), found), found)
     return [(row, item, x[0], -x[1], -x[2], x[3]) for (row, item), x in sorted(best.items())]
@@ -102,8 +129,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     overlap, if any.
 
     Words are runs of letters and digits, A-Z lower-cased. Test and training windows meet where a mask's words have equal
-    hashes; from a hit the two texts are laid over each other and the run with the most equal words is kept if it
-    has ``min_words`` equal ones (of a shorter item three quarters) and ``min_identity`` of its words are equal.
+    hashes; from a hit the two texts are laid over each other; of the runs of which ``min_identity`` of the words are equal
+    the one with the most equal words is kept if it has ``min_words`` equal ones (of a shorter item three quarters). Hits of items
+    under ten words are complete; of longer ones the masks can miss some.
 
     The documents are read once for each ``block_bytes`` of benchmark text and never shuffled; a task holds the
     seeds of one block. Null and empty texts overlap nothing, items under five words are not looked for, repeated rows
@@ -111,7 +139,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     out = None
     schema = "doc_id long, item_id long, equal_words int, run_words int, item_words int, start_byte long, end_byte long"
     for items in _blocks(benchmark, block_bytes):
-        part = docs.select("doc_id", "text").mapInArrow(_reporter(seeds_of(items), min_words, min_identity), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_reporter(seeds_of(items, min_words=min_words), min_words, min_identity), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -132,7 +160,7 @@ def _reporter(seeds: Seeds, min_words: int, min_identity: float) -> Callable[[It
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_identity: float = 0.75, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text overlaps no item; see ``find_overlaps``."""
     for items in _blocks(benchmark, block_bytes):
-        seeds = seeds_of(items)
+        seeds = seeds_of(items, min_words=min_words)
 
         def clean(batches: Iterable[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
