@@ -39,3 +39,15 @@ def test_against_sql(spark, name):
     want = sorted((tuple(plain(v) for v in r) for r in found.fetchall()), key=str)
     got = sorted((tuple(plain(v) for v in r) for r in entry.queries()[name](spark, DATA).select(*names).collect()), key=str)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["s1_s5_csv_bars", "s6_s7_symbol_folder"])
+def test_csv_queries_read_back_every_symbol(spark, monkeypatch, name):
+    from zonestudy.plans import queries as plans
+    from zonestudy.sources import bars_csv
+
+    made, read = [], bars_csv.clean_bars
+    monkeypatch.setattr(bars_csv, "clean_bars", lambda *a: made.append(read(*a)) or made[-1])
+    test_against_sql(spark, name)
+    plain = lambda df: sorted((r.symbol.lower(), r.ts, *(round(r[c], 6) for c in ("open", "high", "low", "close", "volume"))) for r in df.collect())
+    assert sorted(r for df in made for r in plain(df)) == plain(plans.base(spark, DATA))

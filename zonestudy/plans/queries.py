@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from zonestudy.operators import touches as J
 from zonestudy.operators import zones as Z
 from zonestudy.plans.scan import scan
 from zonestudy.plans.spec import Spec
-from zonestudy.sources import bars_csv, registry, tables
+from zonestudy.sources import bars_csv, folders, registry, tables
 from zonestudy.sources.scratch import kept, shared_folder
 
 BASE, DETECT, HIGHER = "5min", "15min", "4h"
@@ -337,30 +338,52 @@ def g2_g12_baseline_table(spark, d):
     return G.baseline_table(G.summarise(own, n_boot=10), controls)
 
 
-@query
-def s1_s5_csv_bars(spark, d):
-    """The bars of one symbol, written as a European export in New York time and read again."""
-    out, own = shared_folder(spark), base(spark, d).filter("symbol = 'view'")
+def _symbols(own: DataFrame) -> list[str]:
+    return [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").collect()]
+
+
+def _united(parts: list[DataFrame], own: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else own.limit(0)
+
+
+def exported_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """The bars of every symbol, written as European exports in New York time, a folder for each symbol, and read again."""
+    out, own = shared_folder(spark), kept(own)
     local = F.from_utc_timestamp("ts", X.EXCHANGE_TZ)
     comma = lambda c: F.replace(F.format_string("%.6f", c), F.lit("."), F.lit(",")).alias(c.capitalize())
-    text = own.select(F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in ("open", "high", "low", "close", "volume")])
-    text.write.options(sep=";", header=True).csv(f"{out}/export")
-    fmt = bars_csv.sniff(spark, f"{out}/export")
-    return bars_csv.read_bars_csv(spark, [f"{out}/export"], "view", X.EXCHANGE_TZ, fmt)
+    parts = []
+    for name in _symbols(own):
+        rows = own.filter(F.col("symbol") == name).repartitionByRange("ts")  # the first file has rows, so its layout can be told
+        text = rows.select(F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in ("open", "high", "low", "close", "volume")])
+        text.write.options(sep=";", header=True).csv(f"{out}/{name}")
+        parts.append(bars_csv.read_bars_csv(spark, [f"{out}/{name}"], name, X.EXCHANGE_TZ, bars_csv.sniff(spark, f"{out}/{name}")))
+    return _united(parts, own)
+
+
+def folder_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """The bars of every symbol, written to one folder as files whose names begin with the symbol, and read again for each symbol
+    that the folder lists; symbols are then in capitals."""
+    out, own = shared_folder(spark), kept(own)
+    for name in _symbols(own):
+        rows = own.filter(F.col("symbol") == name).repartitionByRange("ts")  # the first file has rows, so its layout can be told
+        text = rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "open", "high", "low", "close", "volume")
+        text.write.mode("append").options(**{"header": True, "mapreduce.output.basename": name}).csv(out)
+    listed = [r.symbol for r in folders.list_symbols(spark, out).collect()] if _symbols(own) else []
+    return _united([folders.load_symbol_folder(spark, out, name) for name in listed], own)
+
+
+@query
+def s1_s5_csv_bars(spark, d):
+    """The bars of every symbol, exported and read again; of these the SQL has the rows of one."""
+    return kept(exported_bars(spark, base(spark, d))).filter("symbol = 'view'")
 
 
 @query
 def s6_s7_symbol_folder(spark, d):
-    """A folder of a file for each symbol's half, its symbols, and the bars of one."""
-    out, own = shared_folder(spark), base(spark, d)
-    for name in ("click", "error"):
-        own.filter(F.col("symbol") == name).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "open", "high", "low", "close", "volume").coalesce(1).write.option("header", True).csv(f"{out}/{name}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(out).select("path").collect()
-    bars = None
-    for name in ("click", "error"):
-        part = bars_csv.read_bars_csv(spark, [r.path for r in files if f"/{name}/" in r.path], name)
-        bars = part if bars is None else bars.unionByName(part)
-    return bars.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("close").alias("closes"), F.min("ts").alias("first_ts"))
+    """A folder of files of every symbol, its symbols and the bars of each; of these the SQL has the sums of two."""
+    bars = kept(folder_bars(spark, base(spark, d)))
+    sums = bars.groupBy(F.lower("symbol").alias("symbol")).agg(F.count("*").alias("n"), F.sum("close").alias("closes"), F.min("ts").alias("first_ts"))
+    return kept(sums).filter("symbol in ('click', 'error')")
 
 
 @query
