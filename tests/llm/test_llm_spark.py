@@ -91,6 +91,14 @@ def test_join_when_lists_are_salted(spark, monkeypatch, long):
     assert sorted((r for r in got if r[0] % 146 < 6), key=str) == brute_components(few)
 
 
+def test_join_through_a_text_with_a_null_id(spark):
+    ws = [f"t{i}" for i in range(44)]
+    rows = [(1, " ".join(ws[:30])), (2, " ".join(ws[4:])), (None, " ".join(ws[:38])), (None, " ".join(ws[:38])), (3, "on its own"), (None, "alone too")]
+    got = [tuple(r) for r in ngram_join.join_documents(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+    assert {r[0]: r[2] for r in got if r[1] > 20} == {1: 1, 2: 1, None: 1}
+
+
 def test_first_of_each_keeps_columns(spark, docs):
     kept = ngram_join.first_of_each(docs)
     assert kept.columns == docs.columns

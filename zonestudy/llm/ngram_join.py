@@ -163,10 +163,12 @@ def _can_link(a: str, b: str) -> Column:
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node, held (the set's hashes, ascending) of each node, made again from the text of one document that has the set."""
+    """node, held (the set's hashes, ascending) of each node, made again from the text of one document that has the set; where
+    only documents with a null doc_id have it, all of those are read, and joined by the set."""
     needed = written(nodes.join(owners, "node"), "needed")
-    few = needed.count() <= 1 << 20
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(needed) if few else needed, "doc_id")
+    many, unnumbered = needed.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = own.join(F.broadcast(needed) if many <= 1 << 20 else needed, "doc_id")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -175,7 +177,17 @@ def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
             held = [s.hashes[s.first[i] : s.first[i + 1]].tobytes() for i in same]
             yield pa.RecordBatch.from_arrays([_signed(s.key[same]), pa.array(held, pa.binary())], names=["node", "held"])
 
-    return texts.select("node", "text").mapInArrow(each, "node long, held binary").dropDuplicates(["node"])
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            s = shingle_sets(batch.column("text"))
+            held = [s.hashes[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([_signed(s.key), pa.array(held, pa.binary())], names=["node", "held"])
+
+    sets = texts.select("node", "text").mapInArrow(each, "node long, held binary")
+    if unnumbered:
+        others = own.filter("doc_id is null").select("text").mapInArrow(every, "node long, held binary")
+        sets = sets.unionByName(others.join(needed.filter("doc_id is null").select("node"), "node", "left_semi"))
+    return sets.dropDuplicates(["node"])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -289,7 +301,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     verified on the whole sets, and no link between different sets is lost (see ``_reached``).
 
     Null and empty texts have an empty set, and their own doc_id as component; so have documents without links. A null doc_id is
-    ignored when the smallest of a component is sought. Repeated rows stay. Other columns are ignored; no rows give no rows."""
+    ignored when the smallest of a component is sought; its text links as any other. Repeated rows stay. Other columns are ignored; no rows give no rows."""
     members = written(_memberships(docs), "sets")
     tokens = members.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     tokens = written(tokens, "counts")
@@ -318,7 +330,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id.
 
-    Rows with one doc_id are one document: they stay or go together. The ids that go are broadcast while they are at most a
+    Rows with one doc_id are one document: they stay or go together; rows with a null one stay. The ids that go are broadcast while they are at most a
     million; more of them are joined by a shuffle."""
     gone = written(join_documents(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= 1 << 20
