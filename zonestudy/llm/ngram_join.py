@@ -10,20 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonestudy.llm.components import components
-from zonestudy.llm.shared import slices, written
+from zonestudy.llm.components import components, joined_by
+from zonestudy.llm.shared import dropped, slices, written
 from zonestudy.llm.words import SPACES, mix, tokenize, windows
 
 #: Two sets link when PERCENT hundredths of their union lie in both: 7 * common >= 3 * (sum of sizes).
 PERCENT = 75
-#: A shingle that so many documents have among their first ones moves to the end of the order.
-COMMON = 16
-#: Shingles that can be moved; the most frequent ones are.
-MOVED = 1 << 18
-#: Entries of a common shingle's list in a task, and pairs in a part of a comparison.
+#: Entries of a list, or pairs of one set, that one task meets together: longer ones are salted.
 LIST = 1024
-#: Entries from which a list is long; turns of comparisons with pivots at most, and the share of links from which another is worth while.
-LONG, TURNS, WORTH = 32, 8, 0.05
+#: Counts of shingles that are broadcast at most; the most frequent ones are, which no join has to deal out then.
+FREQUENT = 1 << 18
+#: Turns of comparisons with pivots at most; another one is worth while above so many open pairs for each entry of a list, and if
+#: this share of the last one's comparisons were links.
+TURNS, OPEN, WORTH = 8, 256, 0.05
 
 
 def least_common(sizes: Column | int) -> Column | int:
@@ -31,13 +30,19 @@ def least_common(sizes: Column | int) -> Column | int:
     return (3 * sizes + 6) // 7 if isinstance(sizes, int) else F.floor((3 * sizes + 6) / 7).cast("int")
 
 
+def leading(n: int | np.ndarray) -> int | np.ndarray:
+    """How many first shingles, in any one order, a set of size ``n`` has that it must share one of with a set that it links with."""
+    return n - (3 * n + 3) // 4 + 1
+
+
 @dataclass
 class Sets:
-    """Sets of shingle hashes: row ``i`` has ``hashes[first[i]:first[i+1]]``, ascending; ``key`` is a hash of the set."""
+    """Sets of shingle hashes: row ``i`` has ``hashes[first[i]:first[i+1]]``, ascending; ``half`` and ``more`` are 128 bits of the set."""
 
     hashes: np.ndarray
     first: np.ndarray
-    key: np.ndarray
+    half: np.ndarray
+    more: np.ndarray
 
     def sizes(self) -> np.ndarray:
         return np.diff(self.first)
@@ -64,32 +69,110 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Sets:
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     hashes, doc = hashes[fresh], doc[fresh]
     first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x6A09E667F3BCC909)))])
-    key = mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
-    return Sets(hashes, first, key)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x)])
+        return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
+
+    return Sets(hashes, first, sums(mix(hashes ^ np.uint64(0x6A09E667F3BCC909))), sums(hashes))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), _signed(values))
+
+
 def _memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node (the set's hash) and, once for each set and task, the shingles that come first in the order of hashes."""
+    """doc_id, n, half and more (the set) of every document; of the first document of each set in a task also ``first``, leading shingles in
+    the order of hashes, and ``shared``: whether another set of the task has one of them.
+
+    A shingle that two sets of a slice have is handed on once for the task, so one that very many documents have makes a few rows for each task."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        common = np.zeros(0, dtype=np.uint64)
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
             n = s.sizes()
-            kept = n - (3 * n + 3) // 4 + 1
-            fresh = np.array([k not in seen and not seen.add(k) for k in s.key.tolist()])
-            kept = np.where(fresh & (n > 1), kept, 0)
+            fresh = np.array([k not in seen and not seen.add(k) for k in zip(s.half.tolist(), s.more.tolist(), strict=True)], dtype=bool)
+            kept = np.where(fresh & (n > 2), leading(n), 0)  # smaller sets link with equal ones only
             ends = np.cumsum(kept)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(s.first[:-1] - ends + kept, kept)
-            first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _signed(s.hashes[at]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), _signed(s.key), first], names=["doc_id", "n", "node", "first"])
+            row = np.repeat(np.arange(len(n)), kept)
+            tokens = s.hashes[np.arange(len(row)) + (s.first[:-1] - ends + kept)[row]]
+            values, place, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+            old = np.isin(values, common, assume_unique=True)
+            twice = counts > 1
+            shared = np.zeros(len(n), dtype=bool)
+            shared[row[(old | twice)[inverse]]] = True
+            handed = np.zeros(len(row), dtype=bool)
+            handed[place[~old]] = True
+            common = np.union1d(common, values[twice])
+            first = _lists(tokens[handed], np.bincount(row[handed], minlength=len(n)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int32()), _signed(s.half), _signed(s.more), pa.array(shared), first], names=["doc_id", "n", "half", "more", "shared", "first"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n int, half long, more long, shared boolean, first array<long>")
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """node, half, more, n, doc_id (the smallest), many of every set. A node's number is the set's first 64 bits or, should
+    another set have the same ones, a hash of all 128."""
+    sets = members.groupBy("half", "more").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("many"))
+    place = F.row_number().over(Window.partitionBy("half").orderBy("more"))
+    return sets.withColumn("node", F.when(place == 1, F.col("half")).otherwise(F.xxhash64("half", "more")))
+
+
+def _partnered(members: DataFrame) -> DataFrame:
+    """half: of the sets that share one of their leading shingles with another set; no other one links."""
+    tokens = members.select("half", F.explode("first").alias("token"))
+    whole = Window.partitionBy("token")
+    met = tokens.withColumn("low", F.min("half").over(whole)).withColumn("high", F.max("half").over(whole)).filter("low < high")
+    return met.select("half").unionByName(members.filter("shared").select("half")).distinct()
+
+
+def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, held (the set's hashes, ascending) of ``nodes``, made again from the text of one document that has the set; where
+    only documents with a null doc_id have it, all of those are read, and joined by the set."""
+    needed = written(nodes.select("node", "half", "more", "doc_id"), "needed")
+    many, unnumbered = needed.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = own.join(F.broadcast(needed) if many <= 1 << 20 else needed, "doc_id")
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            s = shingle_sets(batch.column("text"))
+            half, more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("half", "more"))
+            same = (s.half.view(np.int64) == half) & (s.more.view(np.int64) == more)
+            n = s.sizes()
+            held = _lists(s.hashes[np.repeat(same, n)], n[same])
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(same)), pa.array(n[same], pa.int32()), held], names=["node", "n", "held"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n int, node long, first array<long>")
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            s = shingle_sets(batch.column("text"))
+            n = s.sizes()
+            yield pa.RecordBatch.from_arrays([_signed(s.half), _signed(s.more), pa.array(n, pa.int32()), _lists(s.hashes, n)], names=["half", "more", "n", "held"])
+
+    sets = texts.mapInArrow(each, "node long, n int, held array<long>")
+    if unnumbered:
+        others = own.filter("doc_id is null").select("text").mapInArrow(every, "half long, more long, n int, held array<long>")
+        sets = sets.unionByName(others.join(needed.filter("doc_id is null").drop("doc_id"), ["half", "more"]).select("node", "n", "held"))
+    return sets.dropDuplicates(["node"])
+
+
+def _ranked(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """node, n, shared: the shingles that other sets have too, with the number of sets, rarest first. A set links only if it has
+    three quarters of its shingles from others, so the rest of the sets go."""
+    rows = sets.select("node", "n", F.explode("held").alias("token"))
+    frequent = F.broadcast(counts.filter(F.col("c") >= LIST).orderBy(F.desc("c"), "token").limit(FREQUENT))
+    often = rows.join(frequent, "token")
+    seldom = rows.join(frequent, "token", "left_anti").join(counts, "token")
+    found = often.unionByName(seldom).groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+    return found.filter(4 * F.size("shared") >= 3 * F.col("n"))
 
 
 def boundary(sizes: dict[int, int], partners: float, largest: int = 64) -> int:
@@ -98,62 +181,50 @@ def boundary(sizes: dict[int, int], partners: float, largest: int = 64) -> int:
     A set of size n costs one row for each pair of its first shingles, or one row for each of its first shingles and the
     ``partners`` found in that shingle's list; sets just below the boundary need both to meet the larger ones."""
 
-    def first(n: int) -> int:
-        return n - (3 * n + 3) // 4 + 1
-
     def scan(n: int) -> float:
-        return first(n) * (1 + partners)
+        return leading(n) * (1 + partners)
 
     def cost(x: int) -> float:
         low = (3 * (x + 1) + 3) // 4
-        return sum(c * ((min(n, first(n) + 1) * (min(n, first(n) + 1) - 1) / 2 if n <= x else 0) + (scan(n) if n >= low else 0)) for n, c in sizes.items() if n > 1)
+        return sum(c * ((min(n, leading(n) + 1) * (min(n, leading(n) + 1) - 1) / 2 if n <= x else 0) + (scan(n) if n >= low else 0)) for n, c in sizes.items() if n > 1)
 
     return min(range(largest + 1), key=cost)
 
 
-def _postings(docs: DataFrame, common: np.ndarray, counts: np.ndarray, small: int) -> DataFrame:
-    """key, salt, node, n, pos: the lists. Sets up to ``small`` stand in those of pairs of their first shingles (pos of the second,
-    less 1), larger ones and those that can link with them in those of their first shingles.
-
-    The order puts common shingles last, rarer ones first. A list that can be long is salted by the node, from 1; all others have salt 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((common, counts))  # at most MOVED entries
+def _postings(ranked: DataFrame, small: int) -> DataFrame:
+    """key, salt, salts, node, n, pos: the lists. Sets up to ``small`` stand in those of pairs of their first shingles (pos of the second,
+    less 1), larger ones and those that can link with them in those of their first shingles. Shingles of one set only come
+    first in the order, then rarer ones before common ones. A long list is salted by the node, in ``salts`` parts."""
     low = (3 * (small + 1) + 3) // 4
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            s = shingle_sets(batch.column("text"))
-            sizes = s.sizes()
-            fresh = np.array([k not in seen and not seen.add(k) for k in s.key.tolist()])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            often = np.zeros(len(s.hashes), dtype=np.int64)
-            if len(common):
-                place = np.minimum(np.searchsorted(common, s.hashes), len(common) - 1)
-                hit = common[place] == s.hashes
-                often[hit] = counts[place[hit]]
-            for i in np.unique(row[often > 0]):
-                a, b = s.first[i], s.first[i + 1]
-                order = np.argsort(often[a:b], kind="stable")
-                s.hashes[a:b], often[a:b] = s.hashes[a:b][order], often[a:b][order]
-            pos = np.arange(len(s.hashes)) - s.first[:-1][row]
-            n = sizes[row]
-            first = n - (3 * n + 3) // 4 + 1
-            single = np.flatnonzero((pos < first) & (n >= max(low, 2)) & fresh[row])
-            parts = [(s.hashes[single], often[single], row[single], pos[single])]
-            for i in np.flatnonzero((sizes > 1) & (sizes <= small) & fresh):
-                k = min(sizes[i], sizes[i] - (3 * sizes[i] + 3) // 4 + 2)
+        for batch in batches:
+            held = batch.column("shared")
+            flat, r = held.flatten(), np.diff(held.offsets.to_numpy())
+            count, token = flat.field("c").to_numpy(), flat.field("token").to_numpy().view(np.uint64)
+            node, n = batch.column("node").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            row = np.repeat(np.arange(len(r)), r)
+            begin = np.cumsum(r) - r
+            pos = (n - r - begin)[row] + np.arange(len(row))
+            single = np.flatnonzero((pos < leading(n)[row]) & (n[row] >= low))
+            parts = [(token[single], count[single], row[single], pos[single])]
+            for i in np.flatnonzero(n <= small):
+                k = min(r[i], leading(n[i]) + 1 - (n[i] - r[i]))
+                if k < 2:
+                    continue
                 x, y = np.triu_indices(k, 1)
-                own = s.hashes[s.first[i] : s.first[i] + k]
+                own, often = token[begin[i] : begin[i] + k], count[begin[i] : begin[i] + k]
                 pair = mix(np.minimum(own[x], own[y]) * np.uint64(3) + np.maximum(own[x], own[y]) * np.uint64(5) + np.uint64(1))
-                many = np.minimum(often[s.first[i] : s.first[i] + k][x], often[s.first[i] : s.first[i] + k][y])
-                parts.append((pair, many, np.full(len(x), i), y - 1))
+                parts.append((pair, np.minimum(often[x], often[y]), np.full(len(x), i), pos[begin[i]] + y - 1))
             key, often, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            salt = np.where(often < LIST, 0, 1 + s.key[row] % (1 + often // LIST).astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(salt), _signed(s.key[row]), pa.array(sizes[row], pa.int32()), pa.array(pos, pa.int32())], names=["key", "salt", "node", "n", "pos"])
+            salts = 1 + often // LIST
+            salt = (mix(node[row]) % salts.astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(key), pa.array(salt), pa.array(salts, pa.int32()), _signed(node[row]), pa.array(n[row], pa.int32()), pa.array(pos, pa.int32())],
+                names=["key", "salt", "salts", "node", "n", "pos"],
+            )
 
-    return docs.select("text").mapInArrow(each, "key long, salt int, node long, n int, pos int")
+    return ranked.mapInArrow(each, "key long, salt int, salts int, node long, n int, pos int")
 
 
 def _can_link(a: str, b: str) -> Column:
@@ -162,132 +233,100 @@ def _can_link(a: str, b: str) -> Column:
     return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (F.col(f"{a}.pos") <= n - c) & (F.col(f"{b}.pos") <= m - c)
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node, held (the set's hashes, ascending) of each node, made again from the text of one document that has the set; where
-    only documents with a null doc_id have it, all of those are read, and joined by the set."""
-    needed = written(nodes.join(owners, "node"), "needed")
-    many, unnumbered = needed.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = own.join(F.broadcast(needed) if many <= 1 << 20 else needed, "doc_id")
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            s = shingle_sets(batch.column("text"))
-            same = np.flatnonzero(s.key.view(np.int64) == batch.column("node").to_numpy(zero_copy_only=False))
-            held = [s.hashes[s.first[i] : s.first[i + 1]].tobytes() for i in same]
-            yield pa.RecordBatch.from_arrays([_signed(s.key[same]), pa.array(held, pa.binary())], names=["node", "held"])
-
-    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            s = shingle_sets(batch.column("text"))
-            held = [s.hashes[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([_signed(s.key), pa.array(held, pa.binary())], names=["node", "held"])
-
-    sets = texts.select("node", "text").mapInArrow(each, "node long, held binary")
-    if unnumbered:
-        others = own.filter("doc_id is null").select("text").mapInArrow(every, "node long, held binary")
-        sets = sets.unionByName(others.join(needed.filter("doc_id is null").select("node"), "node", "left_semi"))
-    return sets.dropDuplicates(["node"])
+def _by_list(keyed: DataFrame) -> DataFrame:
+    """A row for each key, once for each salt of its list."""
+    return keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _star(lists: DataFrame, order: Column) -> DataFrame:
+    """a, b: each entry of a list with the list's pivot, the first in ``order``, where the two are in different components and can link."""
+    entry = F.struct(order.alias("o"), "node", "n", "pos", "component")
+    pivots = lists.groupBy("key").agg(F.min(entry).alias("p"), F.max("salts").alias("salts"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    joined = lists.select("key", "salt", "component", F.struct("node", "n", "pos").alias("e")).join(_by_list(pivots), ["key", "salt"])
+    joined = joined.filter(F.col("component") != F.col("p.component")).filter(_can_link("e", "p"))
+    return joined.select(F.greatest("e.node", "p.node").alias("a"), F.least("e.node", "p.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (a, b: nodes) whose sets link, compared shingle by shingle.
 
-    Pairs are grouped by b, large groups in parts of at most about ``LIST`` pairs; within a part b's set comes first and
-    the others stream past it."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
-    routed = pairs.join(parts, "b").select("a", "b", F.pmod("a", "parts").cast("int").alias("part"))
-    heads = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
-    routes = routed.select(F.col("a").alias("node"), "b", "part", F.lit(True).alias("member")).unionByName(heads)
+    Pairs are grouped by the end that more of them have, in parts of at most about ``LIST`` pairs; within a part that end's set comes
+    first and the others stream past it."""
+    total = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("many"))
+    both = joined_by(pairs, ends.select(F.col("node").alias("a"), F.col("many").alias("of_a"), "many"), total, "a")
+    both = joined_by(both, ends.select(F.col("node").alias("b"), F.col("many").alias("of_b"), "many"), total, "b")
+    head = F.when(F.col("of_a") > F.col("of_b"), F.col("a")).otherwise(F.col("b"))
+    many = F.greatest("of_a", "of_b")
+    routed = both.select(head.alias("head"), F.when(head == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.ceil(many / LIST).cast("int").alias("parts"))
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts")
+    heads = routed.groupBy("head", "part").agg(F.lit(False).alias("member")).withColumn("node", F.col("head"))
+    routes = routed.withColumn("member", F.lit(True)).unionByName(heads)
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pivot = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            node, b, part, member = (batch.column(x).to_pylist() for x in ("node", "b", "part", "member"))
+            node, head, part, member = (batch.column(x).to_pylist() for x in ("node", "head", "part", "member"))
             held, found = batch.column("held"), []
+            values, at = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
             for i in range(batch.num_rows):
-                own = np.frombuffer(held[i].as_buffer(), dtype=np.uint64)
+                own = values[at[i] : at[i + 1]]
                 if not member[i]:
-                    current, pivot = (b[i], part[i]), own.copy()
-                elif current == (b[i], part[i]):
+                    current, pivot = (head[i], part[i]), own.copy()
+                elif current == (head[i], part[i]):
                     common = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
                     if 7 * common >= 3 * (len(own) + len(pivot)):
-                        found.append((node[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+                        found.append((node[i], head[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
 
-    grouped = sets.join(routes, "node").repartition("b", "part").sortWithinPartitions("b", "part", "member")
+    grouped = sets.select("node", "held").join(routes, "node").repartition("head", "part").sortWithinPartitions("head", "part", "member")
     return written(grouped.mapInArrow(compared, "a long, b long"), "links")
 
 
-def _star(lists: DataFrame, turn: int) -> DataFrame:
-    """a, b: each entry of a list with the list's pivot, where the two are in different components and can link. The pivot is of
-    the largest component in the list, and another one each turn."""
-    entry = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "pos", "component")
-    pivots = lists.groupBy("key").agg(F.min(entry).alias("p"))
-    joined = lists.withColumn("e", F.struct("node", "n", "pos")).join(pivots, "key").filter(F.col("component") != F.col("p.component"))
-    return joined.filter(_can_link("e", "p")).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-
+def _labelled(lists: DataFrame, reached: DataFrame) -> DataFrame:
+    """The entries of the lists that aren't all in one component, with ``component`` and ``cross``, the pairs of a list's entries in different ones."""
+    placed = lists.drop("component", "cross").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
+    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max("salts").alias("salts"))
+    split = split.filter("parts > 1").select("key", "salts", ((F.col("many") * F.col("many") - F.col("own")) / 2).alias("cross"), "many")
+    return written(placed.join(_by_list(split), ["key", "salt"]), "open")
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-
-def _open(lists: DataFrame) -> DataFrame:
-    """The lists whose entries aren't all in one component, with the number of their entries."""
-    split = lists.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return written(lists.drop("many").join(split.filter("low < high").select("key", "many"), "key"), "open")
-
-
-def _relabelled(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Each linked entry takes its pivot's label; ``size`` is how many entries have a label."""
-    labels = lists.select(F.col("node").alias("b"), "component").distinct()
-    moved = found.join(labels, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("to"))
-    lists = lists.drop("size").join(moved, "node", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
-    return lists.join(lists.groupBy("component").agg(F.count("*").alias("size")), "component")
-
-
-def _reached(lists: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+def _reached(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component of every node that links with another one.
 
-    The entries of a list that aren't known to be connected to its pivot are compared with it: once in every list, and in further turns in
-    lists that stay long, so a large group of near copies costs a few comparisons for each member. A linked entry takes the
-    pivot's label, and lists with one label close. Equal labels mean connected; the labels needn't be complete. When turns find
-    few links, real components are made, and what the open lists still leave in different ones is compared pair by pair,
-    unless it has been: nothing that could link is passed over."""
-    placed = lists.withColumns({"component": F.col("node"), "size": F.lit(1).cast("long")})
-    tested = written(_star(placed, 0), "stars")
-    links = _verified(tested, _sets(_ends(tested), docs, owners))
-    placed = _open(_relabelled(placed, links))
-    long = written(placed.filter(F.col("many") >= LONG), "long")
-    sets = written(_sets(long.select("node").distinct(), docs, owners), "held")
+    The entries of a list are compared with a pivot, the one with the fewest rare shingles before the list's own: what
+    links with anything in a group of near copies mostly links with that. Only entries that this leaves in
+    different components, and that can link, are then compared pair by pair, so a large group costs a few comparisons for each
+    member. While very many such pairs are left and pivots find links, other pivots are taken first."""
+    tested = written(_star(lists.withColumn("component", F.col("node")), F.col("pos") / F.col("n")), "stars")
+    links = _verified(tested, sets)
+    reached = components(links)
+    left = _labelled(lists, reached)
     for turn in range(1, TURNS):
-        pairs = written(_star(long, turn).join(tested, ["a", "b"], "left_anti"), "stars")
-        asked = pairs.count()
-        if not asked:
+        pairs, entries = left.select("key", "cross", "many").distinct().agg(F.sum("cross"), F.sum("many")).first()
+        if not pairs or pairs <= OPEN * entries:
             break
-        found = _verified(pairs, sets)
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if found.count() < WORTH * asked:
+        sizes = left.groupBy("component").agg(F.count("*").alias("size")).withColumn("many", F.col("size"))
+        sized = joined_by(left.drop("many"), sizes, left.count(), "component")
+        asked = written(_star(sized, F.struct(-F.col("size"), F.xxhash64(F.lit(turn), "node"))).join(tested, ["a", "b"], "left_anti"), "stars")
+        found = _verified(asked, sets)
+        tested, links = tested.unionByName(asked), links.unionByName(found)
+        reached = components(links)
+        left = _labelled(left, reached)
+        if found.count() < WORTH * asked.count():
             break
-        long = _open(_relabelled(long, found))
-    reached = written(components(links), "components")
-    placed = _open(placed.drop("component", "size").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    entries = placed.select("key", F.struct("node", "n", "pos").alias("e"), "component")
-    left, right = entries.alias("l"), entries.alias("r")
+    entries = left.select("key", F.struct("node", "n", "pos").alias("e"), "component")
+    l, r = entries.alias("l"), entries.alias("r")
     x, y = F.col("l.e.node"), F.col("r.e.node")
     rest = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
+        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
         .filter(_can_link("l.e", "r.e"))
         .select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         .distinct()
-        .join(_ordered(tested), ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     )
-    rest = written(rest, "rest")
-    found = _verified(rest, _sets(_ends(rest), docs, owners))
+    found = _verified(written(rest, "rest"), sets)
     return components(links.unionByName(found)) if found.count() else reached
 
 
@@ -295,36 +334,29 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Words are what lies between ASCII white space, A-Z lower-cased; sets hold the 64-bit hashes of 5-word shingles. Equal sets are
-    one node, held once for each task before any shuffle. Each node stands in lists that two linked sets must share: up to
-    a size chosen by cost those of pairs of its first shingles, above it those of single ones. Shingles that many documents have
-    come last in the order, so that shared passages don't make long lists; lists that stay long are salted. Links are
-    verified on the whole sets, and no link between different sets is lost (see ``_reached``).
+    one node. Sets that share none of their leading shingles with another set, or fewer than three quarters of all their shingles with
+    other sets, link with nothing and go first. Each node left stands in lists that two linked sets must share: up to
+    a size chosen by cost those of pairs of its first shingles, above it those of single ones. Shingles are in the order of the number of
+    sets that have them, so that shared passages make no long lists; long lists are salted. Links are
+    verified on the whole sets, and no link between different sets that would connect more is lost (see ``_reached``).
 
     Null and empty texts have an empty set, and their own doc_id as component; so have documents without links. A null doc_id is
     ignored when the smallest of a component is sought; its text links as any other. Repeated rows stay. Other columns are ignored; no rows give no rows."""
-    members = written(_memberships(docs), "sets")
-    tokens = members.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    tokens = written(tokens, "counts")
-    common = tokens.filter(F.col("c") >= COMMON).orderBy(F.desc("c"), "token").limit(MOVED).toPandas()
-    moved, often = common["token"].to_numpy(dtype=np.int64).view(np.uint64), common["c"].to_numpy(dtype=np.int64)
-    order = np.argsort(moved)
-    light = tokens.filter(F.col("c") < COMMON).agg(F.sum(F.col("c") * (F.col("c") - 1))).first()[0] or 0
-    sizes = {r.n: r["count"] for r in members.groupBy(F.least("n", F.lit(128)).alias("n")).count().collect()}
-    rows = sum(c * (n - (3 * n + 3) // 4 + 1) for n, c in sizes.items() if n > 1)
-    small = boundary(sizes, light / max(rows, 1))
-    lists = _postings(docs, moved[order], often[order], small)
-    whole = Window.partitionBy("key", "salt")
-    lists = lists.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
-    # a salted list has its other nodes under any salt, so none of its entries is alone until the lists are taken by key
-    lists = lists.filter("low < high or salt > 0").select("key", "salt", "node", "n", "pos").distinct()
-    owners = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    reached = _reached(written(lists, "lists"), docs, owners)
-    placed = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(reached, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    roots = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("root"))
-    return placed.join(roots, "component", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    members = written(_memberships(docs), "members")
+    nodes = written(_nodes(members), "nodes")
+    sets = written(_sets(nodes.join(_partnered(members), "half"), docs), "held")
+    counts = written(sets.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("c")).filter("c > 1"), "counts")
+    ranked = written(_ranked(sets, counts), "ranked")
+    sizes = {r.n: r["count"] for r in ranked.groupBy(F.least("n", F.lit(128)).alias("n")).count().collect()}  # 128 rows at most
+    partners = (counts.agg(F.avg("c")).first()[0] or 1.0) - 1
+    lists = written(_postings(ranked, boundary(sizes, partners)), "lists")
+    reached = _reached(lists, sets)
+    placed = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = placed.groupBy("component").agg(F.min("doc_id").alias("root"))
+    named = written(placed.join(roots, "component").select("half", "more", "n", "many", "root"), "roots")
+    dropped(nodes, sets, counts, ranked, lists)
+    own = joined_by(members.select("doc_id", "half", "more"), named, named.agg(F.max("many")).first()[0] or 0, "half", "more")
+    return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -332,9 +364,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     Rows with one doc_id are one document: they stay or go together; rows with a null one stay. The ids that go are broadcast while they are at most a
     million; more of them are joined by a shuffle."""
-    gone = written(join_documents(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = written(join_documents(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     few = gone.count() <= 1 << 20
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where the session names none, as in local tests, one is made here."""
+    Where the session names none, a session in one process, as in tests, gets a temporary one; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-zonestudy-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/zonestudy/{uuid.uuid4().hex}/{name}"
@@ -30,6 +33,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of ``tables`` that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {m[1] for m in (re.match(r"(.*/zonestudy/[0-9a-f]{32})/", f) for f in df.inputFiles()) if m}:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sessionState().newHadoopConf()).delete(path, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``max_bytes`` in each piece; one longer value is a piece of its own."""
     for batch in batches:
