@@ -19,7 +19,7 @@ _CHAR = np.zeros(256, dtype=np.int64)  # bytes of the character that a byte begi
 _CHAR[:128], _CHAR[192:224], _CHAR[224:240], _CHAR[240:] = 1, 2, 3, 4
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Cells of a lattice that are held at once.
-CELLS = 2 << 20
+CELLS = 1 << 20
 
 
 class Pieces:
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, file: str, alpha: float = 1.0) -> DataFram
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(file, alpha)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             ids, ends, data, new = pieces.sample(batch.column("text"), batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
             back = pieces.decode(ids)
             whole = len(back) == len(data)

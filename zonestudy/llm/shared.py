@@ -42,7 +42,7 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``max_bytes`` in each piece; one longer value is a piece of its own."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that a worker keeps: those of texts of up to so many bytes.
+KEPT = 1 << 20
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _scale(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for ``n`` bytes at least."""
-    return _powers(1 << max(16, n.bit_length()))
+    if n > KEPT:
+        return _powers(n)
+    if not _kept or len(_kept[0][0]) < n:
+        _kept[:] = [_powers(min(KEPT, 1 << max(16, n.bit_length())))]
+    return _kept[0]
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
     up[0] = down[0] = 1
