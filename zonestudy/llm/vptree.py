@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import written
 
-#: Rounding that a squared distance may carry, as a share of the sphere's squared radius.
-SLACK = 1e-9
-#: Entries of a leaf kept beyond k: near ties are told apart by exact scores later.
-SPARE = 12
+#: Rounding that a sum of products may carry, as a share of the two lengths' product.
+SLACK = 1e-12
 
 
 @dataclass
 class Tree:
-    """Vectors in leaf order (by id within a leaf), and nodes: (first, last, vantage point, least and largest distance to it of the
-    inner and of the outer half, left, right)."""
+    """Vectors in leaf order, the ``radius`` of the sphere they are lifted to, and nodes: (first, last, vantage point, least and largest
+    distance to it of the inner and of the outer half, left, right); in place of the vantage point a leaf has None."""
 
     ids: np.ndarray
     vectors: np.ndarray
+    radius: float
     nodes: list[tuple]
 
 
@@ -38,8 +37,9 @@ def lifted(vectors: np.ndarray, radius: float) -> np.ndarray:
     return np.hstack([vectors, rest[:, None]])
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, radius: float, leaf: int = 256) -> Tree:
+def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = 256) -> Tree:
     """Splits at the median distance from the point farthest from the mean, by rank, so that equal points split as well."""
+    radius = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max())) * (1 + 1e-9)
     points, order, nodes = lifted(vectors, radius), np.arange(len(ids)), []
 
     def split(a: int, b: int) -> int:
@@ -47,7 +47,6 @@ def build(ids: np.ndarray, vectors: np.ndarray, radius: float, leaf: int = 256)
         nodes.append((a, b, None, None, None, -1, -1))
         own = order[a:b]
         if b - a <= leaf:
-            order[a:b] = own[np.argsort(ids[own], kind="stable")]
             return at
         far = points[own[np.argmax(((points[own] - points[own].mean(axis=0)) ** 2).sum(axis=1))]]
         d = np.sqrt(((points[own] - far) ** 2).sum(axis=1))
@@ -59,41 +58,62 @@ def build(ids: np.ndarray, vectors: np.ndarray, radius: float, leaf: int = 256)
         return at
 
     split(0, len(ids))
-    return Tree(ids[order], vectors[order], nodes)
+    return Tree(ids[order], vectors[order], radius, nodes)
 
 
-def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, radius: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place in the tree) of what can be among each query's ``k`` largest inner products in ``tree``.
+def first_of_equal(ids: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest ids of each distinct vector. Equal vectors tie, and ties go to the smaller id, so no others can be among
+    a query's n - 1 nearest, even if the query is one of them."""
+    rows = np.ascontiguousarray(vectors)
+    _, kind = np.unique(rows.view([("", rows.dtype)] * rows.shape[1]).ravel(), return_inverse=True)
+    order = np.lexsort((ids, kind))
+    first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return np.sort(order[rank < n])
 
-    Each query first goes down to the leaf it lies nearest to, which bounds its k-th distance. Then all go through the tree
+
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` largest scores, ties to the smaller id, largest first."""
+    order = np.lexsort((ids, -score, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+
+
+def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in the tree, score) of each query's ``k`` largest inner products in ``tree``, ties to the smaller id.
+
+    Each query first goes down to the leaf it lies nearest to, which bounds its k-th score. Then all go through the tree
     together, and a branch is left out for the queries to which the triangle inequality puts it farther than
-    their bound divided by ``factor``: 1 loses nothing, more looks at less. A point with the query's id isn't its neighbour."""
-    queries = np.hstack([vectors.astype(np.float64), np.zeros((len(vectors), 1))])
-    points = lifted(tree.vectors, radius)
-    slack = SLACK * radius * radius
-    square, other = (queries * queries).sum(axis=1), (points * points).sum(axis=1)
+    their bound divided by ``factor``: 1 loses nothing, more looks at less. In a leaf all that can be among the k, rounding
+    included, is scored exactly. A point with the query's id isn't its neighbour."""
+    queries, points = vectors.astype(np.float64), tree.vectors.astype(np.float64)
+    flat = np.hstack([queries, np.zeros((len(queries), 1))])
+    length, norms = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((points * points).sum(axis=1))
+    span = length * length + tree.radius * tree.radius  # squared distance: span - 2 * score
+    floor = np.full(len(queries), -np.inf)
+    best = np.full((len(queries), k), -np.inf)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def scores(a: int, b: int, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = queries[active] @ points[a:b].T
+        s[ids[active][:, None] == tree.ids[a:b][None, :]] = -np.inf
+        return s, SLACK * length[active] * norms[a:b].max()
 
-    def distances(a: int, b: int, active: np.ndarray) -> np.ndarray:
-        d = square[active][:, None] - 2.0 * (queries[active] @ points[a:b].T) + other[a:b][None, :]
-        d[ids[active][:, None] == tree.ids[a:b][None, :]] = np.inf
-        return d
+    def kth(s: np.ndarray) -> np.ndarray:
+        return np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf)
 
     def gap(d: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
         return np.maximum(np.maximum(bounds[0] - d, d - bounds[1]), 0.0)
 
-    limit = np.full(len(queries), np.inf)
-    best = np.full((len(queries), k), np.inf)
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
     def down(at: int, active: np.ndarray) -> None:
         a, b, far, inner, outer, left, right = tree.nodes[at]
         if not len(active):
             return
         if far is None:
-            if b - a >= k:
-                limit[active] = np.partition(distances(a, b, active), k - 1, axis=1)[:, k - 1]
+            s, slack = scores(a, b, active)
+            floor[active] = kth(s) - slack
             return
-        d = np.sqrt(((queries[active] - far) ** 2).sum(axis=1))
+        d = np.sqrt(((flat[active] - far) ** 2).sum(axis=1))
         near = gap(d, inner) <= gap(d, outer)
         down(left, active[near])
         down(right, active[~near])
@@ -103,25 +123,30 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, radius: float, k: i
         if not len(active):
             return
         if far is None:
-            d = distances(a, b, active)
-            top = np.argsort(np.floor(d / slack), axis=1, kind="stable")[:, : k + SPARE]
-            d = np.take_along_axis(d, top, axis=1)
-            best[active] = np.sort(np.hstack([best[active], d]), axis=1)[:, :k]
-            rows, columns = np.nonzero(d <= (np.minimum(limit, best[:, -1])[active] + slack)[:, None])
-            kept.append((active[rows], a + top[rows, columns], d[rows, columns]))
+            s, slack = scores(a, b, active)
+            least = np.maximum(np.maximum(floor, best[:, -1])[active], kth(s)) - 2 * slack
+            rows, columns = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            exact = inner_products(vectors[active[rows]], tree.vectors[a + columns])
+            top = best_of(rows, tree.ids[a + columns], exact, k)
+            kept.append((active[rows[top]], a + columns[top], exact[top]))
+            own = np.full((len(active), k), -np.inf)
+            rank = np.arange(len(top)) - np.searchsorted(rows[top], rows[top])
+            own[rows[top], rank] = exact[top]
+            best[active] = -np.sort(-np.hstack([best[active], own]), axis=1)[:, :k]
             return
-        d = np.sqrt(((queries[active] - far) ** 2).sum(axis=1))
+        d = np.sqrt(((flat[active] - far) ** 2).sum(axis=1))
         for child, bounds in ((left, inner), (right, outer)):
-            bound = np.sqrt(np.maximum(np.minimum(limit, best[:, -1])[active], 0.0) + slack) / factor
-            through(child, active[gap(d, bounds) <= bound + np.sqrt(slack)])
+            least = np.maximum(floor, best[:, -1])[active]
+            bound = np.sqrt(np.maximum(span[active] - 2 * least, 0.0) + SLACK * span[active]) / factor
+            through(child, active[gap(d, bounds) <= bound + SLACK * np.sqrt(span[active])])
 
     everyone = np.arange(len(queries))
     down(0, everyone)
     through(0, everyone)
     empty = (everyone[:0], everyone[:0], np.zeros(0))
-    query, place, d = (np.concatenate(x) for x in zip(*kept, empty, strict=True))
-    near = np.isfinite(d) & (d <= np.minimum(limit, best[:, -1])[query] + slack)
-    return query[near], place[near]
+    query, place, score = (np.concatenate(x) for x in zip(*kept, empty, strict=True))
+    top = best_of(query, tree.ids[place], score, k)
+    return query[top], place[top], score[top]
 
 
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,9 +176,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
     chosen = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     chosen = chosen.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("q").alias("q")).withColumn("dim", F.size("embedding"))
     chosen = written(chosen, "vectors")
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    total, queries, largest = chosen.agg(F.count("*"), F.count(F.when(F.col("q"), 1)), F.max(square)).first()
-    radius = float(np.sqrt(largest or 1.0)) * (1 + 1e-9)
+    total, queries = chosen.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-queries // query_rows))
 
     def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +184,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
         return pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].to_list())
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "tree": [pickle.dumps(build(*packed(pdf), radius))]})
+        ids, vectors = packed(pdf)
+        first = first_of_equal(ids, vectors, k + 1)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "tree": [pickle.dumps(build(ids[first], vectors[first]))]})
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "queries": [pickle.dumps(packed(pdf))]})
@@ -178,13 +203,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
             for i in range(batch.num_rows):
                 own: Tree = pickle.loads(batch.column("tree")[i].as_py())
                 ids, vectors = pickle.loads(batch.column("queries")[i].as_py())
-                query, place = search(own, ids, vectors, radius, k, factor)
-                score = inner_products(vectors[query], own.vectors[place])
-                order = np.lexsort((own.ids[place], -score, query))
-                query, place, score = query[order], place[order], score[order]
-                first = np.flatnonzero(np.diff(query, prepend=-1))
-                keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query[keep]], pa.int64()), pa.array(own.ids[place[keep]], pa.int64()), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                query, place, score = search(own, ids, vectors, k, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query], pa.int64()), pa.array(own.ids[place], pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     hits = pairs.repartition(spark.sparkContext.defaultParallelism * 4, "dim", "shard", "block").select("tree", "queries").mapInArrow(found, "query_id long, vec_id long, score double")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
