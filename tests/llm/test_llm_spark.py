@@ -225,7 +225,7 @@ def test_overlaps_and_licenses_on_tables(spark, docs):
     text = "Released under the MIT License."
     extra = docs.unionByName(table(spark, [(90, text), (90, text), (91, "see t0 t1 t2 " + " ".join(f"t{i}" for i in range(3, 40)) + " end")]))
     items = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(40))), (2, None), (None, "q " * 20)], "item_id long, text string")
-    found = decontaminate.find_overlaps(extra, items, block_bytes=10).collect()
+    found = decontaminate.find_overlaps(extra, items).collect()
     assert {r.doc_id for r in found if r.item_id == 1} == {10, 16, 22, 28, 34, 40, 46, 52, 58, 64, 30, 31, 91}
     clean = decontaminate.without_overlaps(extra, items)
     assert clean.columns == extra.columns and {r.doc_id for r in clean.collect()}.isdisjoint({30, 91}) and clean.filter("doc_id = 90").count() == 2

@@ -366,7 +366,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     million; more of them are joined by a shuffle."""
     gone = written(join_documents(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     few = gone.count() <= 1 << 20
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 ORACLE = r"""
