@@ -230,6 +230,10 @@ def test_overlaps_and_licenses_on_tables(spark, docs):
     clean = decontaminate.without_overlaps(extra, items)
     assert clean.columns == extra.columns and {r.doc_id for r in clean.collect()}.isdisjoint({30, 91}) and clean.filter("doc_id = 90").count() == 2
     assert [(r.doc_id, r.license) for r in licenses.scan(extra).collect()] == [(90, "MIT")] * 2
+    own = spark.createDataFrame([("short", "mit license", 1), ("none", None, 1), ("long", " ".join(f"t{i}" for i in range(50)), 1)], "license string, text string, doc_id int")
+    found = licenses.scan(extra, own, block_bytes=5).collect()
+    assert sorted({(r.doc_id, r.license) for r in found}) == sorted([(90, "short"), *((i, "long") for i in (10, 16, 22, 28, 34, 40, 46, 52, 58, 64, 30, 31))])
+    assert licenses.scan(extra, own.limit(0)).count() == 0
 
 
 def test_toxicity_on_tables(spark):

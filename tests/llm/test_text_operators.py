@@ -136,8 +136,9 @@ def test_alignment_against_full_table():
             for j in range(1, len(x) + 1):
                 table[i][j] = max(0, table[i - 1][j - 1] + (2 if t[i - 1] == x[j - 1] else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
                 best = max(best, table[i][j])
-        matched, s, e = licenses.align(np.array(t), np.array(x), 0, 20)
-        assert 0 <= s < e <= len(x) and 2 * matched >= best
+        padded = np.array([[-1] * 20 + x + [-1] * (len(t) + 20 - len(x)), [-1] * (len(t) + 40)])
+        (matched, none), (s, _), (e, _) = licenses.align(np.array(t), padded, padded >= 0, 20)
+        assert 20 <= s < e <= 20 + len(x) and 2 * matched >= best and none == 0
 
 
 def test_license_scan_of_texts():
@@ -152,6 +153,32 @@ def test_license_scan_of_texts():
             assert c == 1.0 and texts[r].encode()[s:e] == b"Released under the MIT License"
 
 
+def best_cover(template, text):
+    """The most words of ``template`` that a stretch of ``text`` of its length has at the same places."""
+    n = len(template)
+    return max([sum(x == y for x, y in zip(template, text[i : i + n])) for i in range(len(text) - n + 1)], default=0)
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.1, 0.995), (0.2, 0.98)])
+def test_license_recall_of_changed_words(share, least):
+    rng = random.Random(11)
+    own, asked, found_ = licenses.index(licenses.TEMPLATES), 0, 0
+    for name, text in licenses.TEMPLATES.items():
+        plain = re.findall(r"[a-z0-9]+", text.lower())
+        copies = [["x"] * rng.randrange(1, 9) + [w if rng.random() >= share else f"c{rng.randrange(50)}" for w in plain] + ["y"] * 5 for _ in range(60)]
+        got = {(r, own.names[t]) for r, t, *_ in licenses.scan_texts(pa.array([" ".join(c) for c in copies]), own, 0.75, 4)}
+        want = [r for r, c in enumerate(copies) if best_cover(plain, c) >= 0.75 * len(plain)]
+        asked += len(want)
+        found_ += sum((r, name) in got for r in want)
+    assert found_ >= least * asked > 300
+
+
+def test_license_with_words_put_in_and_left_out():
+    own = licenses.index(licenses.TEMPLATES)
+    found = licenses.scan_texts(pa.array(["Released under a MIT License.", "released under the very MIT license", "under the sun", "mit"]), own, 0.75, 4)
+    assert {(r, own.names[t]) for r, t, *_ in found} == {(0, "MIT"), (1, "MIT")}
+
+
 def test_noisy_or_against_the_formula():
     vocabulary = np.sort(np.array([words.hash_words("bad", words.PUNCTUATION)[0] ^ toxicity._WHOLE], dtype=np.uint64))
     model = toxicity.ToxicModel(vocabulary, np.array([3.0]), -2.0, 0.1)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import slices
 from zonestudy.llm.words import PUNCTUATION, hash_words, tokenize, windows
 
+SCHEMA = "doc_id long, license string, matched_words int, coverage double, start_byte long, end_byte long"
+#: Cells of an alignment's rows that are held at once.
+CELLS = 1 << 20
+
 #: Public license notices and grants, by name.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -36,6 +42,19 @@ TEMPLATES: dict[str, str] = {
         "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
     "BSD grant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -63,12 +82,18 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(runs)) + window - 1 - np.argmin(runs, axis=1))
 
 
-def index(templates: dict[str, str], shingle: int = 4, window: int = 4) -> Index:
-    """Fingerprints of every template; a template shorter than a shingle has one of all its words. Templates without words have none."""
-    words = [hash_words(text, PUNCTUATION) for text in templates.values()]
+def kind_of(n: int) -> tuple[int, int]:
+    """Words of a shingle and of a winnowing window for a template of ``n`` words. Short templates keep all their shingles, and short ones:
+    of the words of which a quarter are changed, two neighbours stay."""
+    return (min(n, 2), 1) if n < 20 else (3, 1) if n < 40 else (4, 4)
+
+
+def index(templates: dict[str, str]) -> Index:
+    """Fingerprints of every template (see ``kind_of``). Templates without words have none."""
+    words = [hash_words(text or "", PUNCTUATION) for text in templates.values()]
     found: dict[int, list] = {}
     for i, w in enumerate(words):
-        k = min(shingle, len(w))
+        k, window = kind_of(len(w))
         if k:
             hashes, _ = windows(w, np.zeros(len(w), dtype=np.int64), tuple(range(k)))
             at = winnow(hashes, window)
@@ -81,72 +106,106 @@ def index(templates: dict[str, str], shingle: int = 4, window: int = 4) -> Index
     return Index(list(templates), words, tables)
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """(words matched, first, end in ``text``) of the best local alignment in which template word i lies within ``band`` of text
-    word ``shift`` + i. A match scores 2, a mismatch or a gap -1; of equal scores the one with the earliest end is taken."""
-    t, x = template.tolist(), text.tolist()
-    best, before = (0, 0, 0, 0), {}
-    for i, word in enumerate(t):
-        row: dict[int, tuple[int, int, int]] = {}
-        left = (0, 0, 0)
-        for j in range(max(0, shift + i - band), min(len(x), shift + i + band + 1)):
-            corner, above = before.get(j - 1, (0, 0, j)), before.get(j, (0, 0, j))
-            if corner[0] <= 0:
-                corner = (0, 0, j)
-            equal = x[j] == word
-            ways = [(corner[0] + (2 if equal else -1), corner[1] + equal, corner[2]), (above[0] - 1, above[1], above[2]), (left[0] - 1, left[1], left[2])]
-            left = max(ways, key=lambda w: (w[0], w[1], -w[2]))
-            if left[0] <= 0:
-                left = (0, 0, j)
-            row[j] = left
-            if left[0] > best[0]:
-                best = (*left, j + 1)
+#: Places of score, words matched and start in one number, so that the larger one is the better one.
+_SCORE, _MATCHED = 40, 20
+
+
+def align(template: np.ndarray, texts: np.ndarray, inside: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words matched, first, end in the row) of the best local alignment of ``template`` with each row of ``texts``, in which template word i
+    lies at one of the columns i to i + 2 * band. A match scores 2, a mismatch or a gap -1; of equal scores the one with the earliest end
+    is taken. Columns that aren't ``inside`` match nothing. All rows go through the table together, cell by cell."""
+    one, top = np.int64(1), np.int64((1 << _MATCHED) - 1)
+    width, rows = 2 * band + 1, len(texts)
+    fresh = top - np.arange(texts.shape[1] + 1)  # score 0, nothing matched, begins here
+    best, end = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+    before = np.repeat(fresh[None, : width + 1], rows, axis=0)
+    for i, word in enumerate(template):
+        row = np.empty_like(before)
+        row[:, width] = fresh[i + width]
+        left = np.full(rows, fresh[i])
+        for t in range(width):
+            j = i + t
+            equal = (texts[:, j] == word) & inside[:, j]
+            corner = np.where(before[:, t] >> _SCORE > 0, before[:, t], fresh[j])
+            corner = np.where(equal, corner + (one << (_SCORE + 1)) + (one << _MATCHED), corner - (one << _SCORE))
+            left = np.maximum(corner, np.maximum(before[:, t + 1], left) - (one << _SCORE))
+            left = np.where(left >> _SCORE > 0, left, fresh[j])
+            row[:, t] = left
+            better = left >> _SCORE > best >> _SCORE
+            best, end = np.where(better, left, best), np.where(better, j + 1, end)
         before = row
-    return best[1], best[2], best[3]
+    return best >> _MATCHED & top, top - (best & top), end
 
 
 def scan_texts(texts: pa.Array, own: Index, min_coverage: float, band: int) -> list[tuple[int, int, int, float, int, int]]:
     """(row, template, words matched, coverage, first and last byte) of every place where a template is covered enough.
 
-    Hits of one template whose diagonals lie within ``band`` of each other are one candidate; places that overlap an earlier one
+    Hits of one template on close diagonals are one candidate, aligned within twice ``band`` of it; places that overlap an earlier one
     of the same template are the same place, the best of which is kept."""
     w = tokenize(texts, PUNCTUATION)
     first = np.concatenate([[0], np.cumsum(w.counts())])
-    hits = set()
+    hits = [np.zeros((0, 3), dtype=np.int64)]
     for k, (hashes, templates, places) in own.tables.items():
         found, at = windows(w.hash, w.doc, tuple(range(k)))
         low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-        for i in np.flatnonzero(high > low):
-            for j in range(low[i], high[i]):
-                hits.add((int(w.doc[at[i]]), int(templates[j]), int(at[i] - places[j])))
-    out, last = [], None
-    for row, template, shift in sorted(hits):
-        if last and last[:2] == (row, template) and shift - last[2] <= band:
-            continue
-        last = (row, template, shift)
-        words = own.words[template]
-        a, b = max(first[row], shift - 2 * band), min(first[row + 1], shift + len(words) + 2 * band)
-        matched, s, e = align(words, w.hash[a:b], shift - a, 2 * band)
-        if matched and matched >= min_coverage * len(words):
-            found = (row, template, matched, matched / len(words), int(w.start[a + s] - w.offsets[row]), int(w.end[a + e - 1] - w.offsets[row]))
-            if out and out[-1][:2] == found[:2] and found[4] < out[-1][5]:
-                out[-1] = max(out[-1], found, key=lambda x: x[2])
-            else:
-                out.append(found)
-    return out
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.75, band: int = 4) -> DataFrame:
+        many = high - low
+        at, j = np.repeat(at, many), np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        hits.append(np.stack([w.doc[at], templates[j], at - places[j]], axis=1))
+    hits = np.concatenate(hits)
+    hits = hits[np.lexsort(hits.T[::-1])]
+    _, keep = np.unique(np.stack([hits[:, 0], hits[:, 1], hits[:, 2] // (band + 1)], axis=1), axis=0, return_index=True)
+    hits, out = hits[keep], []
+    for template in np.unique(hits[:, 1]):
+        words, hit = own.words[template], hits[hits[:, 1] == template]
+        for part in np.array_split(hit, -(-len(hit) * (len(words) + 4 * band) // CELLS)):
+            columns = part[:, 2:] - 2 * band + np.arange(len(words) + 4 * band)
+            inside = (columns >= first[part[:, :1]]) & (columns < first[part[:, :1] + 1])
+            matched, s, e = align(words, w.hash[np.clip(columns, 0, len(w.hash) - 1)], inside, 2 * band)
+            for i in np.flatnonzero((matched > 0) & (matched >= min_coverage * len(words))):
+                row, a, b = part[i, 0], columns[i, s[i]], columns[i, e[i] - 1]
+                out.append((int(row), int(template), int(matched[i]), matched[i] / len(words), int(w.start[a] - w.offsets[row]), int(w.end[b] - w.offsets[row])))
+    places: list[tuple[int, int, int, float, int, int]] = []
+    for x in sorted(out, key=lambda x: (x[0], x[1], x[4], x[5])):
+        if places and places[-1][:2] == x[:2] and x[4] < places[-1][5]:
+            places[-1] = max(places[-1], x, key=lambda y: y[2])
+        else:
+            places.append(x)
+    return places
+
+
+def _blocks(templates: DataFrame, block_bytes: int) -> Iterator[dict[str, str]]:
+    held: dict[str, str] = {}
+    size = 0
+    for name, text in templates.select("license", "text").toLocalIterator():
+        held[name] = text
+        size += len(text or "")
+        if size >= block_bytes:
+            yield held
+            held, size = {}, 0
+    yield held
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, min_coverage: float = 0.75, band: int = 4, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, license, matched_words, coverage, start_byte, end_byte: every place of a document's whole text that holds
     ``min_coverage`` of a template's words in order.
 
-    Words are runs of letters and digits, A-Z lower-cased. Every shingle of a text is looked up among the templates'
-    winnowed fingerprints, so any run of seven template words is found, and a short template by its single
-    fingerprint. The templates are a parameter and small; the documents are read once and never shuffled. Null and empty texts hold no
+    ``templates`` has license (a name) and text; without it the few notices and grants above are taken. Words are runs of letters and digits,
+    A-Z lower-cased. Every shingle of a text is looked up among the templates' fingerprints: of templates of 40 words and more winnowed
+    ones of four words, of shorter ones all of three or two, so that a place in which a quarter of the words are changed is still a
+    candidate. Candidates are aligned in a band, so words put in or left out are allowed, too. The templates are read in blocks of
+    ``block_bytes``, each broadcast and met in one pass over the documents, which are never shuffled. Null and empty texts and templates hold no
     license; repeated rows are scanned one by one; other columns are ignored; no rows or templates give no rows."""
-    own = index(TEMPLATES if templates is None else templates)
+    out, spark = None, docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for block in [TEMPLATES] if templates is None else _blocks(templates, block_bytes):
+        part = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(index(block)), min_coverage, band), SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def _scanner(shared: Broadcast, min_coverage: float, band: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in slices(batches, "text"):
             ids = batch.column("doc_id")
             rows = [(ids[r].as_py(), own.names[t], m, c, s, e) for r, t, m, c, s, e in scan_texts(batch.column("text"), own, min_coverage, band)]
@@ -154,4 +213,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
             names = ["doc_id", "license", "matched_words", "coverage", "start_byte", "end_byte"]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], type=kind) for k, kind in enumerate(kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, license string, matched_words int, coverage double, start_byte long, end_byte long")
+    return each
