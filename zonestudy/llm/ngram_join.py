@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,37 +87,159 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), _signed(values))
 
 
+#: One row for each document, or the tokens that a slice of documents sends to a part of all tokens, or places of the slice that had shared ones.
+CHUNK = "part int, slice long, place int, doc_id long, n int, half long, more long, rows binary, tokens binary"
+#: Tokens of a part, about; and the row of a token whose sets in the slice are known to share it.
+PART, CREDITED = 1 << 20, 65_535
+
+
+def _binary(parts: list[bytes | None]) -> pa.Array:
+    return pa.array(parts, pa.binary())
+
+
+def _rows(part: list | np.ndarray, slice_: int | list, count: int, **columns: pa.Array | list) -> pa.RecordBatch:
+    """A batch of ``CHUNK`` with ``count`` rows; columns not given are null."""
+    kinds = {"part": pa.int32(), "slice": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "n": pa.int32(), "half": pa.int64(), "more": pa.int64(), "rows": pa.binary(), "tokens": pa.binary()}
+    columns |= {"part": part, "slice": [slice_] * count if isinstance(slice_, int) else slice_}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(count, k) for c, k in kinds.items()], names=list(kinds))
+
+
+def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of the slice's rows, by part; each once, with the row if it is the only one. The rows of others are credited here.
+
+    A token is sent with its last 40 bits; the part has others. Two that look alike count as one, which lets more sets through, never fewer."""
+    values, place, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    known = counts[inverse] > 1
+    if known.any():
+        yield _rows([slice_ % parts], slice_, 1, rows=[row[known].astype(np.uint16).tobytes()])
+    part = ((values >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    there, begin = np.unique(part[order], return_index=True)
+    own = np.where(counts > 1, CREDITED, row[place])[order].astype(np.uint16)
+    low = np.ascontiguousarray(values[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+    ends = [*begin[1:].tolist(), len(order)]
+    if len(there):
+        cut = [(a, b) for a, b in zip(begin.tolist(), ends, strict=True)]
+        yield _rows(there, slice_, len(there), rows=_binary([own[a:b].tobytes() for a, b in cut]), tokens=_binary([low[a:b].tobytes() for a, b in cut]))
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part: the rows whose tokens another slice has as well go back to their slice; all else passes."""
+    held: list[tuple[int, bytes, bytes]] = []
+    current = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        lengths = [len(r) // 2 for _, r, _ in held]
+        wide = np.zeros((sum(lengths), 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(t for _, _, t in held), dtype=np.uint8).reshape(-1, 5)
+        _, inverse, counts = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+        rows = np.frombuffer(b"".join(r for _, r, _ in held), dtype=np.uint16)
+        keep = (counts[inverse] > 1) & (rows != CREDITED)
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])]
+        rows = rows[keep]
+        back = [(held[k][0], rows[a:b].tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        held.clear()
+        yield _rows([current] * len(back), [x for x, _ in back], len(back), rows=_binary([x for _, x in back]))
+
+    for batch in batches:
+        sends = batch.column("tokens").is_valid()
+        yield batch.filter(pa.compute.invert(sends))
+        sent = batch.filter(sends)
+        part, slice_, rows, tokens = (sent.column(c).to_pylist() for c in ("part", "slice", "rows", "tokens"))
+        for k in range(sent.num_rows):
+            if part[k] != current and held:
+                yield from flush()
+            current = part[k]
+            held.append((slice_[k], rows[k], tokens[k]))
+    if held:
+        yield from flush()
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by slice: doc_id, n, half, more of each document, and ``shared``, how many of its tokens came back."""
+    docs: list[tuple] = []
+    hits: list[bytes] = []
+    current = None
+
+    def flush() -> pa.RecordBatch:
+        counts = np.bincount(np.frombuffer(b"".join(hits), dtype=np.uint16), minlength=1 + max((d[0] for d in docs), default=0))
+        place, doc, n, half, more = zip(*docs, strict=True) if docs else ((), (), (), (), ())
+        docs.clear()
+        hits.clear()
+        shared = counts[list(place)] if place else []
+        columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(half, pa.int64()), pa.array(more, pa.int64()), pa.array(shared, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "half", "more", "shared"])
+
+    for batch in batches:
+        slice_, rows = batch.column("slice").to_pylist(), batch.column("rows").to_pylist()
+        own = list(zip(*(batch.column(c).to_pylist() for c in ("place", "doc_id", "n", "half", "more")), strict=True))
+        for k, name in enumerate(slice_):
+            if name != current and (docs or hits):
+                yield flush()
+            current = name
+            if rows[k] is None:
+                docs.append(own[k])
+            else:
+                hits.append(rows[k])
+    if docs or hits:
+        yield flush()
+
+
+def _with_shared(chunks: DataFrame) -> DataFrame:
+    """doc_id, n, half, more, shared, from the rows of ``CHUNK`` that slices of documents make."""
+    met = chunks.repartition("part").sortWithinPartitions("part").mapInArrow(_met, CHUNK)
+    by_slice = met.select("slice", "place", "doc_id", "n", "half", "more", "rows").repartition("slice").sortWithinPartitions("slice")
+    return by_slice.mapInArrow(_counted, "doc_id long, n int, half long, more long, shared int")
+
+
+def sampled(n: int | np.ndarray) -> int | np.ndarray:
+    """How many first shingles in the order of hashes ``_memberships`` looks at: enough for two sets that link to have ``n // 4 + 1`` of
+    them in common, by the size of the smaller one."""
+    return leading(n) + n // 4
+
+
 def _memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n, half and more (the set) of every document; of the first document of each set in a task also ``first``, leading shingles in
-    the order of hashes, and ``shared``: whether another set of the task has one of them.
+    """doc_id, n, half, more (the set) and ``shared`` of every document: how many of its set's first ``sampled`` shingles in the order of hashes
+    are among those of other sets, or of copies in other tasks. Of equal sets in a task the first one counts.
 
-    A shingle that two sets of a slice have is handed on once for the task, so one that very many documents have makes a few rows for each task."""
+    A slice sends each shingle once, in 7 bytes, to one of the parts of all shingles, which grow in number with the text, so a shingle that very
+    many documents have makes one entry for each slice."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = 1 + size // (12 * PART)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        common = np.zeros(0, dtype=np.uint64)
+        name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
             n = s.sizes()
+            yield _rows([name % parts] * len(n), name, len(n), place=np.arange(len(n)), doc_id=batch.column("doc_id"), n=n, half=_signed(s.half), more=_signed(s.more))
             fresh = np.array([k not in seen and not seen.add(k) for k in zip(s.half.tolist(), s.more.tolist(), strict=True)], dtype=bool)
-            kept = np.where(fresh & (n > 2), leading(n), 0)  # smaller sets link with equal ones only
-            ends = np.cumsum(kept)
+            kept = np.where(fresh & (n > 2), sampled(n), 0)  # smaller sets link with equal ones only
             row = np.repeat(np.arange(len(n)), kept)
-            tokens = s.hashes[np.arange(len(row)) + (s.first[:-1] - ends + kept)[row]]
-            values, place, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
-            old = np.isin(values, common, assume_unique=True)
-            twice = counts > 1
-            shared = np.zeros(len(n), dtype=bool)
-            shared[row[(old | twice)[inverse]]] = True
-            handed = np.zeros(len(row), dtype=bool)
-            handed[place[~old]] = True
-            common = np.union1d(common, values[twice])
-            first = _lists(tokens[handed], np.bincount(row[handed], minlength=len(n)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), _signed(s.half), _signed(s.more), pa.array(shared), first], names=["doc_id", "n", "half", "more", "shared", "first"]
-            )
+            yield from _sent(name, row, s.hashes[np.arange(len(row)) + (s.first[:-1] - np.cumsum(kept) + kept)[row]], parts)
+            name += 1
+
+    return _with_shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, CHUNK))
+
+
+def _three_quarters(sets: DataFrame) -> DataFrame:
+    """The sets (node, n, held) three quarters of whose shingles other sets have; no other one links."""
+    parts = 1 + (sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // PART
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held, node = part.column("held"), part.column("node")
+                n = np.diff(held.offsets.to_numpy())
+                yield _rows([name % parts] * len(n), name, len(n), place=np.arange(len(n)), doc_id=node, n=n, half=node, more=node)
+                yield from _sent(name, np.repeat(np.arange(len(n)), n), held.flatten().to_numpy().view(np.uint64), parts)
+                name += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n int, half long, more long, shared boolean, first array<long>")
+    left = _with_shared(sets.select("node", "held").mapInArrow(each, CHUNK)).filter(4 * F.col("shared") >= 3 * F.col("n"))
+    return sets.join(left.select(F.col("half").alias("node")), "node")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
@@ -127,11 +251,10 @@ def _nodes(members: DataFrame) -> DataFrame:
 
 
 def _partnered(members: DataFrame) -> DataFrame:
-    """half: of the sets that share one of their leading shingles with another set; no other one links."""
-    tokens = members.select("half", F.explode("first").alias("token"))
-    whole = Window.partitionBy("token")
-    met = tokens.withColumn("low", F.min("half").over(whole)).withColumn("high", F.max("half").over(whole)).filter("low < high")
-    return met.select("half").unionByName(members.filter("shared").select("half")).distinct()
+    """half, more of the sets that share enough of their first shingles with others: two sets that link have ``m // 4 + 1`` of them in common, if m is
+    the smaller size, and that is at least three quarters of the larger one."""
+    smaller = F.ceil(3 * F.col("n") / 4)
+    return members.filter((F.col("n") > 2) & (F.col("shared") >= F.floor(smaller / 4) + 1)).select("half", "more").distinct()
 
 
 def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -334,8 +457,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Words are what lies between ASCII white space, A-Z lower-cased; sets hold the 64-bit hashes of 5-word shingles. Equal sets are
-    one node. Sets that share none of their leading shingles with another set, or fewer than three quarters of all their shingles with
-    other sets, link with nothing and go first. Each node left stands in lists that two linked sets must share: up to
+    one node. Sets that share too few of their first shingles, or fewer than three quarters of all, with
+    other sets link with nothing and go first. Each node left stands in lists that two linked sets must share: up to
     a size chosen by cost those of pairs of its first shingles, above it those of single ones. Shingles are in the order of the number of
     sets that have them, so that shared passages make no long lists; long lists are salted. Links are
     verified on the whole sets, and no link between different sets that would connect more is lost (see ``_reached``).
@@ -344,7 +467,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     ignored when the smallest of a component is sought; its text links as any other. Repeated rows stay. Other columns are ignored; no rows give no rows."""
     members = written(_memberships(docs), "members")
     nodes = written(_nodes(members), "nodes")
-    sets = written(_sets(nodes.join(_partnered(members), "half"), docs), "held")
+    some = written(_sets(nodes.join(_partnered(members), ["half", "more"]), docs), "some")
+    sets = written(_three_quarters(some), "held")
+    dropped(some)
     counts = written(sets.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("c")).filter("c > 1"), "counts")
     ranked = written(_ranked(sets, counts), "ranked")
     sizes = {r.n: r["count"] for r in ranked.groupBy(F.least("n", F.lit(128)).alias("n")).count().collect()}  # 128 rows at most

@@ -43,12 +43,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``max_bytes`` in each piece; one longer value is a piece of its own."""
+    """The batches cut so that ``column`` holds about ``max_bytes`` in each piece, of 32,768 rows at most; one longer value is a piece of its own."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held + size > max_bytes and i > start:
+            if (held + size > max_bytes and i > start) or i - start == 32_768:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
