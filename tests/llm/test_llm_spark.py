@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from zonestudy.llm import bitpack, chat, components, decontaminate, licenses, ngram_join, pieces, sharding, toxicity, url_filter, vptree
@@ -153,14 +154,15 @@ def test_token_files(spark, docs, tmp_path):
     blocks = bitpack.read_blocks(spark, path)
     got = sorted(bitpack.id_digests(blocks).collect(), key=lambda r: r.start)
     at = 0
-    want = sorted(((r.doc_id, encoder([r.text])[0] + np.array([2], dtype="<u4").tobytes()) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    want = sorted(((r.doc_id, encoder(pa.array([r.text], pa.string()))[0] + np.array([2], dtype="<u4").tobytes()) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [r.doc_id for r in got] == [i for i, _ in want]
     held = {i: b for i, b in want}
     for r in got:
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(held[r.doc_id]) // 4, zlib.crc32(held[r.doc_id]))
         at += r.n_tokens
-    one = bitpack.read_ids(blocks.filter("first_id <= 30 and last_id >= 30")).filter("doc_id = 30").collect()
-    assert np.array(one[0].ids, dtype="<u4").tobytes() == held[30]
+    some = bitpack.read_ids(blocks, [30, 4, 999]).collect()
+    assert {r.doc_id: np.array(r.ids, dtype="<u4").tobytes() for r in some} == {i: held[i] for i in (4, 30)}
+    assert bitpack.read_ids(blocks).count() == docs.count() and bitpack.read_ids(blocks, []).count() == 0
     assert {b.bits for b in blocks.collect()} == {16} and blocks.count() > 5
 
 

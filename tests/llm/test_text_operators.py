@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from zonestudy.llm import bitpack, decontaminate, licenses, ngram_join, pieces, toxicity, words
@@ -60,9 +61,17 @@ def test_pack_round_trip_and_random_access(bits):
 def test_word_encoder_is_the_tokenizer():
     file = str(public_tokenizers.path("word_bpe_49k.json"))
     encoder = bitpack.WordEncoder(file)
-    texts = ["It's  a|b | c\x1cd", "", "<|endoftext|> É é", "plain words plain", "\x85nel\xa0nbsp", "x" * 300]
+    texts = ["It's  a|b | c\x1cd", "", "<|endoftext|> É é", "plain words plain", "\x85nel\xa0nbsp", "x" * 300, "Ünï-_ Straße, İx. ĀB; e\u0301t\u0301 ﬁn µm ªº THE.<|endoftext|> don't. ΣΑΣ 語$ ẞ", "a_b c++ 'll d'"]
+    assert encoder.direct
     want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-    assert encoder(texts) == want and encoder([None]) == [b""]
+    assert encoder(pa.array(texts)) == want and encoder(pa.array([None], pa.string())) == [b""]
+
+
+def test_encoder_of_whole_texts_is_the_tokenizer():
+    encoder = bitpack.WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+    assert encoder(texts) == want
 
 
 def small_pieces():

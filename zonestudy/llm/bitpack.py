@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
+import warnings
 import zlib
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import scratch_path, slices
@@ -45,43 +47,92 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+    """Ids of texts by a tokenizer that never joins across ASCII white space (checked on samples): each distinct word is encoded once.
 
-    New words are encoded many at a time, with a word of one id between them that none of them holds."""
+    Most words are letters and punctuation after them, which the tokenizer takes apart; those of Latin letters go to its model
+    directly, lower-cased and in its alphabet of bytes, each letter part once. All others are encoded many at a time, with a word of one id
+    between them that none of them holds."""
 
     BETWEEN = "|"
+    SAMPLES = ("a", "the", "don't", "É1", "x,y.", "(", "'s", "12", "<|", "|>")
+    #: ASCII punctuation but the apostrophe, which can begin a part of letters.
+    MARKS = string.punctuation.replace("'", "")
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[bytes, bytes] = {}
-        found = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.parts: dict[str, bytes] = {}
+        found = self._encode(self.BETWEEN)
         self.between = found[0] if len(found) == 1 else None
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        for a in self.SAMPLES:
+            for b in self.SAMPLES:
+                if self._encode(f"{a} \t{b}").tolist() != [*self._encode(a), *self._encode(b)]:
+                    raise ValueError(f"{file} joins {a!r} and {b!r} across white space")
+        self.direct = self._is_direct()
+
+    def _is_direct(self) -> bool:
+        """Whether letters and marks may be encoded apart, letters by the model: tried on all Latin letters."""
+        level = self.tokenizer.pre_tokenizer
+        self.alphabet = {i: "".join(x for x, _ in level.pre_tokenize_str(chr(i))) for i in range(128, 256) if chr(i).isalpha()} if level else {}
+        letters = [chr(i) for i in range(256) if chr(i).isalpha()]
+        words = [a + b + "ing" + m for a, b in zip(letters, reversed(letters), strict=True) for m in (".", "$$$", "-_", "")] + [f"Ab{m}" for m in self.MARKS]
+        try:
+            return level is not None and all(self._apart(w, *self._cut(w)) == self._encode(w).tobytes() for w in words)
+        except Exception as e:  # another kind of model: all words go through the tokenizer
+            warnings.warn(f"{e}: words are encoded whole", stacklevel=2)
+            return False
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
-        words = [(x or "").encode().split() for x in texts]
+        words = [(x or b"").split() for x in texts.cast(pa.large_binary()).to_pylist()]
         fresh = set().union(*words) - self.known.keys()
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
+            self.known, self.parts = {}, {}
             fresh = set().union(*words)
-        plain = [w for w in fresh if self.between is not None and b"|" not in w]
-        for at in range(0, len(plain), 2048):
-            self._learn(plain[at : at + 2048])
-        for word in fresh - self.known.keys():
-            self.known[word] = self._encode(word.decode()).tobytes()
+        rest = []
+        for word in fresh:
+            text = word.decode()
+            head, tail = self._cut(text)
+            if self.direct and head.isalpha() and max(head) < "\u0100":
+                self.known[word] = self._apart(text, head, tail)
+            elif self.between is not None and self.BETWEEN not in text:
+                rest.append(word)
+            else:
+                self.known[word] = self._encode(text).tobytes()
+        for at in range(0, len(rest), 2048):
+            self._learn(rest[at : at + 2048])
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _cut(self, word: str) -> tuple[str, str]:
+        head = word.rstrip(self.MARKS)
+        return head, word[len(head) :]
+
+    def _apart(self, word: str, head: str, tail: str) -> bytes:
+        head = head.lower()
+        ids = self.parts.get(head)
+        if ids is None:
+            spelled = head if head.isascii() else head.translate(self.alphabet)
+            ids = self.parts[head] = np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        if not tail:
+            return ids
+        end = self.parts.get(tail)
+        if end is None:
+            end = self.parts[tail] = self._encode(tail).tobytes()
+        return ids + end
+
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[bytes]) -> None:
         ids = self._encode(f" {self.BETWEEN} ".join(w.decode() for w in words))
         cuts = np.flatnonzero(ids == self.between)
-        if len(cuts) == len(words) - 1:  # else each is encoded by itself
+        if len(cuts) == len(words) - 1:
             held = ids.tobytes()
             self.known.update(zip(words, [held[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(held)], strict=True)], strict=True))
+        else:
+            self.known.update((w, self._encode(w.decode()).tobytes()) for w in words)
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +170,7 @@ def write_ids(docs: DataFrame, path: str, file: str, end_id: int, block_ids: int
 
         for batch in slices(batches, "text"):
             part = batch.column("part")[0].as_py()
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist()), strict=True):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text")), strict=True):
                 n = len(found) // 4 + 1
                 if docs and (held + n > block_ids or len(docs) >= 65_536):
                     yield flush()
@@ -138,19 +189,27 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCK).parquet(path)
 
 
-def read_ids(blocks: DataFrame) -> DataFrame:
-    """part, block, doc_id, offset in the block, n_tokens and ``ids`` (array) of each document of ``blocks``.
+def read_ids(blocks: DataFrame, only: Sequence[int] | None = None) -> DataFrame:
+    """part, block, doc_id, offset in the block and ``ids`` (array) of each document of ``blocks``.
 
-    For random access filter ``blocks`` on ``first_id`` and ``last_id`` first: Parquet's statistics skip the other blocks."""
+    With ``only``, a few doc_ids, only their blocks are read, by Parquet's statistics of ``first_id`` and ``last_id``, and only their ids unpacked."""
+    if only is not None:
+        blocks = blocks.filter(reduce(Column.__or__, [F.lit(i).between(F.col("first_id"), F.col("last_id")) for i in only], F.lit(False)))
+    wanted = None if only is None else frozenset(only)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in batch.to_pylist()):
-            ids = unpack(b["payload"], b["bits"], 0, b["n_ids"])
-            n = len(b["doc_ids"])
-            lists = pa.ListArray.from_arrays(pa.array(b["offsets"], type=pa.int32()), pa.array(ids.astype(np.int64)))
-            starts = pa.array(b["offsets"][:-1], type=pa.int64())
+            taken = [k for k, doc in enumerate(b["doc_ids"]) if wanted is None or doc in wanted]
+            at = b["offsets"]
+            if wanted is None:
+                ids = [unpack(b["payload"], b["bits"], 0, b["n_ids"])]
+            else:
+                ids = [unpack(b["payload"], b["bits"], at[k], at[k + 1] - at[k]) for k in taken]
+            ends = np.concatenate([[0], np.cumsum([at[k + 1] - at[k] for k in taken])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, dtype=np.uint32)]).astype(np.int64)))
+            docs, starts, n = [b["doc_ids"][k] for k in taken], pa.array([at[k] for k in taken], type=pa.int64()), len(taken)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b["part"]] * n, pa.int32()), pa.array([b["block"]] * n, pa.int64()), pa.array(b["doc_ids"], pa.int64()), starts, lists],
+                [pa.array([b["part"]] * n, pa.int32()), pa.array([b["block"]] * n, pa.int64()), pa.array(docs, pa.int64()), starts, lists],
                 names=["part", "block", "doc_id", "offset", "ids"],
             )
 
