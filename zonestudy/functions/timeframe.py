@@ -8,10 +8,11 @@ _UNITS = {"s": 1, "sec": 1, "second": 1, "min": 60, "minute": 60, "t": 60, "m":
 
 
 def seconds(timeframe: str) -> int:
-    """``15min`` -> 900. Raises ValueError for text that names no length above zero."""
-    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)?\s*([a-zA-Z]+?)s?\s*", timeframe or "")
-    unit = _UNITS.get(m[2].lower()) if m else None
-    n = float(m[1] or 1) * unit if m and unit else 0.0
-    if n <= 0 or n != int(n):
+    """``15min`` -> 900, ``1h30min`` -> 5400. Raises ValueError for text that names no length above zero."""
+    parts = re.findall(r"(\d+(?:\.\d+)?)?\s*([a-zA-Z]+?)s?(?![a-zA-Z])\s*", (timeframe or "").strip())
+    whole = re.fullmatch(r"(?:\d+(?:\.\d+)?\s*[a-zA-Z]+\s*)+|[a-zA-Z]+", (timeframe or "").strip())
+    lengths = [float(n or 1) * _UNITS.get(unit.lower(), 0) for n, unit in parts]
+    total = sum(lengths)
+    if not whole or not lengths or min(lengths) <= 0 or total != int(total):
         raise ValueError(f"{timeframe!r} is not a length of time in whole seconds")
-    return int(n)
+    return int(total)

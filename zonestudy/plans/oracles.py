@@ -270,7 +270,7 @@ _u = lambda key: f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 45035996273704
 _CONTROL = {
     "span": "SELECT symbol, min(bar_seq) AS lo, least(max(bar_seq), (SELECT count(*) FROM base b WHERE b.symbol = ev.symbol) - 242) AS hi, median(risk_points) AS risk, median(atr) AS atr, avg(CASE WHEN bias = 1 THEN 1 ELSE 0 END) AS longs FROM ev GROUP BY symbol",
     "drawn": f"""SELECT *, 'd' || k AS id, lo + floor({_u("'drift place 0|' || symbol || '|' || k")} * (hi - lo)) AS spot, CASE WHEN {_u("'drift side 0|' || symbol || '|' || k")} < longs THEN 1 ELSE -1 END AS side
-      FROM (SELECT *, unnest(range(0, 500)) AS k FROM span WHERE hi > lo)""",
+      FROM (SELECT *, unnest(range(0, 3000)) AS k FROM span WHERE hi > lo)""",
     "moved": f"""SELECT symbol, bias, atr, z, formed_at, zone_low + shift AS zl, zone_high + shift AS zh FROM (SELECT *, (0.5 + {_u("'placebo size 0|' || eid")} * 2.5) * atr * CASE WHEN {_u("'placebo side 0|' || eid")} < 0.5 THEN -1 ELSE 1 END AS shift
       FROM (SELECT *, substr(md5(symbol || '|' || epoch_us(formed_at) || '|' || epoch_us(source_ts) || '|' || printf('%.9f', zone_low) || '|' || bias), 1, 16) || '-' || test_number AS eid FROM ev))""",
     "begun": "SELECT m.*, s.bar_seq AS a FROM moved m ASOF JOIN seq s ON s.symbol = m.symbol AND m.formed_at <= s.ts WHERE s.bar_seq < (SELECT count(*) FROM base b WHERE b.symbol = m.symbol) - 2",
@@ -291,9 +291,15 @@ O["g2_g12_baseline_table"] = sql(
     FROM (SELECT control, rate, bn, wins / n::DOUBLE - rate AS edge, {_binom.replace('P0', 'rate')} AS p_value FROM (SELECT kind AS control, sum(wins) / sum(n)::DOUBLE AS rate, CAST(sum(n) AS BIGINT) AS bn FROM rates GROUP BY kind)
     CROSS JOIN (SELECT count(*) AS n, count(*) FILTER (outcome = 'win') AS wins FROM ev))""", "ev", _CONTROL,
 )
-O["s1_s5_csv_bars"] = sql(f"SELECT {BARS} FROM base WHERE symbol = 'view'", "base")
-O["s6_s7_symbol_folder"] = sql("SELECT symbol, count(*) AS n, round(sum(close), 6) AS closes, CAST(epoch(min(ts)) AS BIGINT) AS first_ts FROM base WHERE symbol IN ('click', 'error') GROUP BY symbol", "base")
-O["s4_localize"] = sql("SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, CAST(epoch(ts) AS BIGINT) AS utc FROM base", "base")
+O["s1_s5_csv_bars"] = sql(f"SELECT {BARS} FROM base", "base")
+O["s6_s7_symbol_folder"] = sql(f"SELECT {BARS} FROM base", "base")
+O["s4_localize"] = sql(
+    """SELECT symbol, CAST(epoch(t) AS BIGINT) AS ts,
+      CASE WHEN t >= TIMESTAMP '2024-11-03 05:00' AND t < TIMESTAMP '2024-11-03 07:00' THEN NULL ELSE CAST(epoch(t) AS BIGINT) END AS there_and_back,
+      CAST(epoch(CASE WHEN t < TIMESTAMP '2024-03-10 02:00' THEN t + INTERVAL 5 hour WHEN t < TIMESTAMP '2024-03-10 03:00' THEN TIMESTAMP '2024-03-10 07:00'
+        WHEN t < TIMESTAMP '2024-11-03 01:00' THEN t + INTERVAL 4 hour WHEN t >= TIMESTAMP '2024-11-03 02:00' THEN t + INTERVAL 5 hour END) AS BIGINT) AS as_clock
+    FROM (SELECT symbol, ts + to_days(unnest([0, 60, 298])) AS t FROM base)""", "base",
+)
 O["s8_bars_parquet"] = sql(f"SELECT {BARS} FROM base WHERE symbol IN ('click', 'purchase')", "base")
 O["s9_dataset_fingerprint"] = sql(
     """SELECT symbol, substr(sha1(n || '|' || strftime(a, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(b, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || printf('%.6f', x) || '|' || printf('%.6f', y)), 1, 12) AS data_fingerprint

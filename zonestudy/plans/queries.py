@@ -271,7 +271,7 @@ def _won(spark, d) -> DataFrame:
 
 @query
 def g1_g4_summary(spark, d):
-    s = G.summarise(kept(_won(spark, d)), 0.3, n_boot=500)
+    s = G.summarise(kept(_won(spark, d)), 0.3)
     near = (F.col("mean_r_low") < F.col("mean_r")) & (F.col("mean_r") < F.col("mean_r_high"))  # the bounds are drawn
     return s.withColumn("mean_in_bounds", near).drop("mean_r_low", "mean_r_high")
 
@@ -315,13 +315,13 @@ def g10_split_bars(spark, d):
 @query
 def g11_compare_splits(spark, d):
     parts = G.split_is_oos(kept(_won(spark, d)), "2024-01-03", SPLIT)
-    a, b = (G.summarise(parts.filter(F.col("part") == p), n_boot=10) for p in ("in_sample", "out_of_sample"))
+    a, b = (G.summarise(parts.filter(F.col("part") == p)) for p in ("in_sample", "out_of_sample"))
     return G.compare_splits(a, b)
 
 
 @query
 def c1_drift_baseline(spark, d):
-    return C.drift_baseline(kept(B.with_bar_seq(base(spark, d))), kept(events(spark, d)), SPEC.scoring, 500)
+    return C.drift_baseline(kept(B.with_bar_seq(base(spark, d))), kept(events(spark, d)), SPEC.scoring)
 
 
 @query
@@ -334,8 +334,8 @@ def g2_g12_baseline_table(spark, d):
     own = kept(_won(spark, d))
     bars = kept(B.with_bar_seq(base(spark, d)))
     total = lambda c: c.agg((F.sum("wins") / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
-    controls = {"drift": total(C.drift_baseline(bars, own, SPEC.scoring, 500)), "placebo": total(C.placebo_baseline(bars, own, SPEC.scoring))}
-    return G.baseline_table(G.summarise(own, n_boot=10), controls)
+    controls = {"drift": total(C.drift_baseline(bars, own, SPEC.scoring)), "placebo": total(C.placebo_baseline(bars, own, SPEC.scoring))}
+    return G.baseline_table(G.summarise(own), controls)
 
 
 def _symbols(own: DataFrame) -> list[str]:
@@ -356,41 +356,51 @@ def exported_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
         rows = own.filter(F.col("symbol") == name).repartitionByRange("ts")  # the first file has rows, so its layout can be told
         text = rows.select(F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in ("open", "high", "low", "close", "volume")])
         text.write.options(sep=";", header=True).csv(f"{out}/{name}")
-        parts.append(bars_csv.read_bars_csv(spark, [f"{out}/{name}"], name, X.EXCHANGE_TZ, bars_csv.sniff(spark, f"{out}/{name}")))
+        parts.append(bars_csv.read_bars_csv(spark, [f"{out}/{name}"], name, X.EXCHANGE_TZ))
     return _united(parts, own)
 
 
 def folder_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
     """The bars of every symbol, written to one folder as files whose names begin with the symbol, and read again for each symbol
-    that the folder lists; symbols are then in capitals."""
+    that the folder lists; symbols are then in capitals.
+
+    Each symbol has files in two layouts with a week in common, in which the later ones have other prices, and bars that contradict themselves in
+    the earlier ones for the bars only the later ones have."""
     out, own = shared_folder(spark), kept(own)
     for name in _symbols(own):
-        rows = own.filter(F.col("symbol") == name).repartitionByRange("ts")  # the first file has rows, so its layout can be told
-        text = rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "open", "high", "low", "close", "volume")
-        text.write.mode("append").options(**{"header": True, "mapreduce.output.basename": name}).csv(out)
+        rows = own.filter(F.col("symbol") == name)
+        prices = ("open", "high", "low", "close", "volume")
+        early = rows.select("ts", *[F.when(F.col("ts") >= OVERLAP[1], -F.col(c) if c == "high" else F.col(c)).otherwise(F.col(c)).alias(c) for c in prices])
+        late = rows.filter(F.col("ts") >= OVERLAP[0]).select("ts", *[F.when(F.col("ts") < OVERLAP[1], F.col(c) + 1).otherwise(F.col(c)).alias(c) for c in prices])
+        plain = early.repartitionByRange("ts").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), *prices)
+        plain.write.mode("append").options(**{"header": True, "mapreduce.output.basename": f"{name}_a"}).csv(out)
+        iso = late.repartitionByRange("ts").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("Timestamp"), *[F.col(c).alias(c.upper()) for c in prices])
+        iso.write.mode("append").options(**{"header": True, "sep": "|", "mapreduce.output.basename": f"{name}_b"}).csv(out)
     listed = [r.symbol for r in folders.list_symbols(spark, out).collect()] if _symbols(own) else []
     return _united([folders.load_symbol_folder(spark, out, name) for name in listed], own)
 
 
+OVERLAP = ("2024-01-14", "2024-01-21")
+
+
 @query
 def s1_s5_csv_bars(spark, d):
-    """The bars of every symbol, exported and read again; of these the SQL has the rows of one."""
-    return kept(exported_bars(spark, base(spark, d))).filter("symbol = 'view'")
+    """The bars of every symbol, exported and read again."""
+    return exported_bars(spark, base(spark, d))
 
 
 @query
 def s6_s7_symbol_folder(spark, d):
-    """A folder of files of every symbol, its symbols and the bars of each; of these the SQL has the sums of two."""
-    bars = kept(folder_bars(spark, base(spark, d)))
-    sums = bars.groupBy(F.lower("symbol").alias("symbol")).agg(F.count("*").alias("n"), F.sum("close").alias("closes"), F.min("ts").alias("first_ts"))
-    return kept(sums).filter("symbol in ('click', 'error')")
+    """A folder of overlapping files of every symbol, its symbols and the bars of each."""
+    return folder_bars(spark, base(spark, d)).withColumn("symbol", F.lower("symbol"))
 
 
 @query
 def s4_localize(spark, d):
-    """Each bar's clock in New York, read back as UTC."""
-    own = base(spark, d).select("symbol", "ts").withColumn("wall", F.from_utc_timestamp("ts", X.EXCHANGE_TZ))
-    return own.select("symbol", "ts", bars_csv.localize_to_utc(F.col("wall"), X.EXCHANGE_TZ).alias("utc"))
+    """Each bar's time on days that have a change of New York's clock: as a UTC time, turned to the clock and back, and as the clock itself."""
+    own = base(spark, d).select("symbol", F.explode(F.array(*[F.col("ts") + F.expr(f"interval {n} days") for n in (0, 60, 298)])).alias("ts"))
+    back = bars_csv.localize_to_utc(F.from_utc_timestamp("ts", X.EXCHANGE_TZ), X.EXCHANGE_TZ)
+    return own.select("symbol", "ts", back.alias("there_and_back"), bars_csv.localize_to_utc(F.col("ts"), X.EXCHANGE_TZ).alias("as_clock"))
 
 
 @query
@@ -417,7 +427,7 @@ def r1_r6_registry(spark, d):
     """Two studies and a look at a holdout, added and counted."""
     r = registry.Registry(spark, shared_folder(spark))
     own = kept(_won(spark, d))
-    summary = kept(G.summarise(own, n_boot=10))
+    summary = kept(G.summarise(own))
     for name in ("a", "b"):
         r.append_study(Spec(**{**SPEC.__dict__, "name": name}), summary, own, "all", "", "2024-01-01", SPLIT)
     r.log_reveal(SPEC, summary)

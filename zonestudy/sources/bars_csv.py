@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,15 @@ FORMATS = (
     "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y.%m.%d %H:%M:%S", "%Y.%m.%d %H:%M", "%Y.%m.%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M",
     "%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%Y%m%d %H:%M:%S", "%Y%m%d%H%M%S",
 )
-_NUMBER = re.compile(r"\s*-?\d+([.,]\d+)?\s*")
-_DATE = re.compile(r"\s*(\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})\b")
-_TIME = re.compile(r"\s*\d{1,2}:\d{2}(:\d{2})?\s*")
+_CLOCK = re.compile(r"\d{1,2}:\d{2}(:\d{2})?")
+_OFFSET = r"\d(Z|[+-]\d{2}(:?\d{2})?)$"
+DELIMITERS = ("\t", ";", "|", ",")
 
 
 @dataclass(frozen=True)
 class BarFormat:
-    """``roles``: role -> column index, with ``datetime``, or ``date`` and ``time``; ``width``: columns of a row."""
+    """``roles``: role -> column index, with ``datetime``, or ``date`` and ``time``; ``width``: columns of a row. ``ts_format`` is None where no
+    one format fits. ``preview`` holds the first rows as they were read, the header first if there is one."""
 
     delimiter: str
     decimal: str
@@ -42,71 +45,139 @@ class BarFormat:
     width: int
     ts_format: str | None
     ambiguous_date: bool
+    preview: tuple[tuple[str, ...], ...] = ()
 
     def key(self) -> tuple:
         return (self.delimiter, self.decimal, self.header, tuple(sorted(self.roles.items())), self.width, self.ts_format)
 
 
-def _fits(texts: list[str], fmt: str) -> bool:
+def _moment(text: str, fmt: str | None = None) -> datetime | None:
+    """The time that ``text`` names in a format or, without one, in ISO's; None if it names none."""
     try:
-        for t in texts:
-            datetime.strptime(t.strip(), fmt)
+        return datetime.strptime(text, fmt) if fmt else datetime.fromisoformat(text)
     except ValueError:
-        return False
-    return True
+        return None
 
 
-def _by_shape(row: list[str]) -> dict[str, int]:
-    """Roles by position: a timestamp in one column or two, then prices, then volume."""
-    split = len(row) >= 6 and _DATE.fullmatch(row[0].strip()) and _TIME.fullmatch(row[1])
-    if not split and len(row) < 5:
-        return {}
-    names = (["date", "time"] if split else ["datetime"]) + [*PRICES, "volume"]
-    return dict(zip(names, range(len(row)), strict=False))
+def _when(texts: list[str]) -> tuple[str | None, list[datetime]]:
+    """The format that most texts fit, and more than half do, the first of equal ones, and their times; if there is none, times in any format."""
+    best = max(FORMATS, key=lambda f: sum(_moment(t, f) is not None for t in texts))
+    found = [m for m in (_moment(t, best) for t in texts) if m]
+    if 2 * len(found) > len(texts):
+        return best, found
+    return None, [m for m in (_any_moment(t) for t in texts) if m]
 
 
-def _by_name(cells: list[str]) -> dict[str, int]:
-    plain = [re.sub(r"[^a-z0-9]", "", c.lower()) for c in cells]
-    roles = {role: next(i for i, c in enumerate(plain) if c in names) for role, names in ALIASES.items() if any(c in names for c in plain)}
-    if "datetime" in roles or not {"date", "time"} <= roles.keys():
-        only = roles.get("datetime", roles.get("date", roles.get("time")))
-        roles = {k: v for k, v in roles.items() if k not in ("datetime", "date", "time")} | ({} if only is None else {"datetime": only})
-    return roles
+def _any_moment(text: str) -> datetime | None:
+    """The time that a cell names in any format, be it without a clock."""
+    return next((m for t in (text, f"{text} 00:00") for f in (*FORMATS, None) if (m := _moment(t, f))), None)
+
+
+def _is_number(text: str, decimal: str) -> bool:
+    try:
+        float(text.replace(" ", "").replace(decimal, ".") if decimal == "." or "." not in text else "x")
+    except ValueError:
+        return False
+    return True
+
+
+class _Columns:
+    """The cells of some lines under one delimiter, and what each column can be."""
+
+    def __init__(self, lines: list[str], delimiter: str) -> None:
+        self.delimiter = delimiter
+        cells = [tuple(c.strip().strip('"').strip() for c in x.split(delimiter)) for x in lines]
+        self.first, self.width = cells[0], len(cells[0])
+        self.header = not any(_any_moment(c) or _is_number(c, ".") or _is_number(c, ",") for c in self.first if c)
+        body = [r for r in cells[self.header :] if len(r) >= min(self.width, 5)]
+        self.columns = [[r[k] for r in body if k < len(r)] for k in range(self.width)] if body else []
+        self.cells = tuple(cells)
+
+    def mostly(self, k: int, test) -> bool:
+        """Whether more than half of a column's cells pass: single bad rows don't hide a layout."""
+        own = self.columns[k] if k < len(self.columns) else []
+        return 2 * sum(map(bool, map(test, own))) > len(own)
+
+    def is_price(self, k: int) -> bool:
+        return self.mostly(k, lambda c: _is_number(c, ".") or (self.delimiter != "," and _is_number(c, ",")))
+
+    def is_clock(self, k: int) -> bool:
+        return self.mostly(k, _CLOCK.fullmatch)
+
+    def is_moment(self, k: int) -> bool:
+        return self.mostly(k, _any_moment)
+
+    def named(self) -> dict[str, int]:
+        """Roles that the header's names give, each to the first column of that name whose cells fit."""
+        if not self.header:
+            return {}
+        plain = [re.sub(r"[^a-z0-9]", "", c.lower()) for c in self.first]
+        roles = {}
+        for role, names in ALIASES.items():
+            fits = self.is_price if role in (*PRICES, "volume") else self.is_clock if role == "time" else self.is_moment
+            here = [k for k, c in enumerate(plain) if c in names]
+            roles |= {role: k for k in reversed(here) if role == "volume" or fits(k)}
+        alone = [k for k, c in enumerate(plain) if c in ALIASES["time"] and self.is_moment(k) and not self.is_clock(k)]
+        return roles | ({"datetime": alone[0]} if alone and "datetime" not in roles else {})
+
+    def placed(self, roles: dict[str, int]) -> dict[str, int]:
+        """``roles`` with what they lack by position: the first column of times, with a clock beside it, then the next columns of numbers."""
+        roles = dict(roles)
+        if "datetime" not in roles and "date" not in roles:
+            start = next((k for k in range(self.width) if self.is_moment(k)), None)
+            if start is None:
+                return roles
+            roles["date" if self.is_clock(start + 1) else "datetime"] = start
+        if "date" in roles and "time" not in roles:
+            beside = roles["date"] + 1
+            roles |= {"time": beside} if self.is_clock(beside) else {"datetime": roles.pop("date")}
+        if "datetime" in roles:
+            roles = {k: v for k, v in roles.items() if k not in ("date", "time")}
+        if not set(PRICES) <= roles.keys():
+            last = max(roles[k] for k in ("datetime", "date", "time") if k in roles)
+            numbers = [k for k in range(last + 1, self.width) if self.is_price(k)]
+            roles |= {p: k for p, k in zip((*PRICES, "volume"), numbers, strict=False) if p not in roles}
+        return roles
 
 
 def detect_bar_format(lines: list[str], name: str = "file") -> BarFormat:
-    """The layout of a file from its first lines. Raises ValueError that names what is missing."""
-    lines = [x.lstrip("﻿").rstrip("\r\n") for x in lines if x.strip()]
+    """The layout of a file from its first lines: the delimiter under which columns read as times and prices. Raises ValueError that
+    says what each delimiter lacks."""
+    lines = [x.lstrip("\ufeff").rstrip("\r\n") for x in lines if x.strip()][:50]
     if not lines:
         raise ValueError(f"{name} is empty")
-    counts = {d: [x.count(d) for x in lines[:10]] for d in (";", "\t", "|", ",")}
-    even = [d for d, n in counts.items() if min(n) and len(set(n)) == 1] or [d for d, n in counts.items() if min(n)]
-    if not even:
-        raise ValueError(f"{name}: no comma, semicolon, tab or pipe separates columns")
-    delimiter = even[0] if even[0] != "," else max(even, key=lambda d: counts[d][-1])
-    first = [c.strip().strip('"') for c in lines[0].split(delimiter)]
-    header = not (_NUMBER.fullmatch(first[0]) or _DATE.match(first[0]))
-    rows = [[c.strip().strip('"') for c in x.split(delimiter)] for x in lines[header : header + 5]]
-    if not rows:
-        raise ValueError(f"{name}: a header but no rows")
-    decimal = "," if delimiter != "," and any(re.fullmatch(r"-?\d+,\d+", c) for r in rows for c in r) else "."
-    roles = _by_name(first) if header else _by_shape(rows[0])
-    when = {"datetime"} & roles.keys() or {"date", "time"} <= roles.keys()
-    if header and (not when or not set(PRICES) <= roles.keys()):
-        shape = _by_shape(rows[0])
-        times = {k: v for k, v in shape.items() if k in ("datetime", "date", "time")} if not when else {}
-        roles = {k: v for k, v in shape.items() if k not in ("datetime", "date", "time")} | roles | times
-    missing = [p for p in PRICES if p not in roles] + ([] if "datetime" in roles or "date" in roles else ["timestamp"])
-    if missing:
-        raise ValueError(f"{name}: found no {', '.join(missing)}; header row {first if header else None}, first row {rows[0]}, need at least 5 columns of timestamp and prices")
-    texts = [r[roles["datetime"]] if "datetime" in roles else f"{r[roles['date']]} {r[roles['time']]}" for r in rows if len(r) > max(roles.values())]
-    fmt = next((f for f in FORMATS if texts and _fits(texts, f)), None)
-    swapped = fmt and not fmt.startswith("%Y") and fmt.replace("%d", "%x").replace("%m", "%d").replace("%x", "%m")
-    return BarFormat(delimiter, decimal, header, roles, len(first), fmt, bool(swapped) and _fits(texts, swapped))
-
-
-def sniff(spark: SparkSession, path: str, n_lines: int = 50) -> BarFormat:
-    return detect_bar_format([r.value for r in spark.read.text(path).limit(n_lines).collect()], path.rsplit("/", 1)[-1])
+    lacks = []
+    for delimiter in DELIMITERS:
+        if delimiter not in lines[-1]:
+            continue
+        table = _Columns(lines, delimiter)
+        roles = table.placed(table.named())
+        missing = [p for p in PRICES if p not in roles] + ([] if {"datetime", "date"} & roles.keys() else ["timestamp"])
+        if missing or not table.columns:
+            lacks.append(f"by {delimiter!r} no {', '.join(missing) or 'rows'}; header row {table.first if table.header else None}, at least 5 columns of timestamp and prices are needed")
+            continue
+        at = [roles["datetime"]] if "datetime" in roles else [roles["date"], roles["time"]]
+        fmt, found = _when([" ".join(x) for x in zip(*(table.columns[k] for k in at), strict=True)])
+        prices = [c for p in PRICES for c in table.columns[roles[p]]]
+        decimal = "," if delimiter != "," and any("," in c and _is_number(c, ",") for c in prices) else "."
+        either = bool(fmt) and not fmt.startswith("%Y") and all(m.day <= 12 for m in found)
+        return BarFormat(delimiter, decimal, table.header, roles, table.width, fmt, either, table.cells[:6])
+    raise ValueError(f"{name}: " + ("; ".join(lacks) or "no comma, semicolon, tab or pipe separates columns"))
+
+
+def sniff(spark: SparkSession, paths: list[str], n_lines: int = 50, together: int = 64) -> dict[str, BarFormat]:
+    """The layout of each file; the first lines of ``together`` files are read in one job. Warns of dates that can be read day or month first."""
+    found = {}
+    for at in range(0, len(paths), together):
+        heads = [spark.read.text(p).limit(n_lines).select(F.lit(p).alias("path"), F.monotonically_increasing_id().alias("line"), "value") for p in paths[at : at + together]]
+        lines: dict[str, list[tuple[int, str]]] = {p: [] for p in paths[at : at + together]}
+        for r in reduce(DataFrame.unionByName, heads).collect():  # n_lines for each of ``together`` files
+            lines[r.path].append((r.line, r.value))
+        for p, own in lines.items():
+            found[p] = detect_bar_format([x for _, x in sorted(own)], p.rstrip("/").rsplit("/", 1)[-1])
+            if found[p].ambiguous_date:
+                warnings.warn(f"{p}: dates can be read day or month first; read as {found[p].ts_format}", stacklevel=2)
+    return found
 
 
 def _pattern(fmt: str) -> str:
@@ -116,8 +187,11 @@ def _pattern(fmt: str) -> str:
     return re.sub(r"%.", lambda m: letters[m[0]], fmt)
 
 
-def parse_bar_timestamp(fmt: BarFormat, cell) -> Column:
-    """The wall clock of a row (timestamp without zone) from its text cells; null where it can't be read."""
+def parse_bar_timestamp(fmt: BarFormat, cell, tz: str = "UTC") -> Column:
+    """The wall clock of a row (timestamp without zone) from its text cells; null where it can't be read.
+
+    Where the file has no one format, all are tried, then what Spark itself reads, such as ISO times with a T or parts of a second; a time
+    with an offset from UTC is turned to the wall clock of ``tz``."""
     patterns = [fmt.ts_format] if fmt.ts_format else list(FORMATS)
     if "datetime" in fmt.roles:
         text = F.trim(cell(fmt.roles["datetime"]))
@@ -126,7 +200,11 @@ def parse_bar_timestamp(fmt: BarFormat, cell) -> Column:
         time = F.when(F.length(time) - F.length(F.replace(time, F.lit(":"), F.lit(""))) == 1, F.concat(time, F.lit(":00"))).otherwise(time)
         text = F.concat_ws(" ", F.trim(cell(fmt.roles["date"])), time)
         patterns = list(dict.fromkeys(f"{p.split(' ')[0]} %H:%M:%S" for p in patterns))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(_pattern(p))).cast("timestamp_ntz") for p in patterns])
+    tried = [F.try_to_timestamp(text, F.lit(_pattern(p))).cast("timestamp_ntz") for p in patterns]
+    if fmt.ts_format:
+        return F.coalesce(*tried)
+    there = F.from_utc_timestamp(text.try_cast("timestamp"), tz or "UTC").cast("timestamp_ntz")
+    return F.coalesce(*tried, F.when(text.rlike(_OFFSET) & text.contains(":"), there).otherwise(text.try_cast("timestamp_ntz")))
 
 
 def localize_to_utc(wall: Column, tz: str) -> Column:
@@ -145,36 +223,34 @@ def localize_to_utc(wall: Column, tz: str) -> Column:
 def clean_bars(raw: DataFrame, tz: str = "UTC") -> DataFrame:
     """symbol, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the read).
 
-    Rows without time or price go; of one wall clock the first row stays; then times become UTC, of which again the first stays, and bars
-    whose prices contradict each other go."""
-    raw = raw.dropna(subset=["wall", *PRICES])
-    # the first row of a wall clock by grouped minimum, not by a sort of all rows
-    one = raw.groupBy("symbol", "wall").agg(F.min(F.struct("file", "rid", *PRICES, "volume")).alias("r"))
-    utc = one.withColumn("ts", localize_to_utc(F.col("wall"), tz)).filter("ts is not null")
-    one = utc.groupBy("symbol", "ts").agg(F.min(F.struct("wall", "r")).alias("w")).select("symbol", "ts", *[F.col(f"w.r.{c}").alias(c) for c in (*PRICES, "volume")])
-    return one.filter("high >= low and high >= open and high >= close and low <= open and low <= close")
+    Rows without time or price go. Each file is cleaned by itself: of one wall clock the first row stays, of two wall clocks that are one time
+    the first one, and bars whose prices contradict each other go. Then of one time the bar of the first file stays."""
+    raw = raw.dropna(subset=["wall", *PRICES]).withColumn("ts", localize_to_utc(F.col("wall"), tz)).filter("ts is not null")
+    # first rows by grouped minimum, not by a sort of all rows
+    own = raw.groupBy("symbol", "file", "ts").agg(F.min(F.struct("wall", "rid", *PRICES, "volume")).alias("r"))
+    own = own.select("symbol", "file", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
+    sound = own.filter("high >= low and high >= open and high >= close and low <= open and low <= close")
+    one = sound.groupBy("symbol", "ts").agg(F.min(F.struct("file", *PRICES, "volume")).alias("r"))
+    return one.select("symbol", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
 
 
 def read_bars_csv(spark: SparkSession, paths: list[str], symbol: str, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
-    """Clean bars of one symbol from files of any supported layouts; each layout is one read over its files."""
+    """Clean bars of one symbol from files of any supported layouts; each layout is one read over its files. Raises ValueError for a file
+    without times or prices among its first rows."""
+    if not paths:
+        raise FileNotFoundError(f"no files for {symbol!r}")
     groups: dict[tuple, tuple[BarFormat, list[str]]] = {}
-    for p in paths:
-        own = fmt or sniff(spark, p)
+    for p, own in ({p: fmt for p in paths} if fmt else sniff(spark, paths)).items():
         groups.setdefault(own.key(), (own, []))[1].append(p)
-    raw = None
-    for own, files in groups.values():
-        part = _raw(spark, own, files).withColumn("symbol", F.lit(symbol))
-        raw = part if raw is None else raw.unionByName(part)
-    if raw is None:
-        raise FileNotFoundError(f"no files for {symbol!r}")
-    return clean_bars(raw, tz)
+    parts = [_raw(spark, own, files, tz).withColumn("symbol", F.lit(symbol)) for own, files in groups.values()]
+    return clean_bars(reduce(DataFrame.unionByName, parts), tz)
 
 
-def _raw(spark: SparkSession, fmt: BarFormat, files: list[str]) -> DataFrame:
+def _raw(spark: SparkSession, fmt: BarFormat, files: list[str], tz: str) -> DataFrame:
     names = [f"c{i}" for i in range(fmt.width)]
     schema = ", ".join(f"{n} string" for n in names) + ", _broken string"
     reader = spark.read.schema(schema).options(sep=fmt.delimiter, header=fmt.header, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
-    rows = reader.csv(files).select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("rid"))
+    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("rid"))
     # a row with too many fields is malformed, one with too few lacks them
     rows = rows.filter(F.coalesce(F.size(F.split("_broken", re.escape(fmt.delimiter))) <= fmt.width, F.lit(True)))
 
@@ -185,5 +261,5 @@ def _raw(spark: SparkSession, fmt: BarFormat, files: list[str]) -> DataFrame:
         x = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
         return F.when(~F.isnan(x), x)
 
-    wall = parse_bar_timestamp(fmt, lambda i: F.col(names[i])).cast("timestamp")
+    wall = parse_bar_timestamp(fmt, lambda i: F.col(names[i]), tz).cast("timestamp")
     return rows.select("file", "rid", wall.alias("wall"), *[number(r).alias(r) for r in (*PRICES, "volume")])

@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,13 @@ class Registry:
     root: str
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{table}")  # so that it exists
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        """The table; without rows while nothing was added to it."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _add(self, table: str, schema: str, row: tuple) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
