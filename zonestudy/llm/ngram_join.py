@@ -125,11 +125,11 @@ def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int) -> Itera
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by part: the rows whose tokens another slice has as well go back to their slice; all else passes."""
-    held: list[tuple[int, bytes, bytes]] = []
+    held: list[tuple[int, pa.Buffer, pa.Buffer]] = []
     current = None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        lengths = [len(r) // 2 for _, r, _ in held]
+        lengths = [r.size // 2 for _, r, _ in held]
         wide = np.zeros((sum(lengths), 8), dtype=np.uint8)
         wide[:, :5] = np.frombuffer(b"".join(t for _, _, t in held), dtype=np.uint8).reshape(-1, 5)
         _, inverse, counts = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
@@ -142,15 +142,15 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([current] * len(back), [x for x, _ in back], len(back), rows=_binary([x for _, x in back]))
 
     for batch in batches:
-        sends = batch.column("tokens").is_valid()
+        rows, tokens = batch.column("rows"), batch.column("tokens")
+        sends = tokens.is_valid()
         yield batch.filter(pa.compute.invert(sends))
-        sent = batch.filter(sends)
-        part, slice_, rows, tokens = (sent.column(c).to_pylist() for c in ("part", "slice", "rows", "tokens"))
-        for k in range(sent.num_rows):
+        part, slice_ = batch.column("part").to_numpy(), batch.column("slice").to_numpy()
+        for k in np.flatnonzero(sends.to_numpy(zero_copy_only=False)).tolist():
             if part[k] != current and held:
                 yield from flush()
-            current = part[k]
-            held.append((slice_[k], rows[k], tokens[k]))
+            current = int(part[k])
+            held.append((int(slice_[k]), rows[k].as_buffer(), tokens[k].as_buffer()))
     if held:
         yield from flush()
 
