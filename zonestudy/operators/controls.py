@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestudy.operators.scoring import score_events, trade_levels
-from zonestudy.operators.stats import wilson_interval
+from zonestudy.operators.stats import quantiles, wilson_interval
+from zonestudy.operators.touches import asof_join
 from zonestudy.plans.spec import Scoring
 
 
@@ -32,7 +33,10 @@ def drift_baseline(bars: DataFrame, events: DataFrame, scoring: Scoring, n_sampl
     direction of a random event, over a zone of the events' median risk at that bar's open. A symbol without room has no row.
 
     ``bars`` needs bar_seq. Samples are rows that meet their bar by an equal join; the direction is drawn by the share of longs."""
-    spans = events.groupBy("symbol").agg(F.min("bar_seq").alias("lo"), F.max("bar_seq").alias("hi"), F.median("risk_points").alias("risk"), F.median("atr").alias("atr"), F.avg((F.col("bias") == 1).cast("double")).alias("longs"))
+    spans = events.groupBy("symbol").agg(F.min("bar_seq").alias("lo"), F.max("bar_seq").alias("hi"), F.avg((F.col("bias") == 1).cast("double")).alias("longs"))
+    for name, column in (("risk", "risk_points"), ("atr", "atr")):
+        middle = quantiles(events, ["symbol"], column, [0.5])
+        spans = spans.join(middle.select("symbol", F.col("q")[0].alias(name)), "symbol", "left")  # a row for each symbol
     ends = bars.groupBy("symbol").agg(F.count("*").alias("bars"))
     room = spans.join(ends, "symbol").withColumn("hi", F.least("hi", F.col("bars") - F.lit(scoring.max_holding_bars + 2))).filter("hi > lo")
     drawn = room.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
@@ -53,15 +57,12 @@ def placebo_tests(bars: DataFrame, events: DataFrame, max_holding_bars: int, jit
     end of the data, go. Blocks of bars whose extremes exclude a touch are left out before bars are met."""
     horizon = max(4 * max_holding_bars, 2000)
     width = horizon // 8
-    w = Window.partitionBy("symbol").orderBy("bar_seq")
     block = lambda c: F.floor(c / F.lit(width)).cast("long")
-    b = bars.select("symbol", "ts", "bar_seq", "high", "low", F.lag("high").over(w).alias("high_before"), F.lag("low").over(w).alias("low_before"), block(F.col("bar_seq")).alias("_block"))
-    starts = (
-        events.select("symbol", "formed_at").distinct().withColumn("_kind", F.lit(1))
-        .unionByName(bars.select("symbol", F.col("ts").alias("formed_at"), "bar_seq").withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    )
-    ahead = Window.partitionBy("symbol").orderBy("formed_at", F.col("_kind").desc()).rowsBetween(0, Window.unboundedFollowing)
-    starts = starts.withColumn("first_seq", F.first("bar_seq", ignorenulls=True).over(ahead)).filter("_kind = 1").select("symbol", "formed_at", "first_seq")
+    last = bars.select("symbol", (F.col("bar_seq") + 1).alias("bar_seq"), F.col("high").alias("high_before"), F.col("low").alias("low_before"))
+    b = bars.select("symbol", "bar_seq", "high", "low", block(F.col("bar_seq")).alias("_block"))
+    formed = events.select("symbol", "formed_at").distinct()
+    before = asof_join(formed, bars.select("symbol", "ts", F.col("bar_seq").alias("seq_before")), "formed_at", "ts", ["symbol"], strict=True)
+    starts = before.select("symbol", "formed_at", F.coalesce(F.col("seq_before") + 1, F.lit(0)).cast("long").alias("first_seq"))
     ends = bars.groupBy("symbol").agg(F.count("*").alias("bars"))
     e = events.join(starts, ["symbol", "formed_at"]).join(ends, "symbol").filter("first_seq < bars - 2")
     draw = F.lit(0.5) + uniform(F.lit(f"placebo size {seed}"), "event_id") * F.lit(jitter_atr - 0.5)
@@ -72,8 +73,9 @@ def placebo_tests(bars: DataFrame, events: DataFrame, max_holding_bars: int, jit
     extremes = b.groupBy("symbol", "_block").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
     near = spread.join(extremes, ["symbol", "_block"]).filter("top >= zone_low and bottom <= zone_high").drop("top", "bottom")
     met = near.join(b, ["symbol", "_block"]).filter((F.col("bar_seq") > F.col("first_seq")) & (F.col("bar_seq") < F.col("first_seq") + horizon))
+    touched = met.filter((F.col("high") >= F.col("zone_low")) & (F.col("low") <= F.col("zone_high"))).join(last, ["symbol", "bar_seq"])
     enters = F.when(F.col("bias") == 1, F.col("low_before") > F.col("zone_high")).otherwise(F.col("high_before") < F.col("zone_low"))
-    hit = met.filter((F.col("high") >= F.col("zone_low")) & (F.col("low") <= F.col("zone_high")) & enters)
+    hit = touched.filter(enters)
     return e.join(hit.groupBy("event_id").agg(F.min("bar_seq").alias("bar_seq")), "event_id").drop("first_seq")
 
 

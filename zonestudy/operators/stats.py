@@ -28,13 +28,22 @@ def wilson_interval(k: Column, n: Column, conf: float = 0.95) -> tuple[Column, C
 
 
 def _binomial_p(k: float, n: float, p0: float) -> float:
+    """Terms are summed from the most likely count outwards as far as they count at all, some dozens of standard deviations, so that
+    a hundred million events take a few hundred thousand terms."""
     if not n or math.isnan(n) or math.isnan(p0):
         return math.nan
     p0 = min(max(p0, 1e-12), 1 - 1e-12)
-    i = np.arange(int(n) + 1)
-    log_choose = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i])
-    log_pmf = log_choose + i * math.log(p0) + (n - i) * math.log1p(-p0)
-    return float(min(1.0, np.exp(log_pmf[log_pmf <= log_pmf[int(k)] + 1e-7]).sum()))
+    mode = int(min(n, math.floor((n + 1) * p0)))
+    reach = int(60 + 40 * math.sqrt(n * p0 * (1 - p0)))
+    low, high = max(0, mode - reach), int(min(n, mode + reach))
+    if not low <= k <= high:
+        return 0.0
+    odds = math.log(p0) - math.log1p(-p0)
+    i = np.arange(low, high, dtype=np.float64)
+    steps = np.concatenate([[0.0], np.cumsum(np.log((n - i) / (i + 1)) + odds)])  # from i to i + 1
+    at_mode = math.lgamma(n + 1) - math.lgamma(mode + 1) - math.lgamma(n - mode + 1) + mode * math.log(p0) + (n - mode) * math.log1p(-p0)
+    log_pmf = steps - steps[mode - low] + at_mode
+    return float(min(1.0, np.exp(log_pmf[log_pmf <= log_pmf[int(k) - low] + 1e-7]).sum()))
 
 
 def _binomial(k: pd.Series, n: pd.Series, p0: pd.Series) -> pd.Series:
@@ -55,19 +64,21 @@ def bootstrap_mean(events: DataFrame, column: str = "r_fixed", key: str = "event
     out; with none left all three are null."""
     x = events.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(column).cast("double").alias("x"))
     x = x.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    together = max(1, (1 << 18) // n_boot)
     edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
     def replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, sums = np.zeros(n_boot), np.zeros(n_boot)
         step = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for pdf in frames:
-            for h, value in zip(pdf["h"].to_numpy().view(np.uint64), pdf["x"].to_numpy(), strict=True):
-                u = h + step
+            for at in range(0, len(pdf), together):
+                h, value = pdf["h"].to_numpy()[at : at + together].view(np.uint64), pdf["x"].to_numpy()[at : at + together]
+                u = h[:, None] + step
                 u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(edges, ((u ^ (u >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
-                weights += w
-                sums += w * value
+                w = np.searchsorted(edges, ((u ^ (u >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+                weights += w.sum(axis=0)
+                sums += value @ w
         yield pd.DataFrame({"rep": np.arange(n_boot), "w": weights, "s": sums})
 
     drawn = x.mapInPandas(replicate, "rep int, w double, s double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
@@ -100,11 +111,36 @@ def rate_by_group(events: DataFrame, *columns: str) -> DataFrame:
     return g.select("by", "value", "n", rate.alias("rate"), low.alias("ci_low"), high.alias("ci_high"), "mean_r", (F.col("n") >= RELIABLE).alias("reliable")).orderBy("by", "value")
 
 
+def quantiles(rows: DataFrame, by: list[str], column: str, probs: list[float]) -> DataFrame:
+    """``by`` and ``q``, the exact quantiles of ``column`` with interpolation, null without values.
+
+    A sketch of bounded size puts each quantile between two values; only rows between them are then ranked, by distinct value, so no task
+    meets all values of a large group."""
+    x = rows.select(*by, F.col(column).cast("double").alias("_x")).filter("_x is not null")
+    near = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-0.001, 0.001)]
+    g = x.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", F.array(*[F.lit(p) for p in near]), 10_000).alias("_near"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+
+    few = F.col("_n") <= 10_000  # then all of them are ranked
+    ends = [(F.when(few | F.lit(p <= 0.001), F.col("_a")).otherwise(F.col("_near")[2 * k]), F.when(few | F.lit(p >= 0.999), F.col("_b")).otherwise(F.col("_near")[2 * k + 1])) for k, p in enumerate(probs)]
+    bounds = g.select(*by, F.posexplode(F.array(*[F.struct(F.lit(p).alias("p"), "_n", a.alias("low"), b.alias("high")) for p, (a, b) in zip(probs, ends, strict=True)])).alias("_k", "_q"))
+    met = x.join(bounds, by)
+    counted = met.filter(F.col("_x") <= F.col("_q.high")).groupBy(*by, "_k", "_q", F.greatest("_x", "_q.low").alias("_v"), (F.col("_x") >= F.col("_q.low")).alias("_in"))
+    # what lies below is one row, before the row of the low end itself
+    order = Window.partitionBy(*by, "_k").orderBy("_v", "_in")
+    placed = counted.agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    rank = F.col("_q.p") * (F.col("_q._n") - 1)
+    holds = lambda r: F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v")))
+    found = placed.groupBy(*by, "_k").agg(holds(F.floor(rank)).alias("_l"), holds(F.ceil(rank)).alias("_h"), F.max(rank - F.floor(rank)).alias("_f"))
+    value = F.when(F.col("_f") == 0, F.col("_l")).otherwise(F.col("_l") * (1 - F.col("_f")) + F.col("_h") * F.col("_f"))
+    ranked = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", value.alias("v")))).alias("_s"))  # a few for each group
+    return ranked.select(*by, F.transform("_s", lambda s: s["v"]).alias("q"))
+
+
 def excursion_quantiles(events: DataFrame) -> DataFrame:
     """measure, count, mean, std, min, q25, q50, q75, q90, max of mfe_r, mae_r and bars_held."""
-    long = events.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in ("mfe_r", "mae_r", "bars_held")])).alias("m"))
-    q = F.percentile("x", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    g = long.select("m.*").groupBy("measure").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    long = events.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in ("mfe_r", "mae_r", "bars_held")])).alias("m")).select("m.*")
+    g = long.groupBy("measure").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    g = g.join(quantiles(long, ["measure"], "x", [0.25, 0.5, 0.75, 0.9]), "measure", "left")  # a row for each measure
     return g.select("measure", "count", "mean", "std", "min", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75, 90))], "max")
 
 

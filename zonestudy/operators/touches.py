@@ -122,17 +122,23 @@ def attach_htf_context(tests: DataFrame, htf: DataFrame | None, timeframe: str =
     return out.withColumns({"aligned": agree("htf_bias"), "aligned_bar": agree("htf_bar_dir")}).drop("closed_at")
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], strict: bool = False, bucket: str = "1d") -> DataFrame:
     """Each row of ``left`` with the last row of ``right`` of its key at, or strictly before, its time; nulls where there is none.
 
-    Both sides are put in one order and the last right row is carried along: one shuffle, no pairs."""
+    Both sides are put in one order within a ``bucket`` of time and the last right row is carried along; what a bucket ends with goes to the
+    rows of later ones that found none, by a window over one row for each bucket. No pairs, and no task that holds all rows of a key."""
     extra = [c for c in right.columns if c not in by]
-    r = right.select(*by, F.col(right_on).alias("_at"), F.struct(*extra).alias("_r"), F.lit(0).alias("_side"))
-    both = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
+    place = F.floor(F.unix_seconds("_at") / seconds(bucket)).cast("long")
+    r = right.select(*by, F.col(right_on).alias("_at"), F.struct(*extra).alias("_r"), F.lit(0).alias("_side")).filter("_at is not null")
+    both = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True).withColumn("_bucket", place)
     order = F.col("_side").desc() if strict else F.col("_side").asc()
-    w = Window.partitionBy(*by).orderBy("_at", order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "_bucket").orderBy("_at", order).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return seen.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in extra])
+    ends = both.filter("_at is not null").groupBy(*by, "_bucket").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    found = seen.join(carried, [*by, "_bucket"], "left").withColumn("_r", F.coalesce("_r", "_before"))
+    return found.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in extra])
 
 
 def event_window(events: DataFrame, bars: DataFrame, before: int = 120, after: int = 240) -> DataFrame:

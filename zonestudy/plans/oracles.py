@@ -276,12 +276,15 @@ _CONTROL = {
     "begun": "SELECT m.*, s.bar_seq AS a FROM moved m ASOF JOIN seq s ON s.symbol = m.symbol AND m.formed_at <= s.ts WHERE s.bar_seq < (SELECT count(*) FROM base b WHERE b.symbol = m.symbol) - 2",
     "entered": """SELECT b.symbol, b.z, b.bias, b.atr, zl, zh, min(s.bar_seq) AS spot FROM begun b JOIN (SELECT *, lag(low) OVER w AS l1, lag(high) OVER w AS h1 FROM seq WINDOW w AS (PARTITION BY symbol ORDER BY bar_seq)) s
       ON s.symbol = b.symbol AND s.bar_seq > a AND s.bar_seq < a + 2000 AND s.high >= zl AND s.low <= zh AND CASE WHEN b.bias = 1 THEN l1 > zh ELSE h1 < zl END GROUP BY ALL""",
-    "control": """SELECT 'drift' AS kind, d.symbol, id, spot, side AS bias, s.open AS entry, d.risk AS r FROM drawn d JOIN seq s ON s.symbol = d.symbol AND s.bar_seq = spot
-      UNION ALL SELECT 'placebo', symbol, CAST(z AS VARCHAR), spot, bias, CASE WHEN bias = 1 THEN zh ELSE zl END, zh - zl FROM entered""",
-    "steps": """SELECT c.*, s.bar_seq, CASE WHEN bias = 1 THEN s.low - entry ELSE entry - s.high END AS bad,
-      CASE WHEN s.bar_seq = spot THEN greatest(0, (s.close - entry) * bias) WHEN bias = 1 THEN s.high - entry ELSE entry - s.low END AS good
+    "sides": """SELECT 'drift' AS kind, d.symbol, id, spot, side AS bias, s.open AS entry, CASE WHEN side = 1 THEN s.open - d.risk ELSE s.open + d.risk END AS stop
+      FROM drawn d JOIN seq s ON s.symbol = d.symbol AND s.bar_seq = spot
+      UNION ALL SELECT 'placebo', symbol, CAST(z AS VARCHAR), spot, bias, CASE WHEN bias = 1 THEN zh ELSE zl END, CASE WHEN bias = 1 THEN zl ELSE zh END FROM entered""",
+    "control": "SELECT *, entry + bias * 2.0::DOUBLE * ((entry - stop) * bias) AS target FROM sides WHERE (entry - stop) * bias > 0",
+    "steps": """SELECT c.*, s.bar_seq, CASE WHEN bias = 1 THEN s.low <= stop ELSE s.high >= stop END AS bad,
+      CASE WHEN bias = 1 THEN CASE WHEN s.bar_seq = spot THEN greatest(entry, s.close) ELSE s.high END >= target
+        ELSE CASE WHEN s.bar_seq = spot THEN least(entry, s.close) ELSE s.low END <= target END AS good
       FROM control c JOIN seq s ON s.symbol = c.symbol AND s.bar_seq >= spot AND s.bar_seq < spot + 240""",
-    "done": """SELECT kind, symbol, id, coalesce(min(bar_seq) FILTER (good >= 2 * r), 1e18) < coalesce(min(bar_seq) FILTER (bad <= -r), 1e18) AS win FROM steps WHERE r > 0 GROUP BY kind, symbol, id""",
+    "done": "SELECT kind, symbol, id, coalesce(min(bar_seq) FILTER (good), 1e18) < coalesce(min(bar_seq) FILTER (bad), 1e18) AS win FROM steps GROUP BY kind, symbol, id",
     "rates": "SELECT kind, symbol, count(*) AS n, count(*) FILTER (win) AS wins FROM done GROUP BY kind, symbol",
 }
 for _name, _kind in (("c1_drift_baseline", "drift"), ("c2_placebo_baseline", "placebo")):
