@@ -147,6 +147,29 @@ def test_shards(spark, docs):
     assert {r.text_crc32 for r in rows if r.doc_id in (1, 2)} == {0}
 
 
+def test_shards_of_whole_rows(spark, docs, tmp_path):
+    clashing = docs.drop("shard").toDF("doc_id", "text", "_total", "_size", "part").selectExpr("*", "1 AS row", "2 AS tie", "3 AS first", "4 AS `a.b`")
+    sharding.write_shards(clashing, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*clashing.columns, "shard", "slot"])
+    assert sorted(map(str, back.select(*[f"`{c}`" for c in clashing.columns]).collect())) == sorted(map(str, clashing.collect()))
+    order = [r.doc_id for r in back.orderBy("shard", "slot").collect()]
+    assert order == sorted(order, key=lambda i: (i is not None, i))
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(docs, str(tmp_path / "none"), 3)
+
+
+def test_shards_against_plain_sums(spark):
+    rows = [(i % 37, "x" * ((i * 7919) % 53)) for i in range(500)] + [(5, None), (None, "n")]
+    got = sorted(sharding.shard_documents(table(spark, rows), 5).collect(), key=lambda r: (r.shard, r.slot))
+    want = sorted(((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1]))
+    total, at, shards = sum(x[1] for x in want), 0, []
+    for _, size, _ in want:
+        shards.append(min(4, (2 * at + size) * 5 // (2 * total)))
+        at += size
+    assert [(r.doc_id, r.size, r.text_crc32, r.shard) for r in got] == [(*x, s) for x, s in zip(want, shards)]
+
+
 def test_token_files(spark, docs, tmp_path):
     file, path = str(public_tokenizers.path("word_bpe_49k.json")), str(tmp_path / "ids")
     encoder = bitpack.WordEncoder(file)

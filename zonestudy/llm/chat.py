@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import written
@@ -106,10 +106,10 @@ def parse_conversations(formatted: DataFrame, template: ChatTemplate | None = No
     return named.withColumn("turns", F.transform("_found", turn)).withColumn("loss_text", F.array_join(masked, "")).drop("_found")
 
 
-def control_conversation(spark) -> DataFrame:
+def control_conversation(spark: SparkSession) -> DataFrame:
     """Conversation -7, whose texts are made of control strings."""
     text = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{text}'), (-7L, 1L, 'assistant', '{text}') AS t(conv_id, turn, role, text)")
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonestudy.llm.components import joined_by
+from zonestudy.llm.shared import written
+
+#: Rules that are broadcast at most.
+BROADCAST = 100_000
 #: (host, path prefix, action).
 RULES = (
     ("org", "/", "allow"),
@@ -42,8 +47,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     labels, and prefixes as long, as some rule has. An expression meets the rules through the first ``prefix_hex``
     digits of its SHA-256; the full digest then confirms. The longest rule wins, of equal ones the blocking one; no
     rule gives a null ``rule`` and the default verdict. Null and malformed URLs have an empty host and path and meet no
-    rule. Repeated rows stay. A rule for a host holds for its subdomains. The rules are a parameter list held
-    on the driver, so their broadcast is bounded by it; pages are never grouped by host. Other columns are ignored."""
+    rule. Repeated rows stay; no rows give no rows. A rule for a host holds for its subdomains. The rules are a parameter list, broadcast
+    up to ``BROADCAST`` of them. URLs that very many pages have, the empty one among them, meet their verdicts by broadcast, all
+    others by a join; pages are never grouped by host. Other columns are ignored."""
     spark = pages.sparkSession
     max_labels = max([host.count(".") + 1 for host, _, _ in rules], default=1)
     lengths = sorted({len(path) for _, path, _ in rules})
@@ -51,21 +57,20 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     table = table.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, prefix_hex))
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    distinct = urls.groupBy("host", "path").agg(F.count("*").alias("many"))
     hits = (
-        urls.select("host", "path")
-        .distinct()
-        .withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), max_labels, lengths)))
+        distinct.withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), max_labels, lengths)))
         .withColumn("seen", F.sha2("expression", 256))
         .withColumn("short", F.substring("seen", 1, prefix_hex))
-        .join(F.broadcast(table), "short")
+        .join(F.broadcast(table) if len(rules) <= BROADCAST else table, "short")
         .filter(F.col("seen") == F.col("digest"))
     )
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("blocks"), "rule", "action")).alias("best")
     )
-    return urls.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    judged = written(distinct.join(best, ["host", "path"], "left").select("host", "path", "many", "best.rule", F.coalesce("best.action", F.lit(default)).alias("verdict")), "urls")
+    most = judged.agg(F.max("many")).first()[0] or 0
+    return joined_by(urls, judged, most, "host", "path").select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = """
