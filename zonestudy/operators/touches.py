@@ -10,6 +10,8 @@ from zonestudy.functions.timeframe import seconds
 TRIGGERS = ("touch", "close_inside", "wick_through")
 #: A bucket of time is this share of a zone's usual life.
 BUCKETS_PER_LIFE = 8
+#: Buckets of the longest life, about.
+MOST_BUCKETS = 256
 
 
 def _touches() -> Column:
@@ -45,8 +47,9 @@ def zone_hits(zones: DataFrame, bars: DataFrame, trigger: str = "touch", timefra
     bars that touch without a hit come along, told apart by ``is_hit``."""
     start = F.timestamp_micros(F.unix_micros("formed_at") + min_bars * seconds(timeframe) * 1_000_000)
     zones = zones.withColumn("_from", start).filter("_from <= expires_at")
-    life = zones.agg(F.avg(F.unix_seconds("expires_at") - F.unix_seconds("_from"))).first()[0] or 0
-    width = max(60, int(life) // BUCKETS_PER_LIFE)
+    life = F.unix_seconds("expires_at") - F.unix_seconds("_from")
+    usual, longest = zones.agg(F.avg(life), F.max(life)).first()
+    width = max(60, int(usual or 0) // BUCKETS_PER_LIFE, (longest or 0) // MOST_BUCKETS)
     bucket = lambda ts: F.floor(F.unix_seconds(ts) / width).cast("long")
     bars = bars.withColumn("bucket", bucket("ts"))
     extremes = bars.groupBy("symbol", "bucket").agg(

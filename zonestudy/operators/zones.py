@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from zonestudy.operators.bars import bar_spacing
 from zonestudy.operators.features import by_symbol, swing_points
+from zonestudy.operators.touches import asof_join
 
 COLUMNS = ["symbol", "zone_id", "formed_at", "expires_at", "source_ts", "zone_low", "zone_high", "zone_height", "zone_height_atr", "displacement_atr", "bias"]
 
@@ -102,15 +103,10 @@ def prior_session_level(f: DataFrame, which: str = "high", session: str = "RTH",
     days = days.withColumn("next", F.lead("local_date").over(Window.partitionBy("symbol").orderBy("local_date"))).filter("next is not null")
     spacing = bar_spacing(f)
     days = days.join(spacing, "symbol").withColumn("formed", _later(F.col("known"), F.col("tf_micros"))).drop("tf_micros")
-    # the last bar before the zone is formed, and whether any bar follows
-    after = f.select("symbol", "ts", "atr").unionByName(days.select("symbol", F.col("formed").alias("ts"), "known", "level", F.lit(True).alias("asks")), allowMissingColumns=True)
-    at = Window.partitionBy("symbol").orderBy("ts", F.col("asks").isNull())
-    bar = F.when(F.col("asks").isNull(), F.struct("atr"))
-    after = after.withColumns({
-        "seen": F.last(bar, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1)),
-        "follows": F.max(F.when(F.col("asks").isNull(), F.col("ts"))).over(Window.partitionBy("symbol")),
-    }).filter("asks and follows >= ts")
-    m = after.select("symbol", "known", F.col("known").alias("source_ts"), "level", F.col("seen.atr").alias("size"), F.lit(-1 if which == "high" else 1).alias("bias"))
+    ends = f.groupBy("symbol").agg(F.max("ts").alias("follows"))
+    days = days.join(ends, "symbol").filter("follows >= formed")
+    after = asof_join(days, f.select("symbol", "ts", F.col("atr").alias("size")), "formed", "ts", ["symbol"], strict=True)
+    m = after.select("symbol", "known", F.col("known").alias("source_ts"), "level", "size", F.lit(-1 if which == "high" else 1).alias("bias"))
     return _zones(_padded(m, "level", zone_pad_atr), spacing, max_age_bars)
 
 

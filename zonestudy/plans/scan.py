@@ -28,18 +28,36 @@ AMBIGUOUS = 0.15
 class Scan:
     """The steps of a scan; each is a plan that runs when it is asked for."""
 
+    symbols: DataFrame
+    found: DataFrame
+    higher: DataFrame | None
+    direction: str
     zones: DataFrame
     tests: DataFrame
     judged: DataFrame
     events: DataFrame
 
+    def warnings(self) -> DataFrame:
+        """symbol and warning: no higher bars, no zones, no zones of the direction, or many ambiguous events; none where all is well."""
+        own = self.symbols.join(self.found.groupBy("symbol").agg(F.count("*").alias("found")), "symbol", "left")
+        own = own.join(self.counts(), "symbol", "left")
+        said = [
+            F.when(F.col("found").isNull(), "no zones: loosen the detector's parameters"),
+            F.when(F.col("found").isNotNull() & (F.col("n_zones") == 0), f"no zones for direction {self.direction}"),
+            F.when(F.col("warning"), "many events are ambiguous: use finer bars or wider stops"),
+        ]
+        if self.higher is not None:
+            own = own.join(self.higher.groupBy("symbol").agg(F.count("*").alias("higher")), "symbol", "left")
+            said.append(F.when(F.col("higher").isNull(), "no bars of the higher timeframe: its filters see neutral values"))
+        return own.select("symbol", F.explode(F.array_compact(F.array(*said))).alias("warning"))
+
     def counts(self) -> DataFrame:
-        """symbol, n_zones, n_tests_raw, n_filtered_out, n_events, ambiguous_share and whether that share calls for a warning."""
-        zones = self.zones.groupBy("symbol").agg(F.count("*").alias("n_zones"))
+        """symbol, n_zones, n_tests_raw, n_filtered_out, n_events, ambiguous_share and whether that share calls for a warning; every symbol has a row."""
+        zones = self.symbols.join(self.zones.groupBy("symbol").agg(F.count("*").alias("n_zones")), "symbol", "left")
         tests = self.tests.groupBy("symbol").agg(F.count("*").alias("n_tests_raw"))
         out = self.judged.groupBy("symbol").agg(F.count_if(~F.col("kept")).alias("n_filtered_out"))
         events = self.events.groupBy("symbol").agg(F.count("*").alias("n_events"), F.avg(F.col("ambiguous").cast("double")).alias("ambiguous_share"))
-        joined = zones.join(tests, "symbol", "left").join(out, "symbol", "left").join(events, "symbol", "left").fillna(0, ["n_tests_raw", "n_filtered_out", "n_events"])
+        joined = zones.join(tests, "symbol", "left").join(out, "symbol", "left").join(events, "symbol", "left").fillna(0, ["n_zones", "n_tests_raw", "n_filtered_out", "n_events"])
         return joined.withColumn("warning", F.coalesce(F.col("ambiguous_share") > AMBIGUOUS, F.lit(False)))
 
 
@@ -51,7 +69,8 @@ def scan(bars: DataFrame, spec: Spec, exchange_tz: str = EXCHANGE_TZ) -> Scan:
         raise ValueError("the spec can't run:\n" + "\n".join(problems))
     bars = kept(with_bar_seq(bars.select("symbol", "ts", "open", "high", "low", "close", "volume")))
     features = kept(build_features(resample(bars, spec.timeframe), exchange_tz))
-    zones = kept(filter_direction(detect(features, spec.zone.detector, spec.zone.resolved()), spec.direction))
+    found = kept(detect(features, spec.zone.detector, spec.zone.resolved()))
+    zones = filter_direction(found, spec.direction)
     t = spec.trigger
     hits = zone_hits(zones, bars, t.type, spec.timeframe, t.min_bars_after_formation, not t.first_test_only)
     tests = first_test(hits, zones) if t.first_test_only else separate_tests(hits, zones)
@@ -64,4 +83,4 @@ def scan(bars: DataFrame, spec: Spec, exchange_tz: str = EXCHANGE_TZ) -> Scan:
     passed = judged.filter("kept").withColumn("event_id", F.concat_ws("-", "zone_id", F.col("test_number").cast("string")))
     trades = trade_levels(passed, bars, (s.stop.mode, s.stop.value), (s.target.mode, s.target.value), s.entry)
     events = score_events(kept(trades), bars, s.max_holding_bars, s.entry == "zone_proximal").withColumnRenamed("bar_ts", "ts").select(*EVENT_COLUMNS)
-    return Scan(zones, tests, judged, events)
+    return Scan(bars.select("symbol").distinct(), found, higher, spec.direction, zones, tests, judged, events)
