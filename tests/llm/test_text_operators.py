@@ -204,11 +204,11 @@ def test_fit_finds_the_words_and_the_sentences():
     plain = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(8)) + "."
     labels = np.array([i % 5 == 0 for i in range(400)], dtype=np.int64)
     texts = [" ".join([plain() for _ in range(6)] + ([f"w{rng.randrange(400)} awful w{rng.randrange(400)}."] if y else []) + [plain()]) for y in labels]
-    model = toxicity.fit(texts, labels)
+    model = toxicity.fit(pa.array(texts), labels)
     score, _, found = toxicity.score_texts(pa.array([plain() * 3 + " Such an AWFUL one. " + plain(), plain() * 400]), model, spans=True)
     assert score[0] > 0.7 > score[1] and len(found[0]) == 1
-    none = toxicity.fit(["a"], np.array([1]))
-    assert len(none.features) == 0 and toxicity.fit([], np.zeros(0)).leak > 0
+    none = toxicity.fit(pa.array(["a"]), np.array([1]))
+    assert len(none.features) == 0 and toxicity.fit(pa.array([], pa.string()), np.zeros(0)).leak > 0
 
 
 def test_crc_of_nothing():

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import slices
-from zonestudy.llm.words import PUNCTUATION, Words, tokenize
+from zonestudy.llm.words import PUNCTUATION, Words, mix, tokenize
 
 #: Bytes after which a sentence ends: . ! ? and the line feed.
 ENDS = np.zeros(256, dtype=bool)
@@ -87,41 +87,56 @@ def score_texts(texts: pa.Array, model: ToxicModel, spans: bool = False) -> tupl
     return -np.expm1(clean), np.bincount(row, minlength=len(texts)), found
 
 
-def choose(texts: list[str], labels: np.ndarray, min_docs: int, share: float, max_features: int) -> np.ndarray:
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about a megabyte, with the place of the first."""
+    at = 0
+    for batch in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
+        yield at, batch.column("text")
+        at += batch.num_rows
+
+
+def _owned(texts: pa.Array, held: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts (with ``held``, ascending, those only), once for each owner: the smallest word hash of a text, which near copies mostly
+    share; and how many owners there are."""
+    features_, names, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)], set()
+    for _, part in _parts(texts):
+        w = tokenize(part, PUNCTUATION)
+        first = np.flatnonzero(np.diff(w.doc, prepend=-1))
+        own = np.zeros(len(part), dtype=np.uint64)
+        if len(first):
+            own[w.doc[first]] = np.minimum.reduceat(w.hash, first)
+        owners.update(own.tolist())
+        for hashes, at in features(w):
+            if held is not None:
+                here = np.flatnonzero(held[np.minimum(np.searchsorted(held, hashes), len(held) - 1)] == hashes)
+                hashes, at = hashes[here], at[here]
+            name, place = np.unique(mix(hashes ^ (own[w.doc[at]] * np.uint64(0x9E3779B97F4A7C15))), return_index=True)
+            features_.append(hashes[place])
+            names.append(name)
+    _, place = np.unique(np.concatenate(names), return_index=True)
+    return np.concatenate(features_)[place], len(owners)
+
+
+def choose(texts: pa.Array, labels: np.ndarray, min_docs: int, share: float, max_features: int) -> np.ndarray:
     """Features of toxic documents that clean ones hardly have, in ascending order.
 
     Near copies count once: support is the number of distinct smallest word hashes among the documents with a feature.
     A feature needs support by ``min_docs`` and by ``share`` of the toxic documents, and 20 times that of clean ones."""
-    seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    owners: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    held = np.zeros(0, dtype=np.uint64)
-    for label in (1, 0):
-        for i in np.flatnonzero(labels == label):
-            w = tokenize(pa.array([texts[i]], pa.string()), PUNCTUATION)
-            own = np.unique(np.concatenate([h for h, _ in features(w)]))
-            if not label:
-                place = np.minimum(np.searchsorted(held, own), max(len(held) - 1, 0))
-                own = own[held[place] == own] if len(held) else own[:0]
-            seen[label].append(own)
-            owners[label].append(np.full(len(own), w.hash.min() if len(w.hash) else 0, dtype=np.uint64))
-        hashes, owner = np.concatenate([*seen[label], held[:0]]), np.concatenate([*owners[label], held[:0]])
-        pairs = np.unique(np.stack([hashes, owner]), axis=1)[0] if len(hashes) else hashes
-        if label:
-            all_toxic = len(np.unique(owner))
-            held, support = np.unique(pairs, return_counts=True)
-            enough = support >= max(min_docs, share * all_toxic)
-            held, support = held[enough], support[enough]
-        else:
-            values, counts = np.unique(pairs, return_counts=True)
-            clean = np.zeros(len(held), dtype=np.int64)
-            clean[np.searchsorted(held, values)] = counts
-            good = np.flatnonzero(support >= 20 * clean)
-            good = good[np.argsort(-support[good], kind="stable")[:max_features]]
-            return held[np.sort(good)]
-    raise AssertionError
-
-
-def fit(texts: list[str], labels: np.ndarray, min_docs: int = 4, share: float = 0.01, max_features: int = 1000, steps: int = 300) -> ToxicModel:
+    seen, toxic = _owned(texts.filter(pa.array(labels == 1)), None)
+    held, support = np.unique(seen, return_counts=True)
+    enough = support >= max(min_docs, share * toxic)
+    held, support = held[enough], support[enough]
+    if not len(held):
+        return held
+    values, counts = np.unique(_owned(texts.filter(pa.array(labels != 1)), held)[0], return_counts=True)
+    clean = np.zeros(len(held), dtype=np.int64)
+    clean[np.searchsorted(held, values)] = counts
+    good = np.flatnonzero(support >= 20 * clean)
+    good = good[np.argsort(-support[good], kind="stable")[:max_features]]
+    return held[np.sort(good)]
+
+
+def fit(texts: pa.Array, labels: np.ndarray, min_docs: int = 4, share: float = 0.01, max_features: int = 1000, steps: int = 300) -> ToxicModel:
     """A noisy-or over sentences with a leak, by gradient steps on the documents' log loss.
 
     Weights start at 0 and are drawn there, and the bias to a low value, so that many sentences alone don't make a long
@@ -130,12 +145,12 @@ def fit(texts: list[str], labels: np.ndarray, min_docs: int = 4, share: float =
     if not len(vocabulary):
         return ToxicModel(vocabulary, np.zeros(0), -12.0, 0.01)
     rows, columns, doc_of, at = [], [], [], 0
-    for i, text in enumerate(texts):
-        w, sentence, row, _, _ = sentences(pa.array([text], pa.string()))
+    for first, part in _parts(texts):
+        w, sentence, row, _, _ = sentences(part)
         word, place = known(w, vocabulary)
         rows.append(sentence[word] + at)
         columns.append(place)
-        doc_of.append(np.full(len(row), i))
+        doc_of.append(first + row)
         at += len(row)
     rows, columns, doc_of = (np.concatenate(x).astype(np.int64) for x in (rows, columns, doc_of))
     theta = np.concatenate([np.zeros(len(vocabulary)), [-12.0, -4.0]])
@@ -177,9 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000) -> ToxicMo
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("text").alias("key"), "label", "text")
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((x for b in batches for x in b.to_pylist()), key=lambda x: (x["key"], -x["label"]))
-        rows = [x for i, x in enumerate(rows) if not i or x["key"] != rows[i - 1]["key"]]
-        m = fit([x["text"] or "" for x in rows], np.array([min(x["label"], 1) for x in rows], dtype=np.int64))
+        wide = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("text", pa.large_string())])
+        held = pa.Table.from_batches([b.cast(wide) for b in batches], schema=wide).combine_chunks()
+        key, label = held.column("key").to_numpy(), held.column("label").to_numpy()
+        order = np.lexsort((-label, key))
+        order = order[np.diff(key[order], prepend=key[order[:1]] - 1) != 0]  # of equal texts one
+        texts = pa.concat_arrays(held.column("text").take(pa.array(order)).chunks) if len(order) else pa.array([], pa.large_string())
+        m = fit(texts, np.minimum(label[order], 1).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([m.features.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.leak])], names=["features", "weights", "bias", "leak"])
 
     bounded = rows.orderBy("key", "label").limit(max_docs).coalesce(1)
