@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,15 +18,32 @@ from zonestudy.llm.shared import written
 SLACK = 1e-12
 
 
+#: Pivots at most, which are held on the driver and by every task.
+PIVOTS = 4096
+
+
 @dataclass
 class Tree:
-    """Vectors in leaf order, the ``radius`` of the sphere they are lifted to, and nodes: (first, last, vantage point, least and largest
-    distance to it of the inner and of the outer half, left, right); in place of the vantage point a leaf has None."""
+    """Vectors in leaf order and the ``radius`` of the sphere they are lifted to. ``nodes``: first and last place, left and right child (-1: a
+    leaf); ``far``: vantage points; ``bounds``: least and largest distance to them of the left and of the right half."""
 
     ids: np.ndarray
     vectors: np.ndarray
     radius: float
-    nodes: list[tuple]
+    nodes: np.ndarray
+    far: np.ndarray
+    bounds: np.ndarray
+
+
+def packed(**arrays: np.ndarray) -> bytes:
+    """Arrays as one value of a binary column."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def unpacked(value: pa.Scalar) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(value.as_buffer()), allow_pickle=False))
 
 
 def lifted(vectors: np.ndarray, radius: float) -> np.ndarray:
@@ -40,11 +57,14 @@ def lifted(vectors: np.ndarray, radius: float) -> np.ndarray:
 def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = 256) -> Tree:
     """Splits at the median distance from the point farthest from the mean, by rank, so that equal points split as well."""
     radius = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max())) * (1 + 1e-9)
-    points, order, nodes = lifted(vectors, radius), np.arange(len(ids)), []
+    points, order = lifted(vectors, radius), np.arange(len(ids))
+    nodes, fars, bounds = [], [], []
 
     def split(a: int, b: int) -> int:
         at = len(nodes)
-        nodes.append((a, b, None, None, None, -1, -1))
+        nodes.append((a, b, -1, -1))
+        fars.append(np.zeros(points.shape[1]))
+        bounds.append((0.0, 0.0, 0.0, 0.0))
         own = order[a:b]
         if b - a <= leaf:
             return at
@@ -54,11 +74,11 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = 256) -> Tree:
         order[a:b], d = own[by], d[by]
         left = split(a, a + middle)
         right = split(a + middle, b)
-        nodes[at] = (a, b, far, (d[0], d[middle - 1]), (d[middle], d[-1]), left, right)
+        nodes[at], fars[at], bounds[at] = (a, b, left, right), far, (d[0], d[middle - 1], d[middle], d[-1])
         return at
 
     split(0, len(ids))
-    return Tree(ids[order], vectors[order], radius, nodes)
+    return Tree(ids[order], vectors[order], radius, np.array(nodes), np.array(fars), np.array(bounds))
 
 
 def first_of_equal(ids: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
@@ -79,8 +99,9 @@ def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
     return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
 
 
-def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, place in the tree, score) of each query's ``k`` largest inner products in ``tree``, ties to the smaller id.
+def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in the tree, score) of each query's ``k`` largest inner products in ``tree``, ties to the smaller id; those below ``known``, a
+    score that ``k`` others are known to reach, needn't be among them.
 
     Each query first goes down to the leaf it lies nearest to, which bounds its k-th score. Then all go through the tree
     together, and a branch is left out for the queries to which the triangle inequality puts it farther than
@@ -90,7 +111,7 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: flo
     flat = np.hstack([queries, np.zeros((len(queries), 1))])
     length, norms = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((points * points).sum(axis=1))
     span = length * length + tree.radius * tree.radius  # squared distance: span - 2 * score
-    floor = np.full(len(queries), -np.inf)
+    floor = np.full(len(queries), -np.inf) if known is None else known - SLACK * length * norms.max()
     best = np.full((len(queries), k), -np.inf)
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -102,27 +123,28 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: flo
     def kth(s: np.ndarray) -> np.ndarray:
         return np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf)
 
-    def gap(d: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+    def gap(d: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.maximum(np.maximum(bounds[0] - d, d - bounds[1]), 0.0)
 
     def down(at: int, active: np.ndarray) -> None:
-        a, b, far, inner, outer, left, right = tree.nodes[at]
+        a, b, left, right = tree.nodes[at]
         if not len(active):
             return
-        if far is None:
+        if left < 0:
             s, slack = scores(a, b, active)
-            floor[active] = kth(s) - slack
+            floor[active] = np.maximum(floor[active], kth(s) - slack)
             return
+        far, inner, outer = tree.far[at], tree.bounds[at, :2], tree.bounds[at, 2:]
         d = np.sqrt(((flat[active] - far) ** 2).sum(axis=1))
         near = gap(d, inner) <= gap(d, outer)
         down(left, active[near])
         down(right, active[~near])
 
     def through(at: int, active: np.ndarray) -> None:
-        a, b, far, inner, outer, left, right = tree.nodes[at]
+        a, b, left, right = tree.nodes[at]
         if not len(active):
             return
-        if far is None:
+        if left < 0:
             s, slack = scores(a, b, active)
             least = np.maximum(np.maximum(floor, best[:, -1])[active], kth(s)) - 2 * slack
             rows, columns = np.nonzero((s >= least[:, None]) & (s > -np.inf))
@@ -134,8 +156,8 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, k: int, factor: flo
             own[rows[top], rank] = exact[top]
             best[active] = -np.sort(-np.hstack([best[active], own]), axis=1)[:, :k]
             return
-        d = np.sqrt(((flat[active] - far) ** 2).sum(axis=1))
-        for child, bounds in ((left, inner), (right, outer)):
+        d = np.sqrt(((flat[active] - tree.far[at]) ** 2).sum(axis=1))
+        for child, bounds in ((left, tree.bounds[at, :2]), (right, tree.bounds[at, 2:])):
             least = np.maximum(floor, best[:, -1])[active]
             bound = np.sqrt(np.maximum(span[active] - 2 * least, 0.0) + SLACK * span[active]) / factor
             through(child, active[gap(d, bounds) <= bound + SLACK * np.sqrt(span[active])])
@@ -160,14 +182,24 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def reaches(queries: np.ndarray, known: np.ndarray, pivots: np.ndarray, reach: np.ndarray, factor: float) -> np.ndarray:
+    """Places of the shards that can hold a score of at least ``known`` for any query. A shard's vectors lie within ``reach`` of its pivot, so
+    no score is above the pivot's own by more than the query's length times that; ``factor`` makes the reach smaller."""
+    length = np.sqrt((queries * queries).sum(axis=1))
+    most = queries @ pivots.T + length[:, None] * reach[None, :] / factor
+    slack = 2 * SLACK * length[:, None] * (np.sqrt((pivots * pivots).sum(axis=1)) + reach)[None, :]
+    return np.flatnonzero((most + slack >= known[:, None]).any(axis=0))
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the ``k`` other rows with the largest inner product, ties to the smaller vec_id.
 
-    ``rows`` has vec_id and embedding; ``is_query`` picks the queries. Rows are dealt by a hash of vec_id into shards of about
-    ``shard_rows``, whatever their vectors are, and each shard builds a vantage-point tree over its vectors lifted to a sphere, where
-    the largest inner product is the least distance. Queries are packed in blocks of about ``query_rows``; each block meets each
-    shard once, and the best of the shards are ranked. Scores are those of the original vectors in double precision. ``factor``
-    1 is exact search; a larger one prunes more.
+    ``rows`` has vec_id and embedding; ``is_query`` picks the queries. Rows are dealt to the nearest of at most ``PIVOTS`` pivots, one for
+    ``shard_rows`` rows, taken by a hash of vec_id, and a pivot's rows, when they are more, to shards by another hash. Each shard builds a
+    vantage-point tree over its vectors lifted to a sphere, where the largest inner product is the least distance. Queries are packed
+    in blocks by their pivot. A block first meets one shard of its own pivot, which tells what scores its queries reach; then
+    the shards that the triangle inequality doesn't exclude for all of them, and the best of those are ranked. Scores are those of the original
+    vectors in double precision. ``factor`` 1 is exact search; a larger one leaves out more shards and more branches.
 
     Null, empty and zero vectors, those with null or non-finite components, and rows without a vec_id take no part. Of rows with one
     vec_id the least vector counts. Vectors of different lengths aren't neighbours. No rows give no rows; with fewer
@@ -176,37 +208,90 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
     chosen = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     chosen = chosen.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("q").alias("q")).withColumn("dim", F.size("embedding"))
     chosen = written(chosen, "vectors")
-    total, queries = chosen.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-queries // query_rows))
+    wanted = min(PIVOTS, 1 + chosen.count() // shard_rows)
+    taken = chosen.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(wanted).select("embedding").collect()
+    every = chosen.select("dim").distinct().collect()
+    pivots = {r.dim: np.array([x.embedding for x in taken if len(x.embedding) == r.dim] or [[0.0] * r.dim]) for r in every}
+    shared = spark.sparkContext.broadcast(pivots)
 
-    def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def homes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, values = np.zeros(batch.num_rows, dtype=np.int32), batch.column("embedding")
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                own = values.take(pa.array(at)).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+                to = shared.value[int(dim)]
+                home[at] = ((to * to).sum(axis=1)[None, :] - 2 * own @ to.T).argmin(axis=1)
+            yield batch.append_column("home", pa.array(home))
+
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in chosen.schema)}, home int"
+    placed = written(chosen.mapInArrow(homes, schema), "placed")
+    many = placed.groupBy("dim", "home").agg(F.ceil(F.count("*") / shard_rows).alias("parts"), F.ceil(F.count_if("q") / query_rows).alias("blocks"))
+    placed = placed.join(F.broadcast(many), ["dim", "home"])  # a row for each pivot and length
+
+    def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("vec_id")
         return pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].to_list())
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = packed(pdf)
-        first = first_of_equal(ids, vectors, k + 1)
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "tree": [pickle.dumps(build(ids[first], vectors[first]))]})
+        ids, own = vectors(pdf)
+        first = first_of_equal(ids, own, k + 1)
+        t = build(ids[first], own[first])
+        reach = np.sqrt(((own - shared.value[own.shape[1]][pdf["home"].iloc[0]]) ** 2).sum(axis=1).max())
+        return pdf[["dim", "home", "part"]].iloc[:1].assign(reach=reach, tree=[packed(ids=t.ids, vectors=t.vectors, radius=np.array(t.radius), nodes=t.nodes, far=t.far, bounds=t.bounds)])
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "queries": [pickle.dumps(packed(pdf))]})
+        ids, own = vectors(pdf)
+        return pdf[["dim", "home", "block"]].iloc[:1].assign(queries=[packed(ids=ids, vectors=own)])
 
-    trees = written(chosen.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, tree binary"), "trees")
-    asked = chosen.filter("q").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int"))
-    asked = written(asked.groupBy("dim", "block").applyInPandas(block, "dim int, block int, queries binary"), "blocks")
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
-        asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard", "block"]
-    )
+    part, of = F.pmod(F.xxhash64("vec_id"), "parts").cast("int"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), "blocks").cast("int")
+    trees = written(placed.withColumn("part", part).groupBy("dim", "home", "part").applyInPandas(tree, "dim int, home int, part int, reach double, tree binary"), "trees")
+    blocks = placed.filter("q").withColumn("block", of).groupBy("dim", "home", "block").applyInPandas(block, "dim int, home int, block int, queries binary")
+    limits = sorted(tuple(r) for r in trees.select("dim", "home", "part", "reach").collect())  # a row for each shard
+    summary = spark.sparkContext.broadcast({d: np.array([x[1:] for x in limits if x[0] == d]) for d in pivots})
 
-    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begun(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own: Tree = pickle.loads(batch.column("tree")[i].as_py())
-                ids, vectors = pickle.loads(batch.column("queries")[i].as_py())
-                query, place, score = search(own, ids, vectors, k, factor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query], pa.int64()), pa.array(own.ids[place], pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+                asked = unpacked(batch.column("queries")[i])
+                ids, own, known = asked["ids"], asked["vectors"], np.full(len(asked["ids"]), -np.inf)
+                query, _, score = search(Tree(**unpacked(batch.column("tree")[i])), ids, own, k, factor)
+                last = np.flatnonzero(np.append(np.diff(query), 1))
+                full = np.bincount(query, minlength=len(ids))[query[last]] == k
+                known[query[last[full]]] = score[last[full]]
+                dim = batch.column("dim")[i].as_py()
+                shards = summary.value[dim]
+                there = reaches(own.astype(np.float64), known, shared.value[dim][shards[:, 0].astype(int)], shards[:, 2], factor)
+                # one row with the block, and one for each shard that it visits
+                n = len(there)
+                columns = [[dim] * n, shards[there, 0].astype(int), shards[there, 1].astype(int)]
+                at = [pa.array(c, pa.int32()) for c in columns]
+                yield pa.RecordBatch.from_arrays([*at, pa.array([packed(ids=ids, vectors=own, known=known)] * n, pa.binary())], names=["dim", "home", "part", "queries"])
 
-    hits = pairs.repartition(spark.sparkContext.defaultParallelism * 4, "dim", "shard", "block").select("tree", "queries").mapInArrow(found, "query_id long, vec_id long, score double")
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, None
+        for batch in batches:
+            key = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "home", "part", "turn")), strict=True))
+            for i, is_tree in enumerate(batch.column("tree").is_valid().to_pylist()):
+                if is_tree:
+                    current, own = key[i], Tree(**unpacked(batch.column("tree")[i]))
+                    continue
+                if current != key[i]:
+                    raise RuntimeError(f"shard {key[i]} has no tree")
+                asked = unpacked(batch.column("queries")[i])
+                query, place, score = search(own, asked["ids"], asked["vectors"], k, factor, asked["known"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked["ids"][query]), pa.array(own.ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    firsts = trees.filter("part = 0").select("dim", "home", "tree")
+    visits = written(blocks.join(firsts, ["dim", "home"]).select("dim", "queries", "tree").mapInArrow(begun, "dim int, home int, part int, queries binary"), "visits")
+    # a tree is read once for about sixteen blocks
+    turns = 1 + visits.groupBy("dim", "home", "part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // 16
+    visits = visits.withColumns({"turn": F.pmod(F.xxhash64("queries"), F.lit(turns)).cast("int"), "tree": F.lit(None).cast("binary")})
+    own = trees.select("dim", "home", "part", F.lit(None).cast("binary").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "tree")
+    keys = ["dim", "home", "part", "turn"]
+    routed = own.unionByName(visits).repartition(*keys).sortWithinPartitions(*keys, F.col("tree").isNull())
+    hits = routed.mapInArrow(found, "query_id long, vec_id long, score double")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
