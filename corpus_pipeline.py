@@ -16,23 +16,33 @@ PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score by a model of the labels is below 0.7."""
+    """The documents whose score by a model of the labels is below 0.7, with all their columns.
+
+    Null and empty texts have the score of a document without words and stay; repeated rows are judged one by one; without labels of both kinds,
+    or without documents, nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
+    """Of each group of linked documents the one with the smallest doc_id, with all its columns.
+
+    Null and empty texts are linked with nothing and stay; repeated rows with one doc_id stay or go together; rows with a null doc_id stay; no rows
+    give no rows."""
     return ngram_join.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that overlap no benchmark item."""
+    """The documents that overlap no benchmark item, with all their columns.
+
+    Null and empty texts overlap nothing and stay; repeated rows are judged one by one; without items nothing goes; no rows give no rows."""
     return decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of each document."""
+    """Sampled piece ids of each document, with doc_id, the number of ids and what decoding them gave; no other columns.
+
+    Null and empty texts have no ids; a null doc_id draws as 0; repeated rows stay; no rows give no rows."""
     return pieces.encode_documents(docs, PIECES)
 
 
