@@ -59,7 +59,11 @@ def test_join_against_brute_force(spark, docs):
     assert sorted(got, key=str) == brute_components(rows)
 
 
-def test_join_of_random_near_copies(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_join_of_random_near_copies(spark, monkeypatch, small):
+    if small:  # many parts of shingles, hot keys, salted lists and further turns of pivots on a small table
+        for module, name, value in ((ngram_join, "PART", 64), (ngram_join, "OPEN", 0), (ngram_join, "LIST", 3), (ngram_join, "FREQUENT", 5), (components, "HOT", 2), (components, "BROADCAST", 3)):
+            monkeypatch.setattr(module, name, value)
     rng = np.random.default_rng(2)
     rows = []
     for g in range(12):
@@ -257,7 +261,7 @@ def test_overlaps_and_licenses_on_tables(spark, docs):
     assert [(r.doc_id, r.license) for r in licenses.scan(extra).collect()] == [(90, "MIT")] * 2
     own = spark.createDataFrame([("short", "mit license", 1), ("none", None, 1), ("long", " ".join(f"t{i}" for i in range(50)), 1)], "license string, text string, doc_id int")
     found = licenses.scan(extra, own, block_bytes=5).collect()
-    assert sorted({(r.doc_id, r.license) for r in found}) == sorted([(90, "short"), *((i, "long") for i in (10, 16, 22, 28, 34, 40, 46, 52, 58, 64, 30, 31))])
+    assert sorted({(r.doc_id, r.license) for r in found}) == sorted([(90, "short"), *((i, "long") for i in (10, 16, 22, 28, 34, 40, 46, 52, 58, 64, 30, 31, 91))])
     assert licenses.scan(extra, own.limit(0)).count() == 0
 
 
@@ -274,6 +278,19 @@ def test_toxicity_on_tables(spark):
     assert {r.doc_id for r in toxicity.without_toxic(docs, model).collect()} == {i for i, _ in good if i % 4} | {400, 401}
 
 
+def test_toxicity_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = scored.select("toxic", "predicted", "offending", "text", "n_sentences").collect()
+    caught, toxic, called = sum(r.toxic and r.predicted for r in rows), sum(r.toxic for r in rows), sum(r.predicted for r in rows)
+    assert toxic > 50 and caught >= 0.95 * toxic and caught >= 0.98 * called
+    for r in rows:
+        size = len((r.text or "").encode())
+        assert all(0 <= x.start < x.end <= size and x.score > 0.5 for x in r.offending) and len(r.offending) <= r.n_sentences
+        assert r.offending or not r.predicted
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -408,7 +408,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _labelled(lists: DataFrame, reached: DataFrame) -> DataFrame:
     """The entries of the lists that aren't all in one component, with ``component`` and ``cross``, the pairs of a list's entries in different ones."""
-    placed = lists.drop("component", "cross").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = lists.drop("component", "cross", "many").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
     split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("own"), F.max("salts").alias("salts"))
     split = split.filter("parts > 1").select("key", "salts", ((F.col("many") * F.col("many") - F.col("own")) / 2).alias("cross"), "many")
