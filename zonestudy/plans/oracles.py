@@ -204,7 +204,7 @@ O["p2_p5_expressions"] = sql(
       round_even(atr, 0) = trunc(atr) OR 1 > greatest(1, dow) AS e6, session IN ('RTH', 'LONDON') AND least(hour, 10) > 4 AS e7, dow <> 0 AS e8, CAST(NULL AS BOOLEAN) AS e9 FROM ev""",
     "ev", FILTERS="true",
 )
-O["p7_filter_outcome"] = sql(f"SELECT {EVENT} FROM ev WHERE outcome = 'loss'", "ev")
+O["p7_filter_outcome"] = sql(" UNION ALL ".join(f"SELECT '{w}' AS which, {EVENT} FROM ev WHERE {t}" for w, t in (("wins", "outcome = 'win'"), ("losses", "outcome = 'loss'"), ("ambiguous", "ambiguous"))), "ev")
 O["e1_e2_e4_scan"] = sql(f"SELECT {EVENT} FROM ev", "ev")
 _b = _block(1.2, 1, True, "least(c.open, c.close)", "greatest(c.open, c.close)")
 O["e1_e2_scan_next_open"] = sql(f"SELECT {EVENT}, CAST(test_number AS INTEGER) AS test_number FROM ev", "ev", TESTS="retests", FILTERS="true", GOAL="1.5 * atr", HORIZON="60", LIMITED="false", STOP="entry - bias * atr").replace(
@@ -308,8 +308,8 @@ O["s9_dataset_fingerprint"] = sql(
     """SELECT symbol, substr(sha1(n || '|' || strftime(a, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(b, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || printf('%.6f', x) || '|' || printf('%.6f', y)), 1, 12) AS data_fingerprint
     FROM (SELECT symbol, count(*) AS n, min(ts) AS a, max(ts) AS b, arg_min(close, ts) AS x, arg_max(close, ts) AS y FROM base GROUP BY symbol)""", "base",
 )
-O["s10_events_parquet"] = O["e1_e2_e4_scan"]
+O["s10_events_parquet"] = O["s10_events_csv"] = O["e1_e2_e4_scan"]
 O["r1_r6_registry"] = sql(
-    """SELECT 2::BIGINT AS studies, count(*) AS n_events, round(count(*) FILTER (outcome = 'win') / count(*)::DOUBLE, 6) AS rate, 2::BIGINT AS trials, 1::BIGINT AS distinct_trials, 0.0::DOUBLE AS deflated_threshold,
-    1::BIGINT AS looks, 'warning' AS level FROM ev""", "ev",
+    """SELECT 2::BIGINT AS studies, count(*) AS n_events, round(count(*) FILTER (outcome = 'win') / count(*)::DOUBLE, 6) AS rate, 2::BIGINT AS trials, 2::BIGINT AS distinct_trials,
+    round(sqrt(2 * ln(2)), 6) AS deflated_threshold, 1::BIGINT AS looks, 'warning' AS level, 'a' AS name, 'all|fvg|both' AS family, count(*) AS events_kept, round(sum(r_fixed), 6) AS r_kept FROM ev""", "ev",
 )

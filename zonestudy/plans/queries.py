@@ -240,7 +240,8 @@ def p2_p5_expressions(spark, d):
 
 @query
 def p7_filter_outcome(spark, d):
-    return G.filter_outcome(events(spark, d), "losses").select(*EVENT)
+    own = kept(events(spark, d))
+    return _united([G.filter_outcome(own, w).select(F.lit(w).alias("which"), *EVENT) for w in ("wins", "losses", "ambiguous")], own)
 
 
 @query
@@ -422,14 +423,24 @@ def s10_events_parquet(spark, d):
     return tables.read_events(spark, out, "one").select(*EVENT)
 
 
+@query
+def s10_events_csv(spark, d):
+    """Events as CSV, with a header, read back by their names."""
+    out, own = shared_folder(spark), events(spark, d).select(*EVENT)
+    tables.export_events_csv(own, out)
+    return spark.read.schema(own.schema).option("header", True).csv(out)
+
+
 @query
 def r1_r6_registry(spark, d):
-    """Two studies and a look at a holdout, added and counted."""
+    """Two studies of different rules and a look at a holdout, added, counted, and one of them read back."""
     r = registry.Registry(spark, shared_folder(spark))
     own = kept(_won(spark, d))
     summary = kept(G.summarise(own))
-    for name in ("a", "b"):
-        r.append_study(Spec(**{**SPEC.__dict__, "name": name}), summary, own, "all", "", "2024-01-01", SPLIT)
+    first = r.append_study(Spec(**{**SPEC.__dict__, "name": "a"}), summary, own, "all", "", "2024-01-01", SPLIT)
+    r.append_study(Spec(**{**SPEC.__dict__, "name": "b", "filters": []}), summary, own, "all", "", "2024-01-01", SPLIT)
     r.log_reveal(SPEC, summary)
     studies = r.list_studies().agg(F.count("*").alias("studies"), F.max("n").alias("n_events"), F.max("rate").alias("rate"))
-    return studies.join(r.trial_counts()).join(r.reveal_count(SPEC.family()))
+    back = r.get_study(first).select("name", registry.family_key(F.col("symbol"), F.lit(SPEC.zone.detector), F.lit(SPEC.direction)).alias("family"))
+    kept_events = r.load_events(first).agg(F.count("*").alias("events_kept"), F.sum("r_fixed").alias("r_kept"))
+    return studies.join(r.trial_counts()).join(r.reveal_count(SPEC.family())).join(back).join(kept_events)  # a row each
