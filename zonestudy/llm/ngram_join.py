@@ -476,10 +476,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
     partners = (counts.agg(F.avg("c")).first()[0] or 1.0) - 1
     lists = written(_postings(ranked, boundary(sizes, partners)), "lists")
     reached = _reached(lists, sets)
-    placed = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = placed.groupBy("component").agg(F.min("doc_id").alias("root"))
-    named = written(placed.join(roots, "component").select("half", "more", "n", "many", "root"), "roots")
-    dropped(nodes, sets, counts, ranked, lists)
+    linked = written(nodes.join(reached, "node").select("node", "component", "doc_id"), "linked")
+    roots = linked.groupBy("component").agg(F.min("doc_id").alias("root"), F.count("*").alias("many"))
+    rooted = joined_by(linked.select("node", "component"), roots, linked.count(), "component").select("node", "root")
+    named = nodes.join(rooted, "node", "left").select("half", "more", "n", "many", F.coalesce("root", "doc_id").alias("root"))
+    named = written(named, "roots")
+    dropped(nodes, sets, counts, ranked, lists, linked)
     own = joined_by(members.select("doc_id", "half", "more"), named, named.agg(F.max("many")).first()[0] or 0, "half", "more")
     return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
 
