@@ -14,7 +14,7 @@ from zonestudy.operators import controls as C
 from zonestudy.operators import stats as G
 from zonestudy.operators.touches import asof_join
 from zonestudy.plans.scan import scan
-from zonestudy.plans.spec import Spec
+from zonestudy.plans.spec import Spec, validate
 from zonestudy.sources.scratch import kept
 
 
@@ -85,3 +85,9 @@ def test_warnings_of_a_scan(spark):
     counts = {r.symbol: r for r in study.counts().collect()}
     assert counts["still"].n_zones == counts["still"].n_events == 0 and counts["moves"].n_zones > 0
     assert {(r.symbol, r.warning[:8]) for r in study.warnings().collect() if r.symbol == "still"} == {("still", "no zones")}
+
+
+def test_filters_on_a_higher_timeframe_need_one():
+    rules = {"timeframe": "5min", "zone": {"detector": "fvg"}, "htf": {"timeframe": ""}}
+    assert validate(Spec.from_dict(rules | {"filters": ["session == 'htf_bias'"]})) == []
+    assert len(validate(Spec.from_dict(rules | {"filters": ["1 < 2 and aligned == 1", "htf_bias > 0"]}))) == 1

@@ -227,6 +227,14 @@ def compile_expression(expr: str, names: dict[str, str] | Iterable[str] = FEATUR
     return _truth(_Compiler(names).visit(tree))
 
 
+def names_in(expr: str) -> set[str]:
+    """The names that an expression uses; none if it is no expression."""
+    try:
+        return {n.id for n in ast.walk(ast.parse(expr.strip(), mode="eval")) if isinstance(n, ast.Name)}
+    except (SyntaxError, ValueError):
+        return set()
+
+
 def check_expression(expr: str) -> str | None:
     """What is wrong with an expression, or None. No job runs."""
     try:

@@ -7,10 +7,10 @@ import json
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any, get_type_hints
 
-from zonestudy.functions.expressions import check_expression
+from zonestudy.functions.expressions import check_expression, names_in
 from zonestudy.functions.timeframe import seconds
 from zonestudy.operators.scoring import ENTRIES, STOPS, TARGETS
-from zonestudy.operators.touches import TRIGGERS
+from zonestudy.operators.touches import HTF_FIELDS, TRIGGERS
 
 # The detectors' parameters and their defaults.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -22,6 +22,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 
 
+# The fields and defaults below are fixed values, too: they are those of the JSON form.
 @dataclass
 class ZoneRule:
     detector: str = "order_block"
@@ -145,7 +146,10 @@ def validate(spec: Spec) -> list[str]:
         higher = length("htf.timeframe", spec.htf.timeframe)
         if own and higher and higher <= own:
             out.append(f"htf.timeframe {spec.htf.timeframe} must be longer than timeframe {spec.timeframe}")
-    elif any("htf_" in f or "aligned" in f for f in spec.filters):
-        out.append("a filter uses the higher timeframe, but htf.timeframe is empty")
+    else:
+        higher_names = {*HTF_FIELDS, "htf_bar_progress", "aligned", "aligned_bar"}
+        used = sorted({n for f in spec.filters for n in names_in(f)} & higher_names)
+        if used:
+            out.append(f"{', '.join(used)} in a filter: htf.timeframe is empty")
     out.extend(f"filter {f!r}: {e}" for f in spec.filters if (e := check_expression(f)))
     return out
