@@ -87,7 +87,7 @@ def test_warnings_of_a_scan(spark):
     assert {(r.symbol, r.warning[:8]) for r in study.warnings().collect() if r.symbol == "still"} == {("still", "no zones")}
 
 
-def test_filters_on_a_higher_timeframe_need_one():
+def test_filters_on_a_higher_timeframe_need_one(spark):
     rules = {"timeframe": "5min", "zone": {"detector": "fvg"}, "htf": {"timeframe": ""}}
     assert validate(Spec.from_dict(rules | {"filters": ["session == 'htf_bias'"]})) == []
     assert len(validate(Spec.from_dict(rules | {"filters": ["1 < 2 and aligned == 1", "htf_bias > 0"]}))) == 1
