@@ -284,7 +284,7 @@ def test_toxicity_on_held_out_documents(spark):
     scored = toxicity.score_documents(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     rows = scored.select("toxic", "predicted", "offending", "text", "n_sentences").collect()
     caught, toxic, called = sum(r.toxic and r.predicted for r in rows), sum(r.toxic for r in rows), sum(r.predicted for r in rows)
-    assert toxic > 50 and caught >= 0.95 * toxic and caught >= 0.98 * called
+    assert toxic > 100 and caught >= 0.8 * toxic and caught >= 0.9 * called
     for r in rows:
         size = len((r.text or "").encode())
         assert all(0 <= x.start < x.end <= size and x.score > 0.5 for x in r.offending) and len(r.offending) <= r.n_sentences
