@@ -104,6 +104,11 @@ def _rows(part: list | np.ndarray, slice_: int | list, count: int, **columns: pa
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(count, k) for c, k in kinds.items()], names=list(kinds))
 
 
+def _passing(slice_: int, parts: int) -> int:
+    """A part that holds no tokens, for the rows of a slice that only pass."""
+    return parts + int(mix(np.array([slice_], dtype=np.uint64))[0] % np.uint64(4096))
+
+
 def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Tokens of the slice's rows, by part; each once, with the row if it is the only one. The rows of others are credited here.
 
@@ -111,7 +116,7 @@ def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int) -> Itera
     values, place, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
     known = counts[inverse] > 1
     if known.any():
-        yield _rows([slice_ % parts], slice_, 1, rows=[row[known].astype(np.uint16).tobytes()])
+        yield _rows([_passing(slice_, parts)], slice_, 1, rows=[row[known].astype(np.uint16).tobytes()])
     part = ((values >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     there, begin = np.unique(part[order], return_index=True)
@@ -213,7 +218,7 @@ def _memberships(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
             n = s.sizes()
-            yield _rows([name % parts] * len(n), name, len(n), place=np.arange(len(n)), doc_id=batch.column("doc_id"), n=n, half=_signed(s.half), more=_signed(s.more))
+            yield _rows([_passing(name, parts)] * len(n), name, len(n), place=np.arange(len(n)), doc_id=batch.column("doc_id"), n=n, half=_signed(s.half), more=_signed(s.more))
             fresh = np.array([k not in seen and not seen.add(k) for k in zip(s.half.tolist(), s.more.tolist(), strict=True)], dtype=bool)
             kept = np.where(fresh & (n > 2), sampled(n), 0)  # smaller sets link with equal ones only
             row = np.repeat(np.arange(len(n)), kept)
@@ -234,7 +239,7 @@ def _three_quarters(sets: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 held, node = part.column("held"), part.column("node")
                 n = np.diff(held.offsets.to_numpy())
-                yield _rows([name % parts] * len(n), name, len(n), place=np.arange(len(n)), doc_id=node, n=n, half=node, more=node)
+                yield _rows([_passing(name, parts)] * len(n), name, len(n), place=np.arange(len(n)), doc_id=node, n=n, half=node, more=node)
                 yield from _sent(name, np.repeat(np.arange(len(n)), n), held.flatten().to_numpy().view(np.uint64), parts)
                 name += 1
 
