@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tests.walks import walk
 from zonestudy.functions.timeframe import seconds
