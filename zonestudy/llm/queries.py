@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonestudy.llm import bitpack, chat, decontaminate, licenses, ngram_join, pieces, sharding, toxicity, url_filter, vptree
+from zonestudy.llm import bitpack, capfilter, chat, decontaminate, licenses, merkle, ngram_join, pieces, runs, sharding, toxicity, url_filter, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_license_scan,
         op10_url_filters,
+        op11_merkle_manifest,
+        op12_periodic_runs,
+        op13_embedding_near_dedup,
         pipeline,
     )
 }
@@ -89,4 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_periodic_runs": runs.ORACLE,
+    "op13_embedding_near_dedup": capfilter.ORACLE,
 }

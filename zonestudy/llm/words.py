@@ -85,15 +85,15 @@ def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def tokenize(values: pa.Array, separators: np.ndarray) -> Words:
-    """Maximal runs of bytes that aren't separators, A-Z lower-cased, each with a hash of its bytes.
+def tokenize(values: pa.Array, separators: np.ndarray, fold: bool = True) -> Words:
+    """Maximal runs of bytes that aren't separators, A-Z lower-cased if ``fold``, each with a hash of its bytes.
 
     The hash is a polynomial modulo 2**64 taken from one running sum over all bytes, then mixed."""
     raw, offsets = text_bytes(values)
     empty = np.zeros(0, dtype=np.int64)
     if not len(raw):
         return Words(empty, empty, empty, empty.astype(np.uint64), raw, offsets, np.zeros(1, dtype=np.uint64))
-    data = LOWER[raw]
+    data = LOWER[raw] if fold else raw
     inside = ~separators[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
