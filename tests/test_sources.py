@@ -129,3 +129,49 @@ def test_registry(spark, tmp_path):
     assert r.reveal_count(spec.family()).first().asDict() == {"looks": 3, "level": "error"} and r.reveal_history(spec.family()).count() == 3
     row = spark.createDataFrame([("", "fvg", "both")], "s string, d string, x string").select(family_key(F.col("s"), F.col("d"), F.col("x"))).first()
     assert row[0] == "*|fvg|both" == Spec(zone=Spec.from_dict({"zone": {"detector": "fvg"}}).zone).family()
+
+
+def test_heads_of_a_file_of_many_pieces(spark, tmp_path):
+    """Columns in an order of their own, so that only the header tells them, in a file that is read in many pieces."""
+    rows = [f"{14 + k % 3},{k % 24:02d}:{k % 60:02d} x,{10 + k % 5},{11.5 + k % 5},2021-03-{1 + k // 1440:02d} {k // 60 % 24:02d}:{k % 60:02d},{10.5 + k % 5}" for k in range(4000)]
+    (tmp_path / "NQ one.csv").write_text("\n".join(["High,Note,Low,Close,DateTime,Open", *(r.replace(f"{14 + k % 3},", f"{20 + k % 3},", 1) for k, r in enumerate(rows))]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        bars = folders.load_symbol_folder(spark, str(tmp_path), "NQ")
+        assert bars.count() == 4000
+        assert [tuple(r) for r in bars.agg(F.min("high"), F.max("high"), F.min("low"), F.max("low"), F.min("open"), F.max("close")).collect()] == [(20.0, 22.0, 10.0, 14.0, 10.5, 15.5)]
+        assert bars_csv.read_bars_csv(spark, [str(tmp_path)], "NQ").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_row_stays_in_a_file_of_many_pieces(spark, tmp_path):
+    rows = [f"2021-03-01 10:{k % 60:02d},{k // 60 + 1},{k // 60 + 2},{k // 60 + 0.5},{k // 60 + 1}" for k in range(1200)]
+    (tmp_path / "A.csv").write_text("\n".join(["datetime,open,high,low,close", *rows]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert {r.open for r in bars_csv.read_bars_csv(spark, [str(tmp_path / "A.csv")], "A").collect()} == {1.0}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_folder_of_many_symbols_is_one_read_for_each_layout(spark, tmp_path, monkeypatch):
+    reads, raw = [], bars_csv._raw
+    monkeypatch.setattr(bars_csv, "_raw", lambda *a: reads.append(len(a[2])) or raw(*a))
+    for k in range(120):
+        day = f"2020-01-{1 + k % 28:02d}"
+        (tmp_path / f"S{k:03d}_M1.csv").write_text(f"datetime,open,high,low,close\n{day} 10:00,{k},{k + 2},{k},{k + 1}\n")
+        (tmp_path / f"s{k:03d} more 2021.txt").write_text(f"Date;Time;Open;High;Low;Close\n{day.replace('-', '.')};10:0{k % 2};{k},5;{k + 2},5;{k},5;{k + 1},5\n")
+    (tmp_path / "S00.csv").write_text("datetime,open,high,low,close\n2020-02-01 10:00,7,7,7,7\n")
+    one = sorted(tuple(r) for s in ("S00", "S007") for r in folders.load_symbol_folder(spark, str(tmp_path), s).collect())
+    reads.clear()
+    bars = folders.load_folder(spark, str(tmp_path))
+    assert sorted(reads) == [120, 121]
+    rows = [tuple(r) for r in bars.collect()]
+    assert len({r[0] for r in rows}) == 121 and sorted(r for r in rows if r[0] in ("S00", "S007")) == one
+    assert {r[0]: sum(x[0] == r[0] for x in rows) for r in rows}["S001"] == 2  # 10:00 in one file, 10:01 in the other
+    late = folders.load_folder(spark, str(tmp_path), years=(2020, 2020))
+    assert late.filter("symbol = 'S001'").count() == 1
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        folders.load_folder(spark, str(tmp_path / "none"))

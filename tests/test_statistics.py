@@ -1,10 +1,12 @@
 """Statistics, as-of joins and scans' warnings against numpy, pandas and plain sums."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.walks import walk
 from zonestudy.functions.timeframe import seconds
@@ -29,6 +31,49 @@ def test_quantiles(spark):
         assert np.allclose(got[g], np.quantile(x, probs), rtol=1e-12)
 
 
+def test_quantiles_of_values_that_crowd(spark, monkeypatch):
+    """Few values may be ranked, so that bins are cut again and again: values of any size, a crowd in a hair's breadth, and ties."""
+    monkeypatch.setattr(G, "RANKED", 20)
+    rng = np.random.default_rng(6)
+    groups = {"sizes": np.exp(rng.normal(size=3000) * 60) * rng.choice([-1, 1], 3000), "hair": 1e9 + rng.normal(size=3000) * 1e-6, "ties": rng.integers(0, 3, 3000) * 1.0, "tiny": rng.normal(size=3000) * 1e-200, "all": np.r_[-1.7e308, 1.7e308, rng.normal(size=500)]}
+    rows = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "x": x}) for g, x in groups.items()]))
+    probs = [0.0, 0.01, 0.3333, 0.5, 0.99, 1.0]
+    got = {r.g: r.q for r in G.quantiles(rows, ["g"], "x", probs).collect()}
+    for g, x in groups.items():
+        assert np.allclose(got[g], np.quantile(x, probs), rtol=1e-12, atol=0), g
+    monkeypatch.setattr(G, "BOUNDS", 0)
+    assert {r.g: r.q for r in G.quantiles(rows, ["g"], "x", probs).collect()} == got
+
+
+def test_quantiles_meet_no_group_in_one_task(spark):
+    rows = spark.range(200_000).select((F.col("id") % 3).cast("string").alias("g"), F.rand(1).alias("x"))
+    plan = G.quantiles(rows, ["g"], "x", [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_bootstrap_of_a_few_values(spark):
+    """A hundred million wins and losses are two values; the bounds are as wide as the normal ones."""
+    n, k = 100_000_000, 36_000_000
+    few = spark.range(0, n, 1, 8).select(F.col("id").alias("event_id"), F.when(F.col("id") < k, 2.0).otherwise(-1.0).alias("r_fixed"))
+    r = G.bootstrap_mean(few).first()
+    p = k / n
+    half = 1.96 * 3 * math.sqrt(p * (1 - p) / n)
+    assert r["mean"] == pytest.approx(3 * p - 1) and r.high - r.low == pytest.approx(2 * half, rel=0.06) and r.low < r["mean"] < r.high
+
+
+def test_equity_curve_over_days(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, (pd.Timestamp("2024-03-01") + pd.Timedelta(minutes=int(m))).to_pydatetime(), f"{s}{i}", None if i % 9 == 0 else float(v)) for s in "ab" for i, (m, v) in enumerate(zip(rng.integers(0, 9 * 1440, 300), rng.normal(size=300)))]
+    rows += [("c", datetime(2024, 3, d), f"c{d}", v) for d, v in ((1, None), (3, None), (5, 1.5))]
+    got = {(r.symbol, r.event_id): r.equity for r in G.equity_curve(spark.createDataFrame(rows, "symbol string, ts timestamp, event_id string, r_fixed double")).collect()}
+    for s in "abc":
+        total, seen = 0.0, False
+        for _, _, e, v in sorted(r for r in rows if r[0] == s):
+            total, seen = total + (v or 0.0), seen or v is not None
+            assert got[s, e] == pytest.approx(total) if seen else got[s, e] is None
+    assert len(got) == len(rows)
+
+
 def test_binomial_against_all_terms():
     def plain(k, n, p):
         terms = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from zonestudy.sources.scratch import kept
+
 #: Events in a group from which its rate is worth reading.
 RELIABLE = 20
 
@@ -60,10 +62,12 @@ def bootstrap_mean(events: DataFrame, column: str = "r_fixed", key: str = "event
     """One row: mean, low, high of the mean of ``column`` by a Poisson bootstrap.
 
     In each of ``n_boot`` replicates an event counts a Poisson(1) number of times, drawn from a hash of its key, so the draws depend
-    neither on partitions nor on order. Tasks hand on two sums for each replicate, never rows. Null and non-finite values are left
-    out; with none left all three are null."""
-    x = events.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(column).cast("double").alias("x"))
+    neither on partitions nor on order. Events of one value are drawn together: ``c`` of them count a Poisson(c) number of times, drawn from a hash of the
+    value. Results in units of risk are mostly a few values, which then cost as much as a few events, however many they are. Tasks hand on two
+    sums for each replicate, never rows. Null and non-finite values are left out; with none left all three are null."""
+    x = events.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), (F.col(column).cast("double") + F.lit(0.0)).alias("x"))
     x = x.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
+    equal = x.groupBy("x").agg(F.count("*").alias("c"), F.min("h").alias("h")).withColumn("h", F.when(F.col("c") > 1, F.xxhash64(F.lit(seed), "x")).otherwise(F.col("h")))
     together = max(1, (1 << 18) // n_boot)
     edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
@@ -71,8 +75,13 @@ def bootstrap_mean(events: DataFrame, column: str = "r_fixed", key: str = "event
         weights, sums = np.zeros(n_boot), np.zeros(n_boot)
         step = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for pdf in frames:
-            for at in range(0, len(pdf), together):
-                h, value = pdf["h"].to_numpy()[at : at + together].view(np.uint64), pdf["x"].to_numpy()[at : at + together]
+            for h, c, value in pdf.loc[pdf["c"] > 1, ["h", "c", "x"]].itertuples(index=False):
+                w = np.random.Generator(np.random.Philox(key=h % (1 << 64))).poisson(c, n_boot).astype(np.float64)
+                weights += w
+                sums += value * w
+            single = pdf[pdf["c"] == 1]
+            for at in range(0, len(single), together):
+                h, value = single["h"].to_numpy()[at : at + together].view(np.uint64), single["x"].to_numpy()[at : at + together]
                 u = h[:, None] + step
                 u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -81,7 +90,7 @@ def bootstrap_mean(events: DataFrame, column: str = "r_fixed", key: str = "event
                 sums += value @ w
         yield pd.DataFrame({"rep": np.arange(n_boot), "w": weights, "s": sums})
 
-    drawn = x.mapInPandas(replicate, "rep int, w double, s double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    drawn = equal.mapInPandas(replicate, "rep int, w double, s double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
     ends = [(1 - conf) / 2, (1 + conf) / 2]
     bounds = drawn.agg(F.percentile(F.try_divide("s", "w"), F.array(*[F.lit(e) for e in ends])).alias("q"))
     return x.agg(F.avg("x").alias("mean")).join(bounds).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
@@ -111,29 +120,59 @@ def rate_by_group(events: DataFrame, *columns: str) -> DataFrame:
     return g.select("by", "value", "n", rate.alias("rate"), low.alias("ci_low"), high.alias("ci_high"), "mean_r", (F.col("n") >= RELIABLE).alias("reliable")).orderBy("by", "value")
 
 
+#: Values among which a quantile's place is found by ranking; more are counted in bins first.
+RANKED = 10_000
+#: Rows of bounds that are broadcast at most, some MB.
+BOUNDS = 200_000
+
+
 def quantiles(rows: DataFrame, by: list[str], column: str, probs: list[float]) -> DataFrame:
-    """``by`` and ``q``, the exact quantiles of ``column`` with interpolation, null without values.
-
-    A sketch of bounded size puts each quantile between two values; only rows between them are then ranked, by distinct value, so no task
-    meets all values of a large group."""
-    x = rows.select(*by, F.col(column).cast("double").alias("_x")).filter("_x is not null")
-    near = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-0.001, 0.001)]
-    g = x.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_x", F.array(*[F.lit(p) for p in near]), 10_000).alias("_near"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
-
-    few = F.col("_n") <= 10_000  # then all of them are ranked
-    ends = [(F.when(few | F.lit(p <= 0.001), F.col("_a")).otherwise(F.col("_near")[2 * k]), F.when(few | F.lit(p >= 0.999), F.col("_b")).otherwise(F.col("_near")[2 * k + 1])) for k, p in enumerate(probs)]
-    bounds = g.select(*by, F.posexplode(F.array(*[F.struct(F.lit(p).alias("p"), "_n", a.alias("low"), b.alias("high")) for p, (a, b) in zip(probs, ends, strict=True)])).alias("_k", "_q"))
-    met = x.join(bounds, by)
-    counted = met.filter(F.col("_x") <= F.col("_q.high")).groupBy(*by, "_k", "_q", F.greatest("_x", "_q.low").alias("_v"), (F.col("_x") >= F.col("_q.low")).alias("_in"))
-    # what lies below is one row, before the row of the low end itself
-    order = Window.partitionBy(*by, "_k").orderBy("_v", "_in")
-    placed = counted.agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
-    rank = F.col("_q.p") * (F.col("_q._n") - 1)
-    holds = lambda r: F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v")))
-    found = placed.groupBy(*by, "_k").agg(holds(F.floor(rank)).alias("_l"), holds(F.ceil(rank)).alias("_h"), F.max(rank - F.floor(rank)).alias("_f"))
+    """``by`` and ``q``, the exact quantiles of ``column`` with interpolation, null without values. NaN counts as the largest value.
+
+    Values are counted in bins, map-side; the bin that holds a quantile's place is known by the counts, and its values are counted in finer bins until
+    few enough are left to rank. The bins' bounds go to the rows as a broadcast, so no task meets all values of a large group."""
+    x = kept(rows.select(*by, F.col(column).cast("double").alias("_x")).filter("_x is not null"))
+    # the first bins are 256 for each factor e of the value, and for each unit below 1; a rising function of the value, whatever its rounding
+    size = F.least(F.greatest(F.signum("_x") * F.log1p(F.abs("_x")), F.lit(-720.0)), F.lit(720.0))
+    placed = _bins(x, by, F.floor(size * 256).cast("long")).withColumn("_all", F.sum("_c").over(Window.partitionBy(*by)))
+    rank = lambda p: F.lit(p) * (F.col("_all") - 1)
+    sides = [F.struct(F.lit(k).alias("_k"), F.lit(s).alias("_s"), to(rank(p)).cast("long").alias("_r"), (rank(p) - F.floor(rank(p))).alias("_f")) for k, p in enumerate(probs) for s, to in enumerate((F.floor, F.ceil))]
+    picked = _holding(placed.withColumn("_t", F.explode(F.array(*sides))).select("*", "_t.*"), by)
+    while True:
+        picked = kept(picked)
+        n, most = picked.agg(F.count("*"), F.max(F.when(_splits(), F.col("_c")))).first()
+        bounds = lambda t: F.broadcast(t) if n <= BOUNDS else t  # noqa: B023, E731
+        if (most or 0) <= RANKED:
+            break
+        wide = picked.filter(_splits() & (F.col("_c") > RANKED)).select(*by, "_k", "_s", "_r", "_f", "_lo", "_hi")
+        met = x.join(bounds(wide), by).filter("_x between _lo and _hi")
+        # parts of the bin's width; halves first, as the width of all doubles is none
+        part = F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * 4095).cast("long")
+        finer = _holding(_bins(met, [*by, "_k", "_s", "_r", "_f"], part, [*by, "_k", "_s"]), by)
+        picked = picked.filter(~(_splits() & (F.col("_c") > RANKED))).unionByName(finer)
+    last = x.join(bounds(picked.filter(_splits()).select(*by, "_k", "_s", "_r", "_f", "_lo", "_hi")), by).filter("_x between _lo and _hi")
+    ranked = _holding(_bins(last, [*by, "_k", "_s", "_r", "_f"], F.col("_x"), [*by, "_k", "_s"]), by)
+    found = picked.filter(~_splits()).unionByName(ranked).groupBy(*by, "_k").agg(*[F.max(F.when(F.col("_s") == s, F.col("_lo"))).alias(c) for s, c in enumerate(("_l", "_h"))], F.max("_f").alias("_f"))
     value = F.when(F.col("_f") == 0, F.col("_l")).otherwise(F.col("_l") * (1 - F.col("_f")) + F.col("_h") * F.col("_f"))
-    ranked = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", value.alias("v")))).alias("_s"))  # a few for each group
-    return ranked.select(*by, F.transform("_s", lambda s: s["v"]).alias("q"))
+    listed = found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", value.alias("v")))).alias("_s"))  # a few for each group
+    return listed.select(*by, F.transform("_s", lambda s: s["v"]).alias("q"))
+
+
+def _splits() -> Column:
+    """Whether a bin has different values, and a width."""
+    return (F.col("_lo") < F.col("_hi")) & (F.col("_hi") < float("inf")) & (F.col("_lo") > float("-inf")) | (F.col("_lo") < F.col("_hi")) & (F.col("_c") <= RANKED)
+
+
+def _bins(x: DataFrame, by: list[str], place: Column, within: list[str] | None = None) -> DataFrame:
+    """Of each bin its count, least and largest value, and the count up to it."""
+    g = x.groupBy(*by, place.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    return g.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*(within or by)).orderBy("_bin")))
+
+
+def _holding(bins: DataFrame, by: list[str]) -> DataFrame:
+    """The bins that hold place ``_r``, counted from their first value now."""
+    own = bins.filter((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
+    return own.select(*by, "_k", "_s", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_r"), "_f", "_lo", "_hi", "_c")
 
 
 def excursion_quantiles(events: DataFrame) -> DataFrame:
@@ -155,9 +194,17 @@ def excursion_histogram(events: DataFrame, bins: int = 60) -> DataFrame:
 
 
 def equity_curve(events: DataFrame) -> DataFrame:
-    """symbol, ts, event_id, r_fixed and ``equity``, its running sum over each symbol's events."""
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("symbol", "ts", "event_id", "r_fixed", F.sum("r_fixed").over(w).alias("equity"))
+    """symbol, ts, event_id, r_fixed and ``equity``, its running sum over each symbol's events; null before the first that has a result.
+
+    Sums run within days; what a day starts from is the sum over a row for each day before, so no task holds a symbol."""
+    own = events.select("symbol", "ts", "event_id", "r_fixed", F.to_date("ts").alias("_day"))
+    daily = own.groupBy("symbol", "_day").agg(F.sum("r_fixed").alias("_sum"))
+    before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = daily.select("symbol", "_day", F.sum("_sum").over(before).alias("_start"))
+    day = Window.partitionBy("symbol", "_day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = own.join(starts, ["symbol", "_day"]).withColumn("_own", F.sum("r_fixed").over(day))
+    total = F.coalesce(F.col("_start") + F.col("_own"), "_start", "_own")
+    return run.select("symbol", "ts", "event_id", "r_fixed", total.alias("equity"))
 
 
 def split_is_oos(events: DataFrame, start, end) -> DataFrame:

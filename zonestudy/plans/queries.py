@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -339,46 +338,36 @@ def g2_g12_baseline_table(spark, d):
     return G.baseline_table(G.summarise(own), controls)
 
 
-def _symbols(own: DataFrame) -> list[str]:
-    return [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").collect()]
-
-
-def _united(parts: list[DataFrame], own: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else own.limit(0)
-
-
 def exported_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
     """The bars of every symbol, written as European exports in New York time, a folder for each symbol, and read again."""
-    out, own = shared_folder(spark), kept(own)
+    out = shared_folder(spark)
     local = F.from_utc_timestamp("ts", X.EXCHANGE_TZ)
     comma = lambda c: F.replace(F.format_string("%.6f", c), F.lit("."), F.lit(",")).alias(c.capitalize())
-    parts = []
-    for name in _symbols(own):
-        rows = own.filter(F.col("symbol") == name).repartitionByRange("ts")  # the first file has rows, so its layout can be told
-        text = rows.select(F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in ("open", "high", "low", "close", "volume")])
-        text.write.options(sep=";", header=True).csv(f"{out}/{name}")
-        parts.append(bars_csv.read_bars_csv(spark, [f"{out}/{name}"], name, X.EXCHANGE_TZ))
-    return _united(parts, own)
+    prices = ("open", "high", "low", "close", "volume")
+    text = own.repartitionByRange("symbol", "ts").select("symbol", F.date_format(local, "dd.MM.yyyy").alias("Date"), F.date_format(local, "HH:mm").alias("Time"), *[comma(c) for c in prices])
+    text.write.options(sep=";", header=True).partitionBy("symbol").csv(out)
+    files = spark.read.format("binaryFile").load(out)
+    return bars_csv.read_exports(spark, files.select("path", "symbol"), X.EXCHANGE_TZ) if "symbol" in files.columns else own.limit(0)
 
 
 def folder_bars(spark: SparkSession, own: DataFrame) -> DataFrame:
-    """The bars of every symbol, written to one folder as files whose names begin with the symbol, and read again for each symbol
+    """The bars of every symbol, written to one folder as files whose names begin with the symbol, and read again for all symbols
     that the folder lists; symbols are then in capitals.
 
     Each symbol has files in two layouts with a week in common, in which the later ones have other prices, and bars that contradict themselves in
     the earlier ones for the bars only the later ones have."""
     out, own = shared_folder(spark), kept(own)
-    for name in _symbols(own):
+    prices = ("open", "high", "low", "close", "volume")
+    names = [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").collect()]
+    for name in names:  # Spark names files after a setting of the write
         rows = own.filter(F.col("symbol") == name)
-        prices = ("open", "high", "low", "close", "volume")
         early = rows.select("ts", *[F.when(F.col("ts") >= OVERLAP[1], -F.col(c) if c == "high" else F.col(c)).otherwise(F.col(c)).alias(c) for c in prices])
         late = rows.filter(F.col("ts") >= OVERLAP[0]).select("ts", *[F.when(F.col("ts") < OVERLAP[1], F.col(c) + 1).otherwise(F.col(c)).alias(c) for c in prices])
         plain = early.repartitionByRange("ts").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), *prices)
         plain.write.mode("append").options(**{"header": True, "mapreduce.output.basename": f"{name}_a"}).csv(out)
         iso = late.repartitionByRange("ts").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("Timestamp"), *[F.col(c).alias(c.upper()) for c in prices])
         iso.write.mode("append").options(**{"header": True, "sep": "|", "mapreduce.output.basename": f"{name}_b"}).csv(out)
-    listed = [r.symbol for r in folders.list_symbols(spark, out).collect()] if _symbols(own) else []
-    return _united([folders.load_symbol_folder(spark, out, name) for name in listed], own)
+    return folders.load_folder(spark, out) if names else own.limit(0)
 
 
 OVERLAP = ("2024-01-14", "2024-01-21")

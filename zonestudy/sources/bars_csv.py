@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,21 +169,76 @@ def detect_bar_format(lines: list[str], name: str = "file") -> BarFormat:
     raise ValueError(f"{name}: " + ("; ".join(lacks) or "no comma, semicolon, tab or pipe separates columns"))
 
 
-def sniff(spark: SparkSession, paths: list[str], n_lines: int = 50, together: int = 64) -> dict[str, BarFormat]:
-    """The layout of each file; the first lines of ``together`` files are read in one job. Warns of dates that can be read day or month first."""
+#: Bytes of a file that the scan for heads takes as one piece; a longer file's other pieces are left out by where they begin.
+_WHOLE = 1 << 40
+#: Files up to which their symbols are broadcast, some MB.
+_LISTED = 50_000
+
+
+def _heads(spark: SparkSession, paths: list[str], n_lines: int) -> DataFrame:
+    """file and first lines (``value``, in order) of each file under ``paths``, one row each; empty files have none.
+
+    Each file is one piece of the scan whatever its length, so its lines come in order, and a task stops after a file's first rows."""
+    own = spark.newSession()  # the pieces are a setting of the session
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", str(_WHOLE))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n_lines))
+    lines = own.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for batch in batches:
+            rows = batch.to_pydict()
+            if done is not None and rows["file_path"][-1] == done:
+                return  # a piece is of one file
+            done = rows["file_path"][0]
+            yield pa.RecordBatch.from_pydict({"file": [done], "lines": [[v for v, f in zip(rows["value"], rows["file_path"], strict=True) if f == done]]})
+
+    return lines.mapInArrow(first, "file string, lines array<string>")
+
+
+def layouts(spark: SparkSession, paths: list[str], n_lines: int = 50) -> dict[str, BarFormat]:
+    """The layout of each file under ``paths`` (files or folders), by its full path: told in the tasks that read the first lines, one job for all.
+    Raises ValueError for the first file that has none, and warns of dates that can be read day or month first."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, lines in zip(*batch.to_pydict().values(), strict=True):
+                try:
+                    fmt, wrong = json.dumps(asdict(detect_bar_format(lines, _name(file)))), None
+                except ValueError as e:
+                    fmt, wrong = None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.string()) for x in (file, fmt, wrong)], names=["file", "fmt", "wrong"])
+
+    listed = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").orderBy("path").collect()]  # a row for each file, as its reader lists them, too
+    rows = {_plain(r.file): r for r in _heads(spark, paths, n_lines).mapInArrow(told, "file string, fmt string, wrong string").collect()}
     found = {}
-    for at in range(0, len(paths), together):
-        heads = [spark.read.text(p).limit(n_lines).select(F.lit(p).alias("path"), F.monotonically_increasing_id().alias("line"), "value") for p in paths[at : at + together]]
-        lines: dict[str, list[tuple[int, str]]] = {p: [] for p in paths[at : at + together]}
-        for r in reduce(DataFrame.unionByName, heads).collect():  # n_lines for each of ``together`` files
-            lines[r.path].append((r.line, r.value))
-        for p, own in lines.items():
-            found[p] = detect_bar_format([x for _, x in sorted(own)], p.rstrip("/").rsplit("/", 1)[-1])
-            if found[p].ambiguous_date:
-                warnings.warn(f"{p}: dates can be read day or month first; read as {found[p].ts_format}", stacklevel=2)
+    for path in listed:
+        r = rows[_plain(path)]
+        if r.wrong:
+            raise ValueError(r.wrong)
+        d = json.loads(r.fmt)
+        found[path] = BarFormat(**d | {"preview": tuple(map(tuple, d["preview"]))})
+        if found[path].ambiguous_date:
+            warnings.warn(f"{path}: dates can be read day or month first; read as {found[path].ts_format}", stacklevel=2)
     return found
 
 
+def _plain(path: str) -> str:
+    """A path without its scheme's slashes and escapes, which readers write in different ways."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
+
+
+def _name(path: str) -> str:
+    return unquote(path.rstrip("/").rsplit("/", 1)[-1])
+
+
+def sniff(spark: SparkSession, paths: list[str], n_lines: int = 50) -> dict[str, BarFormat]:
+    """The layout of each of some files, by the path they are given by."""
+    found = {_plain(p): fmt for p, fmt in layouts(spark, paths, n_lines).items()}
+    return {p: fmt for p in paths for full, fmt in found.items() if full == _plain(p) or full == f"file:{_plain(p)}"}
+
+
 def _pattern(fmt: str) -> str:
     """The format as Spark writes it; single letters take one digit or two."""
     compact = "%Y%m%d" in fmt
@@ -221,7 +280,7 @@ def localize_to_utc(wall: Column, tz: str) -> Column:
 
 
 def clean_bars(raw: DataFrame, tz: str = "UTC") -> DataFrame:
-    """symbol, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the read).
+    """symbol, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the file).
 
     Rows without time or price go. Each file is cleaned by itself: of one wall clock the first row stays, of two wall clocks that are one time
     the first one, and bars whose prices contradict each other go. Then of one time the bar of the first file stays."""
@@ -234,23 +293,47 @@ def clean_bars(raw: DataFrame, tz: str = "UTC") -> DataFrame:
     return one.select("symbol", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
 
 
+def read_exports(spark: SparkSession, files: DataFrame, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
+    """Clean bars of all symbols from ``files`` (path, symbol): as many reads as there are layouts, whatever the number of symbols. A file can be of
+    several symbols. Raises ValueError for a file without times or prices among its first rows.
+
+    Rows get their symbols by their file, over a broadcast of the list while that has at most 50,000 files."""
+    rows = files.select("path", "symbol").distinct().collect()  # a row for each file, which the driver lists for each read anyway
+    if not rows:
+        raise FileNotFoundError("no files of bars")
+    paths = sorted({r.path for r in rows})
+    groups: dict[tuple, tuple[BarFormat, list[str]]] = {}
+    for p, own in (dict.fromkeys(paths, fmt) if fmt else layouts(spark, paths)).items():
+        groups.setdefault(own.key(), (own, []))[1].append(p)
+    raw = reduce(DataFrame.unionByName, [_raw(spark, own, some, tz) for own, some in groups.values()])
+    symbols = {r.symbol for r in rows}
+    if len(symbols) == 1 and len(rows) == len(paths):
+        return clean_bars(raw.withColumn("symbol", F.lit(symbols.pop())), tz)
+    of = spark.createDataFrame([(_plain(r.path), r.symbol) for r in rows], "_file string, symbol string")
+    of = F.broadcast(of) if len(rows) <= _LISTED else of
+    plain = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), r"^(\w+):/+", "$1:/")
+    return clean_bars(raw.join(of, plain == F.col("_file")).drop("_file"), tz)
+
+
 def read_bars_csv(spark: SparkSession, paths: list[str], symbol: str, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
-    """Clean bars of one symbol from files of any supported layouts; each layout is one read over its files. Raises ValueError for a file
-    without times or prices among its first rows."""
+    """Clean bars of one symbol from files, or folders of files, of any supported layouts; each layout is one read over its files. Raises ValueError
+    for a file without times or prices among its first rows."""
     if not paths:
         raise FileNotFoundError(f"no files for {symbol!r}")
-    groups: dict[tuple, tuple[BarFormat, list[str]]] = {}
-    for p, own in ({p: fmt for p in paths} if fmt else sniff(spark, paths)).items():
-        groups.setdefault(own.key(), (own, []))[1].append(p)
-    parts = [_raw(spark, own, files, tz).withColumn("symbol", F.lit(symbol)) for own, files in groups.values()]
-    return clean_bars(reduce(DataFrame.unionByName, parts), tz)
+    files = spark.read.format("binaryFile").load(paths).select("path", F.lit(symbol).alias("symbol"))
+    listed = [_plain(r.path) for r in files.collect()]  # empty files aren't listed
+    for p in paths:
+        own = re.compile(rf"(\w+:)?{re.escape(_plain(p).rstrip('/'))}(/|$)")
+        if not any(own.match(f) for f in listed):
+            raise ValueError(f"{_name(p)} is empty")
+    return read_exports(spark, files, tz, fmt)
 
 
 def _raw(spark: SparkSession, fmt: BarFormat, files: list[str], tz: str) -> DataFrame:
     names = [f"c{i}" for i in range(fmt.width)]
     schema = ", ".join(f"{n} string" for n in names) + ", _broken string"
     reader = spark.read.schema(schema).options(sep=fmt.delimiter, header=fmt.header, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
-    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("rid"))
+    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("rid"))
     # a row with too many fields is malformed, one with too few lacks them
     rows = rows.filter(F.coalesce(F.size(F.split("_broken", re.escape(fmt.delimiter))) <= fmt.width, F.lit(True)))
 

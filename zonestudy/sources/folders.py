@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonestudy.sources.bars_csv import read_bars_csv
+from zonestudy.sources.bars_csv import read_exports
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,20 +14,44 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
 
 
+def _own_symbol() -> Column:
+    """What a file's name begins with, without the bar length, in capitals."""
+    first = F.element_at(F.split("stem", r"[_\-. ]"), 1)
+    return F.upper(F.regexp_replace(first, r"(?i)(M1|M5|M15|H1|D1)$", ""))
+
+
 def list_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """symbol, in order: what file names begin with, without the bar length, in capitals."""
-    first = F.element_at(F.split("stem", r"[_\-. ]"), 1)
-    symbol = F.upper(F.regexp_replace(first, r"(?i)(M1|M5|M15|H1|D1)$", ""))
-    return _files(spark, folder).select(symbol.alias("symbol")).filter("symbol != ''").distinct().orderBy("symbol")
+    return _files(spark, folder).select(_own_symbol().alias("symbol")).filter("symbol != ''").distinct().orderBy("symbol")
+
+
+def symbol_files(files: DataFrame, symbols: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """symbol and path of the files whose names begin with each symbol. With ``years``, files named for other years only are left out, unless that
+    leaves a symbol none.
+
+    A name meets the symbols by all its beginnings, so files and symbols aren't compared pair by pair."""
+    begins = files.withColumn("symbol", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda n: F.substring(F.upper("stem"), F.lit(1), n))))
+    own = begins.join(symbols.select("symbol").distinct(), "symbol")
+    if years:
+        named = F.regexp_extract_all("stem", F.lit(r"((?:19|20)\d{2})"), F.lit(1))
+        own = own.withColumn("fits", (F.size(named) == 0) | F.exists(named, lambda y: y.cast("int").between(*years)))
+        some = own.groupBy("symbol").agg(F.max("fits").alias("some"))
+        own = own.join(some, "symbol").filter("fits or not some")
+    return own.select("symbol", "path")
+
+
+def load_folder(spark: SparkSession, folder: str, tz: str = "UTC", years: tuple[int, int] | None = None) -> DataFrame:
+    """The bars of all symbols of a folder, each from the files whose names begin with it, in as many reads as the folder has layouts. The rows of
+    files that ``years`` leaves in aren't trimmed. A folder without bar files is a FileNotFoundError."""
+    files = _files(spark, folder)
+    symbols = files.select(_own_symbol().alias("symbol")).filter("symbol != ''")
+    return read_exports(spark, symbol_files(files, symbols, years), tz)
 
 
 def load_symbol_folder(spark: SparkSession, folder: str, symbol: str, tz: str = "UTC", years: tuple[int, int] | None = None) -> DataFrame:
     """The bars of all files whose names begin with ``symbol``. With ``years``, files named for other years only are left out, unless
     that leaves none; the rows of the others aren't trimmed."""
-    rows = _files(spark, folder).filter(F.upper("stem").startswith(symbol.upper())).orderBy("name").collect()  # a row for each file of one symbol
-    if not rows:
+    own = symbol_files(_files(spark, folder), spark.createDataFrame([(symbol.upper(),)], "symbol string"), years)
+    if own.isEmpty():
         raise FileNotFoundError(f"no .csv or .txt file in {folder} begins with {symbol!r}")
-    if years:
-        named = {r.path: [int(y) for y in re.findall(r"(?:19|20)\d{2}", r.stem)] for r in rows}
-        rows = [r for r in rows if not named[r.path] or any(years[0] <= y <= years[1] for y in named[r.path])] or rows
-    return read_bars_csv(spark, [r.path for r in rows], symbol.upper(), tz)
+    return read_exports(spark, own, tz)
