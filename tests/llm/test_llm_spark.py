@@ -112,6 +112,27 @@ def test_first_of_each_keeps_columns(spark, docs):
     assert ids == want
 
 
+def test_first_of_each_goes_by_text(spark):
+    """Rows of one id whose texts differ, null ids beside ids, and null ids only."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = c.replace("c7 ", "new ")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, near), (None, "alone"), (None, None), (None, None), (None, ""), (7, d), (7, d), (None, "two two"), (None, "two two")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.first_of_each(table(spark, rows)).collect()), key=str)
+    left = [r for r in kept if r[1] in (c, near)]
+    assert len(left) == 1 and left[0][0] is None
+    assert [r for r in kept if r[1] not in (c, near)] == sorted([(1, a), (5, b), (None, "alone"), (None, None), (None, None), (None, ""), (7, d), (7, d), (None, "two two")], key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 40, 1 << 20])
+def test_templates_of_one_name(spark, block_bytes):
+    """Each text of a name is sought, in blocks of any size; equal rows are one template."""
+    names = [("X", "one two three four"), ("X", "five six seven eight"), ("X", "five six seven eight"), (None, "nine ten eleven twelve"), ("Y", "one two three four")]
+    own = spark.createDataFrame(names, "license string, text string")
+    docs = table(spark, [(1, "see one two three four there"), (2, "five six seven eight"), (3, "nine ten eleven twelve"), (4, "none")])
+    found = sorted(((r.doc_id, r.license) for r in licenses.scan(docs, own, block_bytes=block_bytes).collect()), key=str)
+    assert found == [(1, "X"), (1, "Y"), (2, "X"), (3, None)]
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert ngram_join.join_documents(none).count() == 0

@@ -88,9 +88,10 @@ def kind_of(n: int) -> tuple[int, int]:
     return (min(n, 2), 1) if n < 20 else (3, 1) if n < 40 else (4, 4)
 
 
-def index(templates: dict[str, str]) -> Index:
-    """Fingerprints of every template (see ``kind_of``). Templates without words have none."""
-    words = [hash_words(text or "", PUNCTUATION) for text in templates.values()]
+def index(templates: dict[str, str] | list[tuple[str, str]]) -> Index:
+    """Fingerprints of every template (see ``kind_of``), whether or not others have its name. Templates without words have none."""
+    templates = list(templates.items()) if isinstance(templates, dict) else templates
+    words = [hash_words(text or "", PUNCTUATION) for _, text in templates]
     found: dict[int, list] = {}
     for i, w in enumerate(words):
         k, window = kind_of(len(w))
@@ -103,7 +104,7 @@ def index(templates: dict[str, str]) -> Index:
         hashes, template, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(hashes, kind="stable")
         tables[k] = (hashes[order], template[order], at[order])
-    return Index(list(templates), words, tables)
+    return Index([name for name, _ in templates], words, tables)
 
 
 #: Places of score, words matched and start in one number, so that the larger one is the better one.
@@ -173,23 +174,26 @@ def scan_texts(texts: pa.Array, own: Index, min_coverage: float, band: int) -> l
     return places
 
 
-def _blocks(templates: DataFrame, block_bytes: int) -> Iterator[dict[str, str]]:
-    held: dict[str, str] = {}
-    size = 0
-    for name, text in templates.select("license", "text").toLocalIterator():
-        held[name] = text
-        size += len(text or "")
+def _blocks(templates: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct rows of ``templates`` in blocks of about ``block_bytes``; an empty one if there are none."""
+    held: list[tuple[str, str]] = []
+    size, none = 0, True
+    for name, text in templates.select("license", "text").distinct().toLocalIterator():
+        held.append((name, text))
+        size, none = size + len(text or ""), False
         if size >= block_bytes:
             yield held
-            held, size = {}, 0
-    yield held
+            held, size = [], 0
+    if held or none:
+        yield held
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, min_coverage: float = 0.75, band: int = 4, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, license, matched_words, coverage, start_byte, end_byte: every place of a document's whole text that holds
     ``min_coverage`` of a template's words in order.
 
-    ``templates`` has license (a name) and text; without it the few notices and grants above are taken. Words are runs of letters and digits,
+    ``templates`` has license (a name) and text; without it the few notices and grants above are taken. Several texts can have one name, or none: each is
+    sought by itself, so two of them can report one place; equal rows are one template. Words are runs of letters and digits,
     A-Z lower-cased. Every shingle of a text is looked up among the templates' fingerprints: of templates of 40 words and more winnowed
     ones of four words, of shorter ones all of three or two, so that a place in which a quarter of the words are changed is still a
     candidate. Candidates are aligned in a band, so words put in or left out are allowed, too. The templates are read in blocks of

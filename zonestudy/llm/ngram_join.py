@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonestudy.llm.components import components, joined_by
-from zonestudy.llm.shared import dropped, slices, written
+from zonestudy.llm.shared import dropped, release, slices, written
 from zonestudy.llm.words import SPACES, mix, tokenize, windows
 
 #: Two sets link when PERCENT hundredths of their union lie in both: 7 * common >= 3 * (sum of sizes).
@@ -88,7 +88,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 #: One row for each document, or the tokens that a slice of documents sends to a part of all tokens, or places of the slice that had shared ones.
-CHUNK = "part int, slice long, place int, doc_id long, n int, half long, more long, rows binary, tokens binary"
+CHUNK = "part int, slice long, place int, doc_id long, text long, n int, half long, more long, rows binary, tokens binary"
 #: Tokens of a part, about; and the row of a token whose sets in the slice are known to share it.
 PART, CREDITED = 1 << 20, 65_535
 
@@ -99,7 +99,7 @@ def _binary(parts: list[bytes | None]) -> pa.Array:
 
 def _rows(part: list | np.ndarray, slice_: int | list, count: int, **columns: pa.Array | list) -> pa.RecordBatch:
     """A batch of ``CHUNK`` with ``count`` rows; columns not given are null."""
-    kinds = {"part": pa.int32(), "slice": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "n": pa.int32(), "half": pa.int64(), "more": pa.int64(), "rows": pa.binary(), "tokens": pa.binary()}
+    kinds = {"part": pa.int32(), "slice": pa.int64(), "place": pa.int32(), "doc_id": pa.int64(), "text": pa.int64(), "n": pa.int32(), "half": pa.int64(), "more": pa.int64(), "rows": pa.binary(), "tokens": pa.binary()}
     columns |= {"part": part, "slice": [slice_] * count if isinstance(slice_, int) else slice_}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(count, k) for c, k in kinds.items()], names=list(kinds))
 
@@ -158,43 +158,44 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((int(slice_[k]), rows[k].as_buffer(), tokens[k].as_buffer()))
     if held:
         yield from flush()
+    release()
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by slice: doc_id, n, half, more of each document, and ``shared``, how many of its tokens came back."""
-    docs: list[tuple] = []
+    """Rows come by slice: doc_id, text, n, half, more of each document, and ``shared``, how many of its tokens came back."""
+    docs: list[pa.RecordBatch] = []
     hits: list[bytes] = []
-    current = None
+    names, current = ["doc_id", "text", "n", "half", "more"], None
 
     def flush() -> pa.RecordBatch:
-        counts = np.bincount(np.frombuffer(b"".join(hits), dtype=np.uint16), minlength=1 + max((d[0] for d in docs), default=0))
-        place, doc, n, half, more = zip(*docs, strict=True) if docs else ((), (), (), (), ())
+        own = pa.Table.from_batches(docs).combine_chunks() if docs else pa.table({c: pa.nulls(0, pa.int64()) for c in ("place", *names)})
+        place = own.column("place").to_numpy()
+        counts = np.bincount(np.frombuffer(b"".join(hits), dtype=np.uint16), minlength=1 + int(place.max(initial=0)))
         docs.clear()
         hits.clear()
-        shared = counts[list(place)] if place else []
-        columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(half, pa.int64()), pa.array(more, pa.int64()), pa.array(shared, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "half", "more", "shared"])
+        columns = [own.column(c).combine_chunks().cast(pa.int32() if c == "n" else pa.int64()) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts[place], pa.int32())], names=[*names, "shared"])
 
     for batch in batches:
-        slice_, rows = batch.column("slice").to_pylist(), batch.column("rows").to_pylist()
-        own = list(zip(*(batch.column(c).to_pylist() for c in ("place", "doc_id", "n", "half", "more")), strict=True))
-        for k, name in enumerate(slice_):
-            if name != current and (docs or hits):
+        slice_, rows = batch.column("slice").to_numpy(), batch.column("rows")
+        ends = [*(np.flatnonzero(np.diff(slice_)) + 1).tolist(), len(slice_)] if len(slice_) else []
+        for at, end in zip([0, *ends], ends, strict=False):
+            if slice_[at] != current and (docs or hits):
                 yield flush()
-            current = name
-            if rows[k] is None:
-                docs.append(own[k])
-            else:
-                hits.append(rows[k])
+            current = slice_[at]
+            own, sent = batch.slice(at, end - at), rows.slice(at, end - at)
+            hits += [x.as_py() for x in sent.drop_null()]
+            docs.append(own.filter(sent.is_null()).select(["place", *names]))
     if docs or hits:
         yield flush()
+    release()
 
 
 def _with_shared(chunks: DataFrame) -> DataFrame:
-    """doc_id, n, half, more, shared, from the rows of ``CHUNK`` that slices of documents make."""
+    """doc_id, text, n, half, more, shared, from the rows of ``CHUNK`` that slices of documents make."""
     met = chunks.repartition("part").sortWithinPartitions("part").mapInArrow(_met, CHUNK)
-    by_slice = met.select("slice", "place", "doc_id", "n", "half", "more", "rows").repartition("slice").sortWithinPartitions("slice")
-    return by_slice.mapInArrow(_counted, "doc_id long, n int, half long, more long, shared int")
+    by_slice = met.select("slice", "place", "doc_id", "text", "n", "half", "more", "rows").repartition("slice").sortWithinPartitions("slice")
+    return by_slice.mapInArrow(_counted, "doc_id long, text long, n int, half long, more long, shared int")
 
 
 def sampled(n: int | np.ndarray) -> int | np.ndarray:
@@ -204,7 +205,7 @@ def sampled(n: int | np.ndarray) -> int | np.ndarray:
 
 
 def _memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n, half, more (the set) and ``shared`` of every document: how many of its set's first ``sampled`` shingles in the order of hashes
+    """doc_id, text (its hash), n, half, more (the set) and ``shared`` of every document: how many of its set's first ``sampled`` shingles in the order of hashes
     are among those of other sets, or of copies in other tasks. Of equal sets in a task the first one counts.
 
     A slice sends each shingle once, in 7 bytes, to one of the parts of all shingles, which grow in number with the text, so a shingle that very
@@ -213,19 +214,22 @@ def _memberships(docs: DataFrame) -> DataFrame:
     parts = 1 + size // (12 * PART)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen = np.zeros(0, dtype=np.uint64)
         name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
             n = s.sizes()
-            yield _rows([_passing(name, parts)] * len(n), name, len(n), place=np.arange(len(n)), doc_id=batch.column("doc_id"), n=n, half=_signed(s.half), more=_signed(s.more))
-            fresh = np.array([k not in seen and not seen.add(k) for k in zip(s.half.tolist(), s.more.tolist(), strict=True)], dtype=bool)
+            yield _rows([_passing(name, parts)] * len(n), name, len(n), place=np.arange(len(n)), doc_id=batch.column("doc_id"), text=batch.column("hash"), n=n, half=_signed(s.half), more=_signed(s.more))
+            own, at = np.unique(s.half ^ mix(s.more), return_index=True)
+            fresh = np.zeros(len(n), dtype=bool)
+            fresh[at[~np.isin(own, seen, assume_unique=True)]] = True
+            seen = np.union1d(seen, own)
             kept = np.where(fresh & (n > 2), sampled(n), 0)  # smaller sets link with equal ones only
             row = np.repeat(np.arange(len(n)), kept)
             yield from _sent(name, row, s.hashes[np.arange(len(row)) + (s.first[:-1] - np.cumsum(kept) + kept)[row]], parts)
             name += 1
 
-    return _with_shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, CHUNK))
+    return _with_shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(each, CHUNK))
 
 
 def _three_quarters(sets: DataFrame) -> DataFrame:
@@ -470,6 +474,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have an empty set, and their own doc_id as component; so have documents without links. A null doc_id is
     ignored when the smallest of a component is sought; its text links as any other. Repeated rows stay. Other columns are ignored; no rows give no rows."""
+    own = _placed(docs)
+    return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (its hash), n, root (the component's smallest doc_id) and first (the component's smallest set, by its 128 bits) of every document."""
     members = written(_memberships(docs), "members")
     nodes = written(_nodes(members), "nodes")
     some = written(_sets(nodes.join(_partnered(members), ["half", "more"]), docs), "some")
@@ -481,24 +491,37 @@ def join_documents(docs: DataFrame) -> DataFrame:
     partners = (counts.agg(F.avg("c")).first()[0] or 1.0) - 1
     lists = written(_postings(ranked, boundary(sizes, partners)), "lists")
     reached = _reached(lists, sets)
-    linked = written(nodes.join(reached, "node").select("node", "component", "doc_id"), "linked")
-    roots = linked.groupBy("component").agg(F.min("doc_id").alias("root"), F.count("*").alias("many"))
-    rooted = joined_by(linked.select("node", "component"), roots, linked.count(), "component").select("node", "root")
-    named = nodes.join(rooted, "node", "left").select("half", "more", "n", "many", F.coalesce("root", "doc_id").alias("root"))
+    linked = written(nodes.join(reached, "node").select("node", "component", "doc_id", "half", "more"), "linked")
+    roots = linked.groupBy("component").agg(F.min("doc_id").alias("root"), F.min(F.struct("half", "more")).alias("first"), F.count("*").alias("many"))
+    rooted = joined_by(linked.select("node", "component"), roots, linked.count(), "component").select("node", "root", "first")
+    named = nodes.join(rooted, "node", "left").select("half", "more", "n", "many", F.coalesce("root", "doc_id").alias("root"), (F.coalesce("first", F.struct("half", "more")) == F.struct("half", "more")).alias("first"))
     named = written(named, "roots")
     dropped(nodes, sets, counts, ranked, lists, linked)
-    own = joined_by(members.select("doc_id", "half", "more"), named, named.agg(F.max("many")).first()[0] or 0, "half", "more")
-    return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined_by(members.select("doc_id", "text", "half", "more"), named, named.agg(F.max("many")).first()[0] or 0, "half", "more")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id.
-
-    Rows with one doc_id are one document: they stay or go together; rows with a null one stay. The ids that go are broadcast while they are at most a
-    million; more of them are joined by a shuffle."""
-    gone = written(join_documents(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    What goes is named by doc_id and text, so of rows with one doc_id those go whose own text is in a component with a smaller one; rows with one
+    doc_id in one component stay together. A row with a null doc_id goes where its component has a document with an id; where all of
+    a component's ids are null, one row of one set stays. Documents without words are in no component and stay. What goes is
+    broadcast while it is at most a million rows; more are joined by a shuffle."""
+    placed = written(_placed(docs).filter("n > 0"), "placed")
+    later = F.col("root").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("root")))
+    gone = placed.filter(later | (F.col("root").isNull() & ~F.col("first"))).select(F.col("doc_id").alias("gone_id"), F.col("text").alias("gone_text")).distinct()
+    gone = written(gone, "gone")
     few = gone.count() <= 1 << 20
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_text"]), "left_anti")
+    if not placed.filter("doc_id is null and root is null").limit(1).count():
+        return out
+    # of rows without an id that nothing with an id resembles, one for each text; and one text for each set
+    alone = written(placed.filter("doc_id is null and root is null and first").groupBy("half", "more").agg(F.min("text").alias("kept_text")), "alone")
+    texts = written(placed.filter("doc_id is null and root is null").select("text").distinct(), "texts")
+    id_, hashed = out["doc_id"], F.xxhash64(out["text"])
+    rest = out.join(texts, id_.isNull() & (hashed == texts["text"]), "left_anti")
+    first = out.filter(id_.isNull()).join(alone, hashed == alone["kept_text"], "left_semi")
+    return rest.unionByName(first.dropDuplicates(["text"]))
 
 
 ORACLE = r"""

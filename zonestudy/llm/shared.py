@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -43,7 +44,8 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``max_bytes`` in each piece, of 32,768 rows at most; one longer value is a piece of its own."""
+    """The batches cut so that ``column`` holds about ``max_bytes`` in each piece, of 32,768 rows at most; one longer value is a piece of its own.
+    After the last one the worker gives back what it no longer needs."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
@@ -54,3 +56,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1_00
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have none
+    if trim:
+        trim(0)
