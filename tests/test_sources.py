@@ -175,3 +175,72 @@ def test_folder_of_many_symbols_is_one_read_for_each_layout(spark, tmp_path, mon
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
         folders.load_folder(spark, str(tmp_path / "none"))
+
+
+def test_folder_is_loaded_again_only_where_it_changed(spark, tmp_path, monkeypatch):
+    folder, out = tmp_path / "in", str(tmp_path / "bars")
+    folder.mkdir()
+    lines = lambda *rows: "datetime,open,high,low,close\n" + "".join(f"{t},{p},{p},{p},{p}\n" for t, p in rows)
+    (folder / "AA_1.csv").write_text(lines(("2019-05-01 10:00", 1), ("2020-05-01 10:00", 2)))
+    (folder / "AA_2.csv").write_text(lines(("2020-05-01 10:00", 3), ("2020-06-01 10:00", 4), ("2021-05-01 10:00", 5)))
+    (folder / "AA_3.csv").write_text(lines(("2022-05-01 10:00", 6)))
+    (folder / "BB.csv").write_text(lines(("2020-05-01 10:00", 7)))
+    parsed, rows = [], folders.read_rows
+    monkeypatch.setattr(folders, "read_rows", lambda s, files, *a: parsed.extend(r.path.rsplit("/", 1)[1] for r in files.collect()) or rows(s, files, *a))
+
+    def load():
+        parsed.clear()
+        n = folders.update_folder(spark, str(folder), out)
+        plain = lambda df: sorted(tuple(r) for r in df.collect())
+        assert plain(tables.read_bars_parquet(spark, out)) == plain(folders.load_folder(spark, str(folder)))
+        return n, sorted(parsed)
+
+    def written():
+        return {str(p.relative_to(out)).rsplit("/", 1)[0]: p.name for p in (tmp_path / "bars").rglob("*.parquet") if "symbol=" in str(p)}
+
+    assert load() == (4, ["AA_1.csv", "AA_2.csv", "AA_3.csv", "BB.csv"])
+    first = written()
+    assert load() == (0, []) and written() == first
+    (folder / "AA_1.csv").write_text(lines(("2019-05-01 10:00", 1), ("2020-05-01 10:00", 22)))
+    assert load() == (2, ["AA_1.csv", "AA_2.csv"])  # the second has bars of 2020, too
+    second = written()
+    assert {k for k in first if first[k] != second.get(k)} == {"symbol=AA/year=2019", "symbol=AA/year=2020"}
+    (folder / "AA_3.csv").unlink()
+    (folder / "BB_more.csv").write_text(lines(("2023-05-01 10:00", 8)))
+    assert load() == (1, ["BB_more.csv"])
+    assert set(written()) == {"symbol=AA/year=2019", "symbol=AA/year=2020", "symbol=AA/year=2021", "symbol=BB/year=2020", "symbol=BB/year=2023"}
+    monkeypatch.setattr(folders, "remove_bars", lambda *a: 1 / 0)
+    (folder / "AA_2.csv").unlink()
+    with pytest.raises(ZeroDivisionError):
+        folders.update_folder(spark, str(folder), out)
+    monkeypatch.setattr(folders, "remove_bars", tables.remove_bars)
+    assert load()[0] > 0 and load() == (0, [])
+
+
+@pytest.mark.parametrize("broken", ["events", "studies", "trials", "commits"])
+def test_registry_shows_no_study_that_broke_off(spark, tmp_path, monkeypatch, broken):
+    from zonestudy.sources import registry
+
+    events = spark.createDataFrame([(i, True, False, 1.0, i) for i in range(25)], "event_id long, win boolean, ambiguous boolean, r_fixed double, bars_held int")
+    r, summary = Registry(spark, str(tmp_path / "r")), G.summarise(events, 0.2, n_boot=20)
+    own = dict(name="two", symbol="NQ", timeframe="15min")
+    kept = r.append_study(Spec(name="one", symbol="NQ"), summary, events, "NQ", "abc", "a", "b")
+
+    def fails(self, table, *a):
+        if table == broken:
+            raise OSError(table)
+
+    with monkeypatch.context() as m:
+        add = Registry._add
+        m.setattr(Registry, "_add", lambda self, table, *a: fails(self, table) or add(self, table, *a))
+        if broken == "events":
+            m.setattr(registry, "write_events", lambda *a: fails(r, "events"))
+        m.setattr(registry.uuid, "uuid4", lambda: type("U", (), {"hex": "lost"}))
+        with pytest.raises(OSError):
+            r.append_study(Spec(**own), summary, events, "NQ", "abc", "a", "b")
+    assert [s.id for s in r.list_studies().collect()] == [kept] and r.get_study("lost").count() == 0
+    assert r.trial_counts().first().trials == 1 and not r.threshold_applies()
+    with pytest.raises(KeyError):
+        r.load_events("lost")
+    r.append_study(Spec(**own), summary, events, "NQ", "abc", "a", "b")
+    assert r.list_studies().count() == 2 and r.trial_counts().first().distinct_trials == 2

@@ -127,6 +127,35 @@ def test_visits_are_those_of_the_loop(spark, bars, pdf, study):
         assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
 
 
+@pytest.mark.parametrize("trigger", J.TRIGGERS)
+def test_hits_of_zones_of_any_life(spark, bars, pdf, trigger):
+    """Lives of a bar to all bars, so that zones start on every level of the pyramid; prices never reached, and reached at once."""
+    numbered = kept(B.with_bar_seq(bars))
+    rng = np.random.default_rng(8)
+    n, start = 60, rng.integers(0, len(pdf) - 10, 60)
+    life = (2 ** rng.uniform(0, 14, n)).astype(int)
+    low = pdf.close.to_numpy()[start] + rng.normal(0, 25, n)
+    formed = pdf.ts.iloc[start].reset_index(drop=True)
+    zones = pd.DataFrame({
+        "symbol": "NQ", "zone_id": [f"z{k}" for k in range(n)], "formed_at": formed, "expires_at": formed + pd.to_timedelta(life, unit="min"),
+        "zone_low": low, "zone_high": low + rng.uniform(0.2, 6, n), "bias": rng.choice([1, -1], n),
+    })
+    frame = kept(spark.createDataFrame(zones))
+    want = []
+    for z in zones.itertuples():
+        own = pdf[(pdf.ts >= z.formed_at + pd.Timedelta("5min")) & (pdf.ts <= z.expires_at)]
+        touch = (own.high >= z.zone_low) & (own.low <= z.zone_high)
+        hit = {"touch": touch, "close_inside": own.close.between(z.zone_low, z.zone_high), "wick_through": own.low <= z.zone_low if z.bias == 1 else own.high >= z.zone_high}[trigger]
+        want += [(z.zone_id, i) for i in own.index[hit]]
+    got = [tuple(r) for r in J.zone_hits(frame, numbered, trigger, "5min").select("zone_id", "bar_seq").collect()]
+    assert sorted(got) == sorted(want) and len({z for z, _ in want}) > 20
+    first = {}
+    for z, i in want:
+        first[z] = min(i, first.get(z, i))
+    tested = J.first_test(J.zone_hits(frame, numbered, trigger, "5min", first_only=True), frame)
+    assert {r.zone_id: r.bar_seq for r in tested.collect()} == first
+
+
 def test_placebo_is_that_of_the_loop(bars, events, pdf):
     numbered = kept(B.with_bar_seq(bars))
     got = {r.event_id: r for r in C.placebo_tests(numbered, events, 240).collect()}

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from zonestudy.functions.timeframe import seconds
 
 TRIGGERS = ("touch", "close_inside", "wick_through")
-#: A bucket of time is this share of a zone's usual life.
-BUCKETS_PER_LIFE = 8
-#: Buckets of the longest life, about.
-MOST_BUCKETS = 256
+#: Detection bars in the narrowest buckets of time, and buckets of a level in one of the next.
+LEAF, FAN = 4, 16
 
 
 def _touches() -> Column:
@@ -39,46 +37,84 @@ def _may_hit(trigger: str, first_only: bool) -> Column:
     return touch
 
 
-def zone_hits(zones: DataFrame, bars: DataFrame, trigger: str = "touch", timeframe: str = "5min", min_bars: int = 1, every_visit: bool = False) -> DataFrame:
+def _must_hit(trigger: str) -> Column:
+    """Whether some bar of a bucket certainly hits the zone: the bar of one of the bucket's extremes."""
+    if trigger == "touch":
+        return F.col("top").between(F.col("zone_low"), F.col("zone_high")) | F.col("bottom").between(F.col("zone_low"), F.col("zone_high"))
+    if trigger == "close_inside":
+        return F.col("last_top").between(F.col("zone_low"), F.col("zone_high")) | F.col("last_bottom").between(F.col("zone_low"), F.col("zone_high"))
+    return F.when(F.col("bias") == 1, F.col("bottom") <= F.col("zone_low")).otherwise(F.col("top") >= F.col("zone_high"))
+
+
+def zone_hits(zones: DataFrame, bars: DataFrame, trigger: str = "touch", timeframe: str = "5min", min_bars: int = 1, every_visit: bool = False, first_only: bool = False) -> DataFrame:
     """The zones' columns with each bar (bar_ts, bar_seq, open, high, low, close) that hits them while they live, both ends included.
 
-    ``bars`` needs bar_seq. Zones and bars meet in equal buckets of time, and only in buckets whose extremes let
-    the trigger happen: a zone first meets one row for each bucket, then the bars of the buckets left. With ``every_visit``
-    bars that touch without a hit come along, told apart by ``is_hit``."""
+    ``bars`` needs bar_seq. Over the bars stands a pyramid of extremes: buckets of ``LEAF`` detection bars, and of ``FAN`` times as long from level to
+    level. A zone starts at the level of which its life holds fewer than ``FAN`` buckets, and goes down only into buckets whose extremes let the
+    trigger happen; so it meets the bars of few of the narrowest buckets, however long it lives. With ``first_only`` it also leaves out what lies behind
+    a bucket that certainly has a hit, and only a zone's first hit is sure to be there. With ``every_visit`` bars that touch without a hit
+    come along, told apart by ``is_hit``, and so does the ``bucket`` in which they met."""
     start = F.timestamp_micros(F.unix_micros("formed_at") + min_bars * seconds(timeframe) * 1_000_000)
     zones = zones.withColumn("_from", start).filter("_from <= expires_at")
+    leaf = max(60, LEAF * seconds(timeframe))
+    bucket = lambda ts, width: F.floor(F.unix_seconds(ts) / width).cast("long")
     life = F.unix_seconds("expires_at") - F.unix_seconds("_from")
-    usual, longest = zones.agg(F.avg(life), F.max(life)).first()
-    width = max(60, int(usual or 0) // BUCKETS_PER_LIFE, (longest or 0) // MOST_BUCKETS)
-    bucket = lambda ts: F.floor(F.unix_seconds(ts) / width).cast("long")
-    bars = bars.withColumn("bucket", bucket("ts"))
-    extremes = bars.groupBy("symbol", "bucket").agg(
-        F.max("high").alias("top"), F.min("low").alias("bottom"), F.max("close").alias("last_top"), F.min("close").alias("last_bottom")
-    )
-    spread = zones.withColumn("bucket", F.explode(F.sequence(bucket("_from"), bucket("expires_at"))))
-    kept = spread.join(extremes, ["symbol", "bucket"]).filter(_may_hit(trigger, not every_visit)).drop("top", "bottom", "last_top", "last_bottom")
+    longest = zones.agg(F.max(life)).first()[0] or 0
+    levels = 0
+    while longest >= FAN * leaf * FAN**levels:
+        levels += 1
+    own = sum((life >= FAN * leaf * FAN**k).cast("int") for k in range(levels)) if levels else F.lit(0)
+    zones = zones.withColumn("_level", own)
+    bars = bars.withColumn("bucket", bucket("ts", leaf))
+    extremes = [bars.groupBy("symbol", "bucket").agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.max("close").alias("last_top"), F.min("close").alias("last_bottom"))]
+    for _ in range(levels):
+        up = extremes[-1].withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long")).groupBy("symbol", "bucket")
+        extremes.append(up.agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.max("last_top").alias("last_top"), F.min("last_bottom").alias("last_bottom")))
+
+    left: DataFrame | None = None
+    for level in range(levels, -1, -1):
+        width = leaf * FAN**level
+        met = zones.filter(F.col("_level") == level).withColumn("bucket", F.explode(F.sequence(bucket("_from", width), bucket("expires_at", width))))
+        if left is not None:
+            low, high = F.greatest(F.col("bucket") * FAN, bucket("_from", width)), F.least(F.col("bucket") * FAN + FAN - 1, bucket("expires_at", width))
+            met = met.unionByName(left.withColumn("bucket", F.explode(F.sequence(low, high))))
+        left = met.join(extremes[level], ["symbol", "bucket"]).filter(_may_hit(trigger, not every_visit))
+        if first_only:
+            inside = (F.col("bucket") * width >= F.unix_seconds("_from")) & (F.col("bucket") * width + width <= F.unix_seconds("expires_at")) & _must_hit(trigger)
+            sure = F.min(F.when(inside, F.col("bucket"))).over(Window.partitionBy("symbol", "zone_id"))
+            left = left.withColumn("_sure", sure).filter("_sure is null or bucket <= _sure").drop("_sure")
+        left = left.drop("top", "bottom", "last_top", "last_bottom")
     own = bars.select("symbol", "bucket", F.col("ts").alias("bar_ts"), "bar_seq", "open", "high", "low", "close")
-    met = kept.join(own, ["symbol", "bucket"]).filter(F.col("bar_ts").between(F.col("_from"), F.col("expires_at")))
-    met = met.withColumn("is_hit", _hits(trigger))
-    return met.filter(F.col("is_hit") | _touches() if every_visit else F.col("is_hit")).drop("bucket", "_from")
+    met = left.join(own, ["symbol", "bucket"]).filter(F.col("bar_ts").between(F.col("_from"), F.col("expires_at")))
+    met = met.withColumn("is_hit", _hits(trigger)).drop("_from", "_level")
+    return met.filter(F.col("is_hit") | _touches()) if every_visit else met.filter("is_hit").drop("bucket")
+
+
+BAR = ["bar_ts", "bar_seq", "open", "high", "low", "close"]
 
 
 def first_test(hits: DataFrame, zones: DataFrame) -> DataFrame:
     """Each zone's first hit, as test_number 1."""
-    bar = ["bar_ts", "bar_seq", "open", "high", "low", "close"]
-    first = hits.filter("is_hit").groupBy("zone_id").agg(F.min_by(F.struct(*bar), "bar_seq").alias("b"))
-    return zones.join(first, "zone_id").select(*zones.columns, *[f"b.{c}" for c in bar], F.lit(1).alias("test_number"))
+    first = hits.filter("is_hit").groupBy("symbol", "zone_id").agg(F.min_by(F.struct(*BAR), "bar_seq").alias("b"))
+    return zones.join(first, ["symbol", "zone_id"]).select(*zones.columns, *[f"b.{c}" for c in BAR], F.lit(1).alias("test_number"))
 
 
 def separate_tests(hits: DataFrame, zones: DataFrame) -> DataFrame:
     """One test for each visit, numbered by zone: a visit is a run of bars that touch or hit, the test its first hit. ``hits`` must
-    come from ``zone_hits`` with ``every_visit``."""
-    bar = ["bar_ts", "bar_seq", "open", "high", "low", "close"]
-    per_zone = Window.partitionBy("zone_id").orderBy("bar_seq")
-    runs = hits.withColumn("run", F.col("bar_seq") - F.row_number().over(per_zone))
-    firsts = runs.filter("is_hit").groupBy("zone_id", "run").agg(F.min_by(F.struct(*bar), "bar_seq").alias("b"))
-    numbered = firsts.withColumn("test_number", F.row_number().over(Window.partitionBy("zone_id").orderBy("b.bar_seq")))
-    return zones.join(numbered.drop("run"), "zone_id").select(*zones.columns, *[f"b.{c}" for c in bar], "test_number")
+    come from ``zone_hits`` with ``every_visit``.
+
+    Runs are found bucket by bucket, where zones and bars have met; of each only its ends and its first hit go on to be put together with the
+    runs that it continues."""
+    own = Window.partitionBy("symbol", "bucket", "zone_id").orderBy("bar_seq")
+    runs = hits.withColumn("run", F.col("bar_seq") - F.row_number().over(own)).groupBy("symbol", "bucket", "zone_id", "run")
+    hit = F.when(F.col("is_hit"), F.col("bar_seq"))
+    runs = runs.agg(F.min("bar_seq").alias("first"), F.max("bar_seq").alias("last"), F.min_by(F.struct(*BAR), hit).alias("b"))
+    per_zone = Window.partitionBy("symbol", "zone_id").orderBy("first")
+    begins = F.when(F.lag("last").over(per_zone) == F.col("first") - 1, 0).otherwise(1)
+    visits = runs.withColumn("begins", begins).withColumn("visit", F.sum("begins").over(per_zone)).filter("b is not null")
+    firsts = visits.groupBy("symbol", "zone_id", "visit").agg(F.min_by("b", "first").alias("b"))
+    numbered = firsts.withColumn("test_number", F.row_number().over(Window.partitionBy("symbol", "zone_id").orderBy("visit")))
+    return zones.join(numbered.drop("visit"), ["symbol", "zone_id"]).select(*zones.columns, *[f"b.{c}" for c in BAR], "test_number")
 
 
 def attach_bar_context(tests: DataFrame, features: DataFrame, timeframe: str) -> DataFrame:
@@ -129,15 +165,16 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     """Each row of ``left`` with the last row of ``right`` of its key at, or strictly before, its time; nulls where there is none.
 
     Both sides are put in one order within a ``bucket`` of time and the last right row is carried along; what a bucket ends with goes to the
-    rows of later ones that found none, by a window over one row for each bucket. No pairs, and no task that holds all rows of a key."""
+    rows of later ones that found none, by a window over one row for each bucket. No pairs, and no task that holds all rows of a key.
+    Of right rows of one time the one with the largest values, in the order of the columns, is the last."""
     extra = [c for c in right.columns if c not in by]
     place = F.floor(F.unix_seconds("_at") / seconds(bucket)).cast("long")
     r = right.select(*by, F.col(right_on).alias("_at"), F.struct(*extra).alias("_r"), F.lit(0).alias("_side")).filter("_at is not null")
     both = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True).withColumn("_bucket", place)
     order = F.col("_side").desc() if strict else F.col("_side").asc()
-    w = Window.partitionBy(*by, "_bucket").orderBy("_at", order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "_bucket").orderBy("_at", order, "_r").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    ends = both.filter("_at is not null").groupBy(*by, "_bucket").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    ends = both.filter("_at is not null").groupBy(*by, "_bucket").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_at", "_r"))).alias("_end"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     found = seen.join(carried, [*by, "_bucket"], "left").withColumn("_r", F.coalesce("_r", "_before"))

@@ -304,6 +304,7 @@ O["s4_localize"] = sql(
     FROM (SELECT symbol, ts + to_days(unnest([0, 60, 298])) AS t FROM base)""", "base",
 )
 O["s8_bars_parquet"] = sql(f"SELECT {BARS} FROM base WHERE symbol IN ('click', 'purchase')", "base")
+O["s8_incremental_load"] = O["s1_s5_csv_bars"]
 O["s9_dataset_fingerprint"] = sql(
     """SELECT symbol, substr(sha1(n || '|' || strftime(a, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(b, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || printf('%.6f', x) || '|' || printf('%.6f', y)), 1, 12) AS data_fingerprint
     FROM (SELECT symbol, count(*) AS n, min(ts) AS a, max(ts) AS b, arg_min(close, ts) AS x, arg_max(close, ts) AS y FROM base GROUP BY symbol)""", "base",

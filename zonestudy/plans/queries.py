@@ -190,7 +190,7 @@ TEST = ["symbol", "formed_at", "zone_low", "zone_high", "bias", "bar_ts", "test_
 @query
 def j2_first_test(spark, d):
     zones, bars = _gaps(spark, d)
-    return J.first_test(J.zone_hits(zones, bars, "touch", DETECT, 1), zones).select(*TEST)
+    return J.first_test(J.zone_hits(zones, bars, "touch", DETECT, 1, first_only=True), zones).select(*TEST)
 
 
 @query
@@ -202,7 +202,7 @@ def j3_separate_tests(spark, d):
 @query
 def j4_j5_j7_context(spark, d):
     zones, bars = _gaps(spark, d)
-    tests = J.first_test(J.zone_hits(zones, bars, "touch", DETECT, 1), zones)
+    tests = J.first_test(J.zone_hits(zones, bars, "touch", DETECT, 1, first_only=True), zones)
     known = J.attach_htf_context(J.attach_bar_context(tests, features(spark, d), DETECT), X.htf_context(base(spark, d), HIGHER), HIGHER)
     return known.select(
         "symbol", "formed_at", "zone_low", "bias", "bar_ts", "session", "hour", "minute", "dow", "atr", "dist_ema50_atr", "day_range_atr", "prior_day_range_atr", "gap_atr",
@@ -400,6 +400,20 @@ def s8_bars_parquet(spark, d):
     return tables.read_bars_parquet(spark, out, ["click", "purchase"], (2024, 2024))
 
 
+@query
+def s8_incremental_load(spark, d):
+    """A folder of exports loaded as a table, then loaded again after each symbol got a second file: only the bars of what came are written again."""
+    own, folder, out = kept(base(spark, d)), shared_folder(spark), shared_folder(spark)
+    names = [r.symbol for r in own.select("symbol").distinct().orderBy("symbol").collect()]
+    for part, rows in (("a", own.filter(F.col("ts") < OVERLAP[1])), ("b", own.filter(F.col("ts") >= OVERLAP[0]))):
+        for name in names:  # Spark names files after a setting of the write
+            text = rows.filter(F.col("symbol") == name).repartitionByRange("ts").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "open", "high", "low", "close", "volume")
+            text.write.mode("append").options(**{"header": True, "mapreduce.output.basename": f"{name}_{part}"}).csv(folder)
+        if names:
+            folders.update_folder(spark, folder, out)
+    return tables.read_bars_parquet(spark, out).withColumn("symbol", F.lower("symbol")) if names else own
+
+
 @query
 def s9_dataset_fingerprint(spark, d):
     return tables.dataset_fingerprint(base(spark, d))

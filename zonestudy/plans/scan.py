@@ -72,7 +72,7 @@ def scan(bars: DataFrame, spec: Spec, exchange_tz: str = EXCHANGE_TZ) -> Scan:
     found = kept(detect(features, spec.zone.detector, spec.zone.resolved()))
     zones = filter_direction(found, spec.direction)
     t = spec.trigger
-    hits = zone_hits(zones, bars, t.type, spec.timeframe, t.min_bars_after_formation, not t.first_test_only)
+    hits = zone_hits(zones, bars, t.type, spec.timeframe, t.min_bars_after_formation, not t.first_test_only, t.first_test_only)
     tests = first_test(hits, zones) if t.first_test_only else separate_tests(hits, zones)
     known = attach_bar_context(tests, features, spec.timeframe)
     h = spec.htf

@@ -279,22 +279,31 @@ def localize_to_utc(wall: Column, tz: str) -> Column:
     return F.when(again("interval 1 hour") | again("interval 30 minutes"), None).when(back != wall, after).otherwise(u)
 
 
-def clean_bars(raw: DataFrame, tz: str = "UTC") -> DataFrame:
-    """symbol, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the file).
+def clean_files(raw: DataFrame, tz: str = "UTC") -> DataFrame:
+    """symbol, file, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the file), each file by itself.
 
-    Rows without time or price go. Each file is cleaned by itself: of one wall clock the first row stays, of two wall clocks that are one time
-    the first one, and bars whose prices contradict each other go. Then of one time the bar of the first file stays."""
+    Rows without time or price go; of one wall clock the first row stays, of two wall clocks that are one time the first one, and bars whose prices
+    contradict each other go."""
     raw = raw.dropna(subset=["wall", *PRICES]).withColumn("ts", localize_to_utc(F.col("wall"), tz)).filter("ts is not null")
     # first rows by grouped minimum, not by a sort of all rows
     own = raw.groupBy("symbol", "file", "ts").agg(F.min(F.struct("wall", "rid", *PRICES, "volume")).alias("r"))
     own = own.select("symbol", "file", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
-    sound = own.filter("high >= low and high >= open and high >= close and low <= open and low <= close")
-    one = sound.groupBy("symbol", "ts").agg(F.min(F.struct("file", *PRICES, "volume")).alias("r"))
+    return own.filter("high >= low and high >= open and high >= close and low <= open and low <= close")
+
+
+def first_of_files(own: DataFrame) -> DataFrame:
+    """Of the bars that several files have for one time, the first file's."""
+    one = own.groupBy("symbol", "ts").agg(F.min(F.struct("file", *PRICES, "volume")).alias("r"))
     return one.select("symbol", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
 
 
-def read_exports(spark: SparkSession, files: DataFrame, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
-    """Clean bars of all symbols from ``files`` (path, symbol): as many reads as there are layouts, whatever the number of symbols. A file can be of
+def clean_bars(raw: DataFrame, tz: str = "UTC") -> DataFrame:
+    """symbol, ts, open, high, low, close, volume: each file cleaned by itself, then of one time the bar of the first file."""
+    return first_of_files(clean_files(raw, tz))
+
+
+def read_rows(spark: SparkSession, files: DataFrame, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
+    """The rows of ``files`` (path, symbol) as ``clean_files`` takes them: as many reads as there are layouts, whatever the number of symbols. A file can be of
     several symbols. Raises ValueError for a file without times or prices among its first rows.
 
     Rows get their symbols by their file, over a broadcast of the list while that has at most 50,000 files."""
@@ -308,11 +317,20 @@ def read_exports(spark: SparkSession, files: DataFrame, tz: str = "UTC", fmt: Ba
     raw = reduce(DataFrame.unionByName, [_raw(spark, own, some, tz) for own, some in groups.values()])
     symbols = {r.symbol for r in rows}
     if len(symbols) == 1 and len(rows) == len(paths):
-        return clean_bars(raw.withColumn("symbol", F.lit(symbols.pop())), tz)
+        return raw.withColumn("symbol", F.lit(symbols.pop()))
     of = spark.createDataFrame([(_plain(r.path), r.symbol) for r in rows], "_file string, symbol string")
     of = F.broadcast(of) if len(rows) <= _LISTED else of
-    plain = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), r"^(\w+):/+", "$1:/")
-    return clean_bars(raw.join(of, plain == F.col("_file")).drop("_file"), tz)
+    return raw.join(of, plain_path("file") == F.col("_file")).drop("_file")
+
+
+def plain_path(path: str) -> Column:
+    """A column of paths, written as readers and listings both can be."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^(\w+):/+", "$1:/")
+
+
+def read_exports(spark: SparkSession, files: DataFrame, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:
+    """Clean bars of all symbols from ``files`` (path, symbol), read as ``read_rows`` does."""
+    return clean_bars(read_rows(spark, files, tz, fmt), tz)
 
 
 def read_bars_csv(spark: SparkSession, paths: list[str], symbol: str, tz: str = "UTC", fmt: BarFormat | None = None) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonestudy.sources.bars_csv import read_exports
+from zonestudy.sources.bars_csv import clean_files, first_of_files, plain_path, read_exports, read_rows
+from zonestudy.sources.scratch import kept
+from zonestudy.sources.tables import remove_bars, write_bars_parquet
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name and stem of the .csv and .txt files in a folder; their contents aren't read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt,CSV,TXT}").load(folder).select("path")
+    """path, length, modified, name and stem of the .csv and .txt files in a folder; their contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt,CSV,TXT}").load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
 
 
@@ -55,3 +58,52 @@ def load_symbol_folder(spark: SparkSession, folder: str, symbol: str, tz: str =
     if own.isEmpty():
         raise FileNotFoundError(f"no .csv or .txt file in {folder} begins with {symbol!r}")
     return read_exports(spark, own, tz)
+
+
+_LOADED = "path string, length long, modified timestamp, symbol string, years array<int>, load long"
+
+
+def _last_load(spark: SparkSession, path: str) -> DataFrame:
+    """What the last whole load under ``path`` had read: a row for each file and symbol, with the years of its bars; none before the first."""
+    try:
+        loads = spark.read.schema(_LOADED).parquet(f"{path}/_loads")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOADED)
+    return loads.join(F.broadcast(loads.agg(F.max("load").alias("load"))), "load", "left_semi")
+
+
+def update_folder(spark: SparkSession, folder: str, path: str, tz: str = "UTC") -> int:
+    """Brings the bars table under ``path`` (see ``write_bars_parquet``) up to date with the exports in ``folder``; returns how many files were parsed.
+
+    A list of the files read, with lengths, times and the years of their bars, is kept beside the table. Files that are as they were aren't parsed, unless one that
+    changed, came or went has bars in one of their years; only the folders of such symbols and years are written again, or deleted
+    where no file has bars for them any more. The list is written last: what a load that broke off had to do is done by the next one."""
+    files = _files(spark, folder)
+    symbols = files.select(_own_symbol().alias("symbol")).filter("symbol != ''")
+    now = kept(symbol_files(files, symbols).join(files.select("path", "length", "modified"), "path").select("path", "length", "modified", "symbol"))
+    before = kept(_last_load(spark, path))
+    keys = ["path", "length", "modified", "symbol"]
+    came, gone = kept(now.join(before, keys, "left_anti")), before.join(now, keys, "left_anti")
+    if came.isEmpty() and gone.isEmpty():
+        return 0
+    year = F.year("ts").alias("year")
+    rows = lambda some: clean_files(read_rows(spark, some, tz), tz)
+    none = spark.createDataFrame([], "symbol string, file string, ts timestamp, open double, high double, low double, close double, volume double")
+    fresh = kept(none if came.isEmpty() else rows(came))
+    touched = kept(fresh.select("symbol", year).unionByName(gone.select("symbol", F.explode("years").alias("year"))).distinct())
+    same = before.join(now, keys, "left_semi")
+    beside = kept(same.withColumn("year", F.explode("years")).join(touched, ["symbol", "year"], "left_semi").select("path", "symbol").distinct())
+    own = fresh if beside.isEmpty() else fresh.unionByName(rows(beside))
+    bars = kept(first_of_files(own).withColumn("year", F.year("ts")).join(touched, ["symbol", "year"], "left_semi").drop("year"))
+    if not bars.isEmpty():
+        write_bars_parquet(bars, path, dynamic=True)
+    for r in touched.join(bars.select("symbol", year).distinct(), ["symbol", "year"], "left_anti").collect():  # folders that hold nothing now
+        remove_bars(spark, path, r.symbol, r.year)
+    years = fresh.groupBy("symbol", plain_path("file").alias("_file")).agg(F.array_sort(F.collect_set(F.year("ts"))).alias("years"))
+    read = came.withColumn("_file", plain_path("path")).join(years, ["symbol", "_file"], "left").drop("_file").withColumn("years", F.coalesce("years", F.array().cast("array<int>")))
+    load = (before.agg(F.max("load")).first()[0] or 0) + 1
+    listed = same.drop("load").unionByName(read).withColumn("load", F.lit(load).cast("long"))
+    listed.select("path", "length", "modified", "symbol", "years", "load").coalesce(1).write.mode("append").parquet(f"{path}/_loads")
+    return came.select("path").unionByName(beside.select("path")).distinct().count()

@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_bars_parquet(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Bars by symbol and year, in order within a file; a year of one symbol is one task's work."""
+def write_bars_parquet(bars: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
+    """Bars by symbol and year, in order within a file; a year of one symbol is one task's work. With ``dynamic`` only the symbols' years that
+    ``bars`` has are replaced."""
     out = bars.withColumn("year", F.year("ts")).repartition("symbol", "year").sortWithinPartitions("symbol", "year", "ts")
-    out.write.mode(mode).option("compression", "snappy").partitionBy("symbol", "year").parquet(path)
+    writer = out.write.mode(mode).option("compression", "snappy")
+    (writer.option("partitionOverwriteMode", "dynamic") if dynamic else writer).partitionBy("symbol", "year").parquet(path)
+
+
+def remove_bars(spark: SparkSession, path: str, symbol: str, year: int) -> None:
+    """Deletes one year of one symbol from a table of bars."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/symbol={name}/year={year}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def read_bars_parquet(spark: SparkSession, path: str, symbols: list[str] | None = None, years: tuple[int, int] | None = None) -> DataFrame:
