@@ -12,6 +12,7 @@ from zonestudy.operators import features as X
 from zonestudy.operators import scoring as E
 from zonestudy.operators import stats as G
 from zonestudy.operators import touches as J
+from zonestudy.operators import zones as Z
 from zonestudy.plans.scan import EVENT_COLUMNS, scan
 from zonestudy.plans.spec import Scoring, Spec, validate
 from zonestudy.sources.scratch import kept
@@ -225,3 +226,24 @@ def test_averages_of_long_columns(spark):
     got = X.exponential_means(df, {"y": ("x", 1 / 14), "z": ("x", 2 / 201)}).orderBy("bar_seq").toPandas()
     for name, alpha in (("y", 1 / 14), ("z", 2 / 201)):
         assert np.allclose(got[name], pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), rtol=0, atol=1e-12)
+
+
+def test_stretches_change_nothing(spark, bars, monkeypatch):
+    """Frames that reach into the neighbours of short stretches see the same rows as in one long one."""
+    f = kept(X.build_features(B.resample(bars, "5min")))
+    tests = kept(f.sample(0.2, 3).select("symbol", F.col("ts").alias("bar_ts"), F.col("ts").alias("formed_at"), F.lit(0.0).alias("displacement_atr")))
+
+    def everything():
+        frames = [X.build_features(B.resample(bars, "5min")), X.swing_points(f, 3, 6), X.htf_context(bars, "1h"), Z.order_block(f, 1.0, 3), Z.fvg(f), Z.swing_level(f, 4, 2), J.attach_bar_context(tests, f, "5min")]
+        return [sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect()) for df in frames]
+
+    whole = everything()
+    monkeypatch.setattr(B, "STRETCH", 16)
+    assert everything() == whole and all(whole)
+
+
+def test_bar_spacing_over_months(spark):
+    ts = [pd.Timestamp("2024-01-31 23:00") + pd.Timedelta(minutes=m) for m in (0, 30, 60, 90, 97, 104)] + [pd.Timestamp("2024-03-01")]
+    rows = [("a", t.to_pydatetime()) for t in ts] + [("b", ts[0].to_pydatetime()), ("b", ts[-1].to_pydatetime())]
+    got = dict(B.bar_spacing(spark.createDataFrame(rows, "symbol string, ts timestamp")).collect())
+    assert got == {"a": 30 * 60_000_000, "b": 60_000_000}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from zonestudy.functions.timeframe import seconds
@@ -53,8 +53,8 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
     )
 
 
-def with_bar_seq(bars: DataFrame) -> DataFrame:
-    """``bars`` with ``bar_seq``, each bar's place among its symbol's bars from 0.
+def with_bar_seq(bars: DataFrame, name: str = "bar_seq") -> DataFrame:
+    """``bars`` with ``name``, each bar's place among its symbol's bars from 0.
 
     Numbered within (symbol, month), then shifted by the bars of the months before: no task sorts a whole symbol."""
     month = F.date_trunc("month", "ts")
@@ -64,19 +64,48 @@ def with_bar_seq(bars: DataFrame) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("symbol", "_month").orderBy("ts")) - 1
     return (
         bars.withColumn("_month", month)
-        .withColumn("bar_seq", own)
+        .withColumn(name, own)
         .join(shifts, ["symbol", "_month"])
-        .withColumn("bar_seq", (F.col("bar_seq") + F.col("_shift")).cast("long"))
+        .withColumn(name, (F.col(name) + F.col("_shift")).cast("long"))
         .drop("_month", "_shift")
     )
 
 
+#: Bars of a symbol that one window looks at, about.
+STRETCH = 4096
+
+
+def stretches(bars: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """``bars`` with ``_place``, cut in stretches by place, so that frames of up to ``before`` rows back and ``after`` rows on can be windows over
+    ``in_stretch``: the rows that a stretch's frames need from its neighbours come along, and aren't ``_own``."""
+    size = max(STRETCH, before, after)
+    place, own = F.col("_place") % size, F.floor(F.col("_place") / size).cast("long")
+    there = F.array_compact(F.array(own, F.when(place >= size - before, own + 1), F.when(place < after, own - 1)))
+    return with_bar_seq(bars, "_place").withColumn("_stretch", F.explode(there)).withColumn("_own", F.col("_stretch") == own)
+
+
+def in_stretch() -> WindowSpec:
+    return Window.partitionBy("symbol", "_stretch").orderBy("_place")
+
+
+def without_halo(cut: DataFrame) -> DataFrame:
+    """Each bar once again."""
+    return cut.filter("_own").drop("_place", "_stretch", "_own")
+
+
 def bar_spacing(bars: DataFrame) -> DataFrame:
-    """symbol, tf_micros: the most frequent distance of neighbouring bars, the smallest of equals; a minute with under three bars."""
-    gap = _epoch("ts") - F.lag(_epoch("ts")).over(Window.partitionBy("symbol").orderBy("ts"))
-    counted = bars.select("symbol", gap.alias("gap")).groupBy("symbol", "gap").agg(F.count("*").alias("n"))
+    """symbol, tf_micros: the most frequent distance of neighbouring bars, the smallest of equals; a minute with under three bars.
+
+    Neighbours are sought within months; from month to month they are a month's last bar and the next one's first."""
+    own = bars.select("symbol", F.date_trunc("month", "ts").alias("_month"), _epoch("ts").alias("at"))
+    within = own.select("symbol", (F.col("at") - F.lag("at").over(Window.partitionBy("symbol", "_month").orderBy("at"))).alias("gap"))
+    months = own.groupBy("symbol", "_month").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    across = months.select("symbol", (F.col("first") - F.lag("last").over(Window.partitionBy("symbol").orderBy("_month"))).alias("gap"))
+    # a month's first bar has no gap within it: it is counted there, its gap here
+    gaps = within.select("symbol", "gap", F.lit(1).alias("bar")).unionByName(across.select("symbol", "gap", F.lit(0).alias("bar")).filter("gap is not null"))
+    counted = gaps.groupBy("symbol", "gap").agg(F.count("*").alias("n"), F.sum("bar").alias("bars"))
     per = counted.groupBy("symbol").agg(
-        F.sum("n").alias("bars"),
+        F.sum("bars").alias("bars"),
         F.max(F.when(F.col("gap").isNotNull(), F.struct("n", (-F.col("gap")).alias("minus")))).alias("top"),
     )
     return per.select("symbol", F.when(F.col("bars") < 3, F.lit(60_000_000)).otherwise(-F.col("top.minus")).cast("long").alias("tf_micros"))

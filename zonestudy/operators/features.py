@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from zonestudy.functions.recurrence import exponential_means
 from zonestudy.functions.timeframe import seconds
-from zonestudy.operators.bars import resample, with_bar_seq
+from zonestudy.operators.bars import in_stretch, resample, stretches, with_bar_seq, without_halo
 
 EXCHANGE_TZ = "America/New_York"
 # Session windows in exchange minutes, from and to.
 SESSIONS = (("ASIA", 18 * 60, 3 * 60), ("LONDON", 3 * 60, 9 * 60 + 30), ("RTH", 9 * 60 + 30, 16 * 60), ("AFTER", 16 * 60, 18 * 60))
 
 
-def by_symbol() -> Window:
-    return Window.partitionBy("symbol").orderBy("ts")
-
-
 def local_time(ts: str | Column, exchange_tz: str = EXCHANGE_TZ) -> Column:
     return F.from_utc_timestamp(ts, exchange_tz)
 
@@ -43,15 +39,19 @@ def calendar_fields(bars: DataFrame, exchange_tz: str = EXCHANGE_TZ) -> DataFram
     )
 
 
-def true_range() -> Column:
-    before = F.lag("close").over(by_symbol())
+def true_range(w: WindowSpec) -> Column:
+    before = F.lag("close").over(w)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def smoothed(bars: DataFrame, atr: dict[str, int], ema: dict[str, int]) -> DataFrame:
     """``bars`` with Wilder averages of the true range (null for the first n - 1 bars) and exponential averages of the close."""
     means = {n: ("_range", 1 / k) for n, k in atr.items()} | {n: ("close", 2 / (k + 1)) for n, k in ema.items()}
-    out = exponential_means(with_bar_seq(bars).withColumn("_range", true_range()), means)
+    if atr:
+        numbered = stretches(bars, 1).withColumn("_range", true_range(in_stretch())).filter("_own").drop("_stretch", "_own").withColumnRenamed("_place", "bar_seq")
+    else:
+        numbered = with_bar_seq(bars)
+    out = exponential_means(numbered, means)
     for name, n in atr.items():
         out = out.withColumn(name, F.when(F.col("bar_seq") >= n - 1, F.col(name)))
     return out.drop("_range", "bar_seq")
@@ -99,9 +99,9 @@ def build_features(bars: DataFrame, exchange_tz: str = EXCHANGE_TZ, atr_n: int =
     ).drop("_range")
 
 
-def swing_points(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
-    """``bars`` with ``pivot_high`` and ``pivot_low``: strictly beyond the ``left`` bars before and the ``right`` after, all there."""
-    w = by_symbol()
+def pivots(cut: DataFrame, left: int, right: int) -> DataFrame:
+    """``cut`` (see ``stretches``) with ``pivot_high`` and ``pivot_low``."""
+    w = in_stretch()
     whole = F.count("*").over(w.rowsBetween(-left, right)) == left + right + 1
 
     def beyond(column: str, best, sign: int) -> Column:
@@ -111,17 +111,22 @@ def swing_points(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
                 out = out & (sign * F.col(column) > sign * best(column).over(w.rowsBetween(a, b)))
         return F.coalesce(out, F.lit(False))
 
-    return bars.withColumns({"pivot_high": beyond("high", F.max, 1), "pivot_low": beyond("low", F.min, -1)})
+    return cut.withColumns({"pivot_high": beyond("high", F.max, 1), "pivot_low": beyond("low", F.min, -1)})
+
+
+def swing_points(bars: DataFrame, left: int = 5, right: int = 5) -> DataFrame:
+    """``bars`` with ``pivot_high`` and ``pivot_low``: strictly beyond the ``left`` bars before and the ``right`` after, all there."""
+    return without_halo(pivots(stretches(bars, left, right), left, right))
 
 
 def htf_context(bars: DataFrame, timeframe: str, ema_period: int = 50, atr_period: int = 14, slope_bars: int = 3) -> DataFrame:
     """Bars of a higher timeframe with their trend, slope and range, keyed by ``closed_at``, when they became known."""
-    h = smoothed(resample(bars, timeframe), {"htf_atr": atr_period}, {"htf_ema": ema_period})
-    slope = F.col("htf_ema") - F.lag("htf_ema", slope_bars).over(by_symbol())
+    h = stretches(smoothed(resample(bars, timeframe), {"htf_atr": atr_period}, {"htf_ema": ema_period}), slope_bars)
+    h = without_halo(h.withColumn("_slope", F.col("htf_ema") - F.lag("htf_ema", slope_bars).over(in_stretch())))
     side = lambda x, y: F.when(F.col(x) >= F.col(y), 1).otherwise(-1)
     return h.select(
         "symbol", F.col("ts").alias("htf_label"), (F.col("ts") + F.make_dt_interval(secs=F.lit(seconds(timeframe)))).alias("closed_at"),
         F.col("close").alias("htf_close"), F.col("open").alias("htf_open"), "htf_ema", "htf_atr", (F.col("high") - F.col("low")).alias("htf_range"),
-        F.try_divide(F.col("close") - F.col("htf_ema"), "htf_atr").alias("htf_dist_ema_atr"), F.try_divide(slope, "htf_atr").alias("htf_slope_atr"),
+        F.try_divide(F.col("close") - F.col("htf_ema"), "htf_atr").alias("htf_dist_ema_atr"), F.try_divide("_slope", "htf_atr").alias("htf_slope_atr"),
         F.try_divide(F.col("high") - F.col("low"), "htf_atr").alias("htf_range_atr"), side("close", "htf_ema").alias("htf_bias"), side("close", "open").alias("htf_bar_dir"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonestudy.functions.timeframe import seconds
+from zonestudy.operators.bars import in_stretch, stretches
 
 TRIGGERS = ("touch", "close_inside", "wick_through")
 #: Detection bars in the narrowest buckets of time, and buckets of a level in one of the next.
@@ -122,13 +123,12 @@ def attach_bar_context(tests: DataFrame, features: DataFrame, timeframe: str) ->
     or with no positive ATR go. Undefined measures are 0.
 
     The forming bar is the bin that holds the test, so an equal join finds it, and the closed bar is the one before."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    before = lambda c: F.lag(c).over(w)
-    own = features.select(
-        "symbol", F.col("ts").alias("_bin"), "session", "hour", "minute", "dow", "month", "year", "prior_day_range", "gap_points",
+    before = lambda c: F.lag(c).over(in_stretch())
+    own = stretches(features, 1).select(
+        "symbol", "_own", F.col("ts").alias("_bin"), "session", "hour", "minute", "dow", "month", "year", "prior_day_range", "gap_points",
         before("atr").alias("atr"), before("dist_ema50_atr").alias("dist_ema50_atr"),
         F.when(before("local_date") == F.col("local_date"), before("day_range_atr")).alias("day_range_atr"), before("ts").alias("_closed"),
-    )
+    ).filter("_own").drop("_own")
     micros = seconds(timeframe) * 1_000_000
     label = F.timestamp_micros((F.floor(F.unix_micros("bar_ts") / micros) * micros).cast("long"))
     if 86_400 % seconds(timeframe):  # bins don't count from the epoch

@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonestudy.operators.bars import bar_spacing
-from zonestudy.operators.features import by_symbol, swing_points
+from zonestudy.operators.bars import bar_spacing, in_stretch, stretches, without_halo
+from zonestudy.operators.features import pivots
 from zonestudy.operators.touches import asof_join
 
 COLUMNS = ["symbol", "zone_id", "formed_at", "expires_at", "source_ts", "zone_low", "zone_high", "zone_height", "zone_height_atr", "displacement_atr", "bias"]
@@ -35,19 +35,19 @@ def order_block(
 ) -> DataFrame:
     """The last candle against a move of ``displacement_atr`` ATR, before the move began; if asked for, the move must also pass the
     extreme of the ``swing_lookback`` bars before it."""
-    back, w = max(1, int(displacement_bars)), by_symbol()
+    back, w = max(1, int(displacement_bars)), in_stretch()
     size = F.lag("atr", back).over(w)
     swing = w.rowsBetween(-(back - 1) - swing_lookback, -back)
     reach = w.rowsBetween(-(back - 1) - swing_lookback - 5, -back)
     candle = F.struct("open", "high", "low", "close", "ts")
     against = lambda up: F.last(F.when(F.col("close") < F.col("open") if up else F.col("close") > F.col("open"), candle), ignorenulls=True).over(reach)
-    m = f.select(
-        "symbol", "ts", "high", "low", "close", "open", size.alias("size"), (F.col("close") - F.lag("open", back - 1).over(w)).alias("move"),
+    m = stretches(f, back + swing_lookback + 5).select(
+        "symbol", "ts", "high", "low", "close", "open", "_own", size.alias("size"), (F.col("close") - F.lag("open", back - 1).over(w)).alias("move"),
         F.max("high").over(swing).alias("top"), F.min("low").over(swing).alias("bottom"), against(True).alias("down_candle"),
-        against(False).alias("up_candle"), F.row_number().over(w).alias("place"),
+        against(False).alias("up_candle"), (F.col("_place") + 1).alias("place"),
     )
     up = F.col("move") > 0
-    m = m.filter((F.col("place") > swing_lookback + back + 1) & (F.col("size") > 0)).withColumn("displacement_atr", F.abs("move") / F.col("size"))
+    m = m.filter("_own").filter((F.col("place") > swing_lookback + back + 1) & (F.col("size") > 0)).withColumn("displacement_atr", F.abs("move") / F.col("size"))
     m = m.filter(F.col("displacement_atr") >= displacement_atr)
     if require_swing_break:
         m = m.filter(F.when(up, F.col("high") > F.col("top")).otherwise(F.col("low") < F.col("bottom")))
@@ -63,9 +63,9 @@ def order_block(
 
 def fvg(f: DataFrame, min_gap_atr: float = 0.25, max_age_bars: int = 500) -> DataFrame:
     """Between a bar and the bar two before it: prices that neither traded, of at least ``min_gap_atr`` ATR."""
-    w = by_symbol()
+    w = in_stretch()
     top, bottom = F.lag("high", 2).over(w), F.lag("low", 2).over(w)
-    m = f.select("symbol", "ts", "high", "low", "atr", top.alias("top"), bottom.alias("bottom")).filter("atr > 0")
+    m = stretches(f, 2).select("symbol", "ts", "high", "low", "atr", "_own", top.alias("top"), bottom.alias("bottom")).filter("_own and atr > 0")
     up, down = F.col("low") > F.col("top"), F.col("high") < F.col("bottom")
     m = m.filter(up | down).select(
         "symbol", F.col("ts").alias("known"), F.col("ts").alias("source_ts"), "atr", F.when(up, F.col("top")).otherwise(F.col("high")).alias("zone_low"),
@@ -86,9 +86,9 @@ def _padded(m: DataFrame, level: str, pad_atr: float) -> DataFrame:
 
 def swing_level(f: DataFrame, left: int = 5, right: int = 5, zone_pad_atr: float = 0.1, max_age_bars: int = 1000) -> DataFrame:
     """Pivots, known ``right`` bars later; a bar that is both counts as a high."""
-    w = by_symbol()
-    m = swing_points(f, left, right).withColumns({"known": F.lead("ts", right).over(w), "size": F.lead("atr", right).over(w)})
-    m = m.filter("pivot_high or pivot_low").filter("known is not null").withColumn("source_ts", F.col("ts"))
+    w = in_stretch()
+    m = pivots(stretches(f, left, right), left, right).withColumns({"known": F.lead("ts", right).over(w), "size": F.lead("atr", right).over(w)})
+    m = without_halo(m).filter("pivot_high or pivot_low").filter("known is not null").withColumn("source_ts", F.col("ts"))
     m = m.withColumns({"level": F.when(F.col("pivot_high"), F.col("high")).otherwise(F.col("low")), "bias": F.when(F.col("pivot_high"), -1).otherwise(1)})
     return _zones(_padded(m, "level", zone_pad_atr), bar_spacing(f), max_age_bars)
 
