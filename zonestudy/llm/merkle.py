@@ -272,7 +272,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     changed = own | (forged or {})
     group = F.when(F.col(f"`{group_col}`").isNull(), "").otherwise(F.concat(F.lit("+"), F.col(f"`{group_col}`").cast("string")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), group.alias("tree"), row_digest(*own.values()).alias("digest"), row_digest(*changed.values()).alias("forged"))
-    leaves = numbered(rows, "tree", "doc", "digest")
+    leaves = numbered(written(rows, "digests"), "tree", "doc", "digest")  # dealing rows out reads them twice: digests, not texts
     runs, roots = build_up(leaves)
     roots = written(roots, "roots")
     groups = numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("group"), "digest", F.struct(*[F.col(c) for c in ("home", "tree", "n", "level", "idx")]).alias("at")), "tree", "group")
