@@ -169,49 +169,48 @@ def detect_bar_format(lines: list[str], name: str = "file") -> BarFormat:
     raise ValueError(f"{name}: " + ("; ".join(lacks) or "no comma, semicolon, tab or pipe separates columns"))
 
 
-#: Bytes of a file that the scan for heads takes as one piece; a longer file's other pieces are left out by where they begin.
+#: Bytes of a file that the scan for heads takes as one piece: all of it.
 _WHOLE = 1 << 40
+#: Bytes up to which a file is read whole for its head, and larger files whose heads one job reads.
+_SMALL, _TOGETHER = 4 << 20, 64
 #: Files up to which their symbols are broadcast, some MB.
 _LISTED = 50_000
 
 
-def _heads(spark: SparkSession, paths: list[str], n_lines: int) -> DataFrame:
-    """file and first lines (``value``, in order) of each file under ``paths``, one row each; empty files have none.
+def _heads(spark: SparkSession, files: dict[str, int], n_lines: int) -> Iterator[DataFrame]:
+    """value and file_path of the lines of ``files`` (path, length), a file a task, its first ``n_lines`` in order and in one batch. All small files are one
+    read; of a larger one no more than its first lines are read, so each is a branch with a limit, many of them a job.
 
-    Each file is one piece of the scan whatever its length, so its lines come in order, and a task stops after a file's first rows."""
+    Each file is one piece of the scan whatever its length, so a task begins with its first line."""
     own = spark.newSession()  # the pieces are a setting of the session
     for name in ("maxPartitionBytes", "openCostInBytes"):
         own.conf.set(f"spark.sql.files.{name}", str(_WHOLE))
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n_lines))
-    lines = own.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = None
-        for batch in batches:
-            rows = batch.to_pydict()
-            if done is not None and rows["file_path"][-1] == done:
-                return  # a piece is of one file
-            done = rows["file_path"][0]
-            yield pa.RecordBatch.from_pydict({"file": [done], "lines": [[v for v, f in zip(rows["value"], rows["file_path"], strict=True) if f == done]]})
-
-    return lines.mapInArrow(first, "file string, lines array<string>")
+    lines = lambda paths: own.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
+    if small := [p for p, n in files.items() if n <= _SMALL]:
+        yield lines(small)
+    large = [p for p, n in files.items() if n > _SMALL]
+    for at in range(0, len(large), _TOGETHER):
+        yield reduce(DataFrame.unionByName, [lines([p]).limit(n_lines) for p in large[at : at + _TOGETHER]])
 
 
 def layouts(spark: SparkSession, paths: list[str], n_lines: int = 50) -> dict[str, BarFormat]:
-    """The layout of each file under ``paths`` (files or folders), by its full path: told in the tasks that read the first lines, one job for all.
+    """The layout of each file under ``paths`` (files or folders), by its full path: told in the tasks that read the first lines.
     Raises ValueError for the first file that has none, and warns of dates that can be read day or month first."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, lines in zip(*batch.to_pydict().values(), strict=True):
-                try:
-                    fmt, wrong = json.dumps(asdict(detect_bar_format(lines, _name(file)))), None
-                except ValueError as e:
-                    fmt, wrong = None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.string()) for x in (file, fmt, wrong)], names=["file", "fmt", "wrong"])
-
-    listed = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").orderBy("path").collect()]  # a row for each file, as its reader lists them, too
-    rows = {_plain(r.file): r for r in _heads(spark, paths, n_lines).mapInArrow(told, "file string, fmt string, wrong string").collect()}
+            rows = batch.to_pydict()
+            file, fmt, wrong = rows["file_path"][0], None, None
+            try:
+                fmt = json.dumps(asdict(detect_bar_format(rows["value"], _name(file))))
+            except ValueError as e:
+                wrong = str(e)
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.string()) for x in (file, fmt, wrong)], names=["file", "fmt", "wrong"])
+            return
+
+    listed = dict(spark.read.format("binaryFile").load(paths).select("path", "length").orderBy("path").collect())  # a row for each file, as its reader lists them, too
+    rows = {_plain(r.file): r for lines in _heads(spark, listed, n_lines) for r in lines.mapInArrow(told, "file string, fmt string, wrong string").collect()}
     found = {}
     for path in listed:
         r = rows[_plain(path)]
@@ -280,13 +279,13 @@ def localize_to_utc(wall: Column, tz: str) -> Column:
 
 
 def clean_files(raw: DataFrame, tz: str = "UTC") -> DataFrame:
-    """symbol, file, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file`` and ``rid`` (place in the file), each file by itself.
+    """symbol, file, ts, open, high, low, close, volume from rows with wall (as UTC), prices, ``file``, ``block`` and ``row`` (place in the file), each file by itself.
 
     Rows without time or price go; of one wall clock the first row stays, of two wall clocks that are one time the first one, and bars whose prices
     contradict each other go."""
     raw = raw.dropna(subset=["wall", *PRICES]).withColumn("ts", localize_to_utc(F.col("wall"), tz)).filter("ts is not null")
     # first rows by grouped minimum, not by a sort of all rows
-    own = raw.groupBy("symbol", "file", "ts").agg(F.min(F.struct("wall", "rid", *PRICES, "volume")).alias("r"))
+    own = raw.groupBy("symbol", "file", "ts").agg(F.min(F.struct("wall", "block", "row", *PRICES, "volume")).alias("r"))
     own = own.select("symbol", "file", "ts", *[F.col(f"r.{c}").alias(c) for c in (*PRICES, "volume")])
     return own.filter("high >= low and high >= open and high >= close and low <= open and low <= close")
 
@@ -351,7 +350,7 @@ def _raw(spark: SparkSession, fmt: BarFormat, files: list[str], tz: str) -> Data
     names = [f"c{i}" for i in range(fmt.width)]
     schema = ", ".join(f"{n} string" for n in names) + ", _broken string"
     reader = spark.read.schema(schema).options(sep=fmt.delimiter, header=fmt.header, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
-    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("rid"))
+    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     # a row with too many fields is malformed, one with too few lacks them
     rows = rows.filter(F.coalesce(F.size(F.split("_broken", re.escape(fmt.delimiter))) <= fmt.width, F.lit(True)))
 
@@ -363,4 +362,4 @@ def _raw(spark: SparkSession, fmt: BarFormat, files: list[str], tz: str) -> Data
         return F.when(~F.isnan(x), x)
 
     wall = parse_bar_timestamp(fmt, lambda i: F.col(names[i]), tz).cast("timestamp")
-    return rows.select("file", "rid", wall.alias("wall"), *[number(r).alias(r) for r in (*PRICES, "volume")])
+    return rows.select("file", "block", "row", wall.alias("wall"), *[number(r).alias(r) for r in (*PRICES, "volume")])
