@@ -131,8 +131,10 @@ def test_registry(spark, tmp_path):
     assert row[0] == "*|fvg|both" == Spec(zone=Spec.from_dict({"zone": {"detector": "fvg"}}).zone).family()
 
 
-def test_heads_of_a_file_of_many_pieces(spark, tmp_path):
+@pytest.mark.parametrize("small", [0, 4 << 20])
+def test_heads_of_a_file_of_many_pieces(spark, tmp_path, monkeypatch, small):
     """Columns in an order of their own, so that only the header tells them, in a file that is read in many pieces."""
+    monkeypatch.setattr(bars_csv, "_SMALL", small)
     rows = [f"{14 + k % 3},{k % 24:02d}:{k % 60:02d} x,{10 + k % 5},{11.5 + k % 5},2021-03-{1 + k // 1440:02d} {k // 60 % 24:02d}:{k % 60:02d},{10.5 + k % 5}" for k in range(4000)]
     (tmp_path / "NQ one.csv").write_text("\n".join(["High,Note,Low,Close,DateTime,Open", *(r.replace(f"{14 + k % 3},", f"{20 + k % 3},", 1) for k, r in enumerate(rows))]))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
