@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 import zlib
 
@@ -118,6 +119,29 @@ def test_sampling_is_lossless_and_independent_of_batches():
     assert not np.array_equal(other, ids[ends[6] :])
 
 
+def test_long_words_draw_the_same_byte_by_byte_and_together(monkeypatch):
+    own, rng = pieces.Pieces.load(str(public_tokenizers.path("piece_bpe_32k.model"))), random.Random(8)
+    marks = "abcdefgh 中語é\U0001F600\U00012000"
+    texts = ["a" * 5000, "𝄞" * 60, " " * 300, "x" * 60 + " " + "x" * 60, "中" * 200 + "abc" * 40, *("".join(rng.choice(marks) for _ in range(rng.randrange(400))) for _ in range(60))]
+    keys = np.arange(len(texts)) * 7
+    drawn = []
+    for long, stretch in ((1, 50), (48, 1 << 15), (10**9, 1)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "FEW", 10**9 if long == 1 else 12)
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        drawn.append(own.sample(pa.array(texts), keys))
+    assert all(np.array_equal(x, y) for d in drawn[1:] for x, y in zip(drawn[0], d))
+    assert bytes(own.decode(drawn[0][0])) == b"".join(b" " + t.encode() if t else b"" for t in texts)
+
+
+def test_a_megabyte_without_spaces_is_walked_once():
+    own, rng = pieces.Pieces.load(str(public_tokenizers.path("piece_bpe_32k.model"))), random.Random(9)
+    for t in ("".join(rng.choice("0123456789abcdef") for _ in range(1_000_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(340_000))):
+        began = time.process_time()
+        ids = own.sample(pa.array([t]), np.array([5]))[0]
+        assert time.process_time() - began < 15 and bytes(own.decode(ids)) == b" " + t.encode()
+
+
 @pytest.mark.parametrize("identity", [0.6, 0.75, 0.9])
 def test_best_run_against_every_run(identity):
     rng = random.Random(4)

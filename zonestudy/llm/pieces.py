@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,6 +21,10 @@ _CHAR[:128], _CHAR[192:224], _CHAR[224:240], _CHAR[240:] = 1, 2, 3, 4
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Cells of a lattice that are held at once.
 CELLS = 1 << 20
+#: Words of at least so many bytes, of a width that at most so many have, go byte by byte; other ones of a width go together.
+LONG, FEW = 48, 12
+#: Bytes of long words whose pieces are held at once.
+STRETCH = 1 << 15
 
 
 class Pieces:
@@ -150,19 +155,112 @@ class Pieces:
             bounds = np.searchsorted(kind[order], np.arange(len(first) + 1))
             sizes = length[first][by_size]
             scale = down * _SPREAD
+            singly = []
             a = 0
             while a < len(first):
                 width = int(sizes[a])
                 most = max(1, CELLS // ((width + 1) * (min(width, self.longest) + 1)))
-                b = min(a + most, int(np.searchsorted(sizes, width, "right")))
+                b = int(np.searchsorted(sizes, width, "right"))
+                if width >= LONG and bounds[b] - bounds[a] <= FEW:
+                    singly.append(order[bounds[a] : bounds[b]])
+                    a = b
+                    continue
+                b = min(a + most, b)
                 sums, ids = self.lattices(start[first[by_size[a:b]]], width, data, total, scale)
                 chosen = order[bounds[a] : bounds[b]]
                 self._walk(sums, ids, kind[chosen] - a, start[chosen], length[chosen], seed[chosen], new[owner[chosen]], data, out)
                 a = b
+            if singly:
+                chosen = np.concatenate(singly)
+                self._through(start[chosen], length[chosen], seed[chosen], new[owner[chosen]], data, total, scale, out)
         held = out[:-1] >= 0
         ends = np.concatenate([[0], np.cumsum(held)])[new]
         return out[:-1][held], ends, data, new
 
+    def _matches(self, a: int, b: int, at: np.ndarray, close: np.ndarray, data: np.ndarray, total: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces that begin before ``b`` and end after ``a``, by where they end and by length: end, length, weight, id (-1: bytes).
+
+        Places are those of words laid one after another: ``at`` has each one's byte of ``data``, ``close`` its word's end."""
+        low = max(0, a - max(self.longest, 4) + 1)
+        bare = np.ones((5, b - low), dtype=bool)
+        ends, lengths, weight, name = [], [], [], []
+
+        def add(begin: np.ndarray, n: int, w: np.ndarray | float, i: np.ndarray | int) -> None:
+            ends.append(begin + n)
+            lengths.append(np.full(len(begin), n, dtype=np.int32))
+            weight.append(np.broadcast_to(np.asarray(w, dtype=np.float64), len(begin)))
+            name.append(np.broadcast_to(np.asarray(i, dtype=np.int32), len(begin)))
+
+        def within(n: int) -> np.ndarray:
+            begin = np.arange(max(low, a - n + 1), b)
+            return begin[begin + n <= close[begin]]
+
+        for n, (hashes, own, weights, present) in self.by_length.items():
+            begin = within(n)
+            x = at[begin]
+            h = (total[x + n] - total[x]) * scale[x]
+            maybe = np.flatnonzero(present[h >> np.uint64(48)])
+            place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            sure = hashes[place] == h[maybe]
+            place, begin = place[sure], begin[maybe[sure]]
+            add(begin, n, weights[place], own[place])
+            if n < 5:
+                bare[n, begin - low] = False
+        for n in range(1, 5):
+            begin = within(n)
+            begin = begin[(_CHAR[data[at[begin]]] == n) & bare[n, begin - low]]
+            add(begin, n, self.fallback**n, -1)
+        end, n = np.concatenate(ends), np.concatenate(lengths)
+        order = np.lexsort((n, end))
+        return end[order], n[order], np.concatenate(weight)[order], np.concatenate(name)[order]
+
+    def _through(self, start: np.ndarray, length: np.ndarray, seed: np.ndarray, base: np.ndarray, data: np.ndarray, total: np.ndarray, scale: np.ndarray, out: np.ndarray) -> None:
+        """As ``lattices`` and ``_walk``, for words laid one after another: a draw depends on its place alone, so the last piece before each place
+        is drawn as soon as the sums there are known. What is held of the lattice is a stretch's pieces."""
+        close = np.cumsum(length)
+        first, places, most = close - length, int(close[-1]), max(self.longest, 4)
+        at = np.arange(places) + np.repeat(start - first, length)
+        word, close = np.repeat(np.arange(len(start)), length), np.repeat(close, length)
+        back, drawn = np.zeros(places + 1, dtype=np.int32), np.full(places + 1, -2, dtype=np.int32)
+        reach = [0.0] * (most - 1) + [1.0]  # of the places up to the stretch, then of its own
+        for a in range(0, places, STRETCH):
+            b = min(a + STRETCH, places)
+            end, n, weights, ids = self._matches(a, b, at, close, data, total, scale)
+            bounds = np.searchsorted(end, np.arange(a + 1, b + 2)).tolist()
+            before = end - n - (a - most + 1)
+            needed = np.append(np.minimum.accumulate(before[::-1])[::-1], len(end) and b - a + most).tolist()  # the first place that later pieces begin at
+            own = word[a:b]
+            u = (mix(seed[own] + (at[a:b] + 1 - base[own]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+            last = (close[a:b] == np.arange(a + 1, b + 1)).tolist()
+            w, before, picked = weights.tolist(), before.tolist(), [-1] * (b - a)
+            for j, share in enumerate(u.tolist()):
+                x, y = bounds[j], bounds[j + 1]
+                s, sums = 0.0, []
+                for k in range(x, y):
+                    s += w[k] * reach[before[k]]
+                    sums.append(s)
+                if s:
+                    picked[j] = x + min(bisect_right(sums, share * s), y - x - 1)
+                reach.append(1.0 if last[j] else s)  # the next word's beginning
+                if s < 1e-100 and not last[j]:
+                    top = max(reach[needed[y] :], default=0.0)
+                    if 0 < top < 1e-100:
+                        reach[-most:] = [r * 2.0**300 for r in reach[-most:]]
+            reach = reach[-most:]
+            pick = np.array(picked)
+            some = np.flatnonzero(pick >= 0)
+            back[a + 1 + some], drawn[a + 1 + some] = n[pick[some]], ids[pick[some]]
+        steps, path, j = back.tolist(), [], places
+        while j:
+            path.append(j)
+            j -= steps[j]
+        path = np.array(path)
+        begin, chosen = at[path - back[path]], drawn[path]
+        out[begin] = chosen
+        for n in range(1, 5):
+            x = begin[(chosen == -1) & (back[path] == n), None] + np.arange(n)
+            out[x] = self.byte_ids[data[x]]
+
     def _walk(self, sums: np.ndarray, ids: np.ndarray, word: np.ndarray, start: np.ndarray, j: np.ndarray, seed: np.ndarray, base: np.ndarray, data: np.ndarray, out: np.ndarray) -> None:
         """Draws the last piece, then the one before it, until each word's beginning; writes each id where its piece begins."""
         while len(word):
