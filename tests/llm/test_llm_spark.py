@@ -223,7 +223,7 @@ def test_pieces(spark, docs):
     assert all(r.lossless and r.n_ids == len(r.ids) and again[r.doc_id, r.decoded_crc32] == r.ids for r in rows)
 
 
-def test_neighbours_against_brute_force(spark):
+def test_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(700, 8)).astype(np.float32)
     v[300:420] = v[300]
@@ -239,11 +239,30 @@ def test_neighbours_against_brute_force(spark):
         s = vptree.inner_products(np.repeat(v[q : q + 1], 700, axis=0), v)
         order = [i for i in np.lexsort((np.arange(700), -s)) if i != q][:20]
         assert [found[k] for k in range(1, 21)] == [(i, s[i]) for i in order]
+    monkeypatch.setattr(vptree, "SHARDS", 1)
+    by_ones = vptree.nearest(table_, _every(), 20, 1.0, shard_rows=40, query_rows=16).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in by_ones} == {(q, k): x for q, found in got.items() for k, x in found.items()}
     loose = vptree.nearest(table_, _every(), 20, 1.5, shard_rows=200).collect()
     hits = sum((r.vec_id in {x for x, _ in got[r.query_id].values()}) for r in loose)
     assert hits >= 0.9 * sum(len(x) for x in got.values())
 
 
+def test_a_shard_gets_only_the_queries_that_need_it():
+    rng = np.random.default_rng(3)
+    q, pivots, reach = rng.normal(size=(50, 8)), rng.normal(size=(30, 8)), rng.random(30)
+    known = rng.normal(size=50) * 3
+    known[:5] = -np.inf
+    goes = vptree.reaches(q, known, pivots, reach, 1.0)
+    assert (goes == (q @ pivots.T + np.linalg.norm(q, axis=1)[:, None] * reach >= known[:, None])).all() and not goes.all()
+    bits = vptree.packed(ids=np.arange(50), vectors=q, known=known, goes=np.packbits(goes, axis=0))
+    shards = pa.array([[{"home": h, "part": 0} for h in range(30)]])
+    sent = list(vptree.asked_of([pa.RecordBatch.from_arrays([pa.array([8]), shards, pa.array([bits], pa.binary())], names=["dim", "shards", "queries"])]))
+    got = {h: vptree.unpacked(b) for batch in sent for h, b in zip(batch.column("home").to_pylist(), batch.column("queries"))}
+    assert len(sent) > 1 and sorted(got) == list(range(30))
+    for h, x in got.items():
+        assert x["ids"].tolist() == np.flatnonzero(goes[:, h]).tolist() and (x["vectors"] == q[goes[:, h]]).all() and (x["known"] == known[goes[:, h]]).all()
+
+
 def test_chat_round_trip_and_turn_order(spark):
     odd = "a<b[c\\1 </s>[INST] \\\\2 <<SYS>> [/INST]"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (3, 0, "system", "s"), (3, 1, "user", ""), (3, 2, "assistant", odd), (3, 3, "user", "?"),

@@ -21,6 +21,9 @@ SLACK = 1e-12
 #: Pivots at most, which are held on the driver and by every task.
 PIVOTS = 4096
 
+#: Shards that a block of queries is held against at once, and that are written with one copy of it; visits in one batch.
+SHARDS, SENT = 256, 16
+
 
 @dataclass
 class Tree:
@@ -183,12 +186,27 @@ def usable(vector: Column) -> Column:
 
 
 def reaches(queries: np.ndarray, known: np.ndarray, pivots: np.ndarray, reach: np.ndarray, factor: float) -> np.ndarray:
-    """Places of the shards that can hold a score of at least ``known`` for any query. A shard's vectors lie within ``reach`` of its pivot, so
+    """For each query and shard whether the shard can hold a score of at least ``known``. A shard's vectors lie within ``reach`` of its pivot, so
     no score is above the pivot's own by more than the query's length times that; ``factor`` makes the reach smaller."""
     length = np.sqrt((queries * queries).sum(axis=1))
-    most = queries @ pivots.T + length[:, None] * reach[None, :] / factor
-    slack = 2 * SLACK * length[:, None] * (np.sqrt((pivots * pivots).sum(axis=1)) + reach)[None, :]
-    return np.flatnonzero((most + slack >= known[:, None]).any(axis=0))
+    slack = 2 * SLACK * (np.sqrt((pivots * pivots).sum(axis=1)) + reach)
+    most = length[:, None] * (reach / factor + slack)[None, :]
+    most += queries @ pivots.T
+    return most >= known[:, None]
+
+
+def asked_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The visits of each row: for each shard (dim, home, part) those of the row's queries that must go there."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            asked = unpacked(batch.column("queries")[i])
+            shards, dim = batch.column("shards")[i].as_py(), batch.column("dim")[i].as_py()
+            goes = np.unpackbits(asked.pop("goes"), axis=0, count=len(asked["ids"])).astype(bool)
+            for a in range(0, len(shards), SENT):
+                some = shards[a : a + SENT]
+                cut = [packed(**{name: x[goes[:, a + j]] for name, x in asked.items()}) for j in range(len(some))]
+                at = [pa.array(c, pa.int32()) for c in ([dim] * len(some), [s["home"] for s in some], [s["part"] for s in some])]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(cut, pa.binary())], names=["dim", "home", "part", "queries"])
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
@@ -197,8 +215,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
     ``rows`` has vec_id and embedding; ``is_query`` picks the queries. Rows are dealt to the nearest of at most ``PIVOTS`` pivots, one for
     ``shard_rows`` rows, taken by a hash of vec_id, and a pivot's rows, when they are more, to shards by another hash. Each shard builds a
     vantage-point tree over its vectors lifted to a sphere, where the largest inner product is the least distance. Queries are packed
-    in blocks by their pivot. A block first meets one shard of its own pivot, which tells what scores its queries reach; then
-    the shards that the triangle inequality doesn't exclude for all of them, and the best of those are ranked. Scores are those of the original
+    in blocks by their pivot. A block first meets one shard of its own pivot, which tells what scores its queries reach; then each query goes to
+    the shards that the triangle inequality doesn't exclude for it, and the best of those are ranked. A block is held against ``SHARDS`` shards at
+    a time and written once for so many, with a bit for each query and shard; only the queries that a shard needs are sent to it. Scores are those of the original
     vectors in double precision. ``factor`` 1 is exact search; a larger one leaves out more shards and more branches.
 
     Null, empty and zero vectors, those with null or non-finite components, and rows without a vec_id take no part. Of rows with one
@@ -262,12 +281,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
                 known[query[last[full]]] = score[last[full]]
                 dim = batch.column("dim")[i].as_py()
                 shards = summary.value[dim]
-                there = reaches(own.astype(np.float64), known, shared.value[dim][shards[:, 0].astype(int)], shards[:, 2], factor)
-                # one row with the block, and one for each shard that it visits
-                n = len(there)
-                columns = [[dim] * n, shards[there, 0].astype(int), shards[there, 1].astype(int)]
-                at = [pa.array(c, pa.int32()) for c in columns]
-                yield pa.RecordBatch.from_arrays([*at, pa.array([packed(ids=ids, vectors=own, known=known)] * n, pa.binary())], names=["dim", "home", "part", "queries"])
+                wide = own.astype(np.float64)
+                for a in range(0, len(shards), SHARDS):
+                    cut = shards[a : a + SHARDS]
+                    goes = reaches(wide, known, shared.value[dim][cut[:, 0].astype(int)], cut[:, 2], factor)
+                    there, asking = np.flatnonzero(goes.any(axis=0)), goes.any(axis=1)
+                    if not len(there):
+                        continue
+                    some = packed(ids=ids[asking], vectors=own[asking], known=known[asking], goes=np.packbits(goes[asking][:, there], axis=0))
+                    names = [{"home": int(cut[k, 0]), "part": int(cut[k, 1])} for k in there]
+                    to = pa.array([names], pa.list_(pa.struct([("home", pa.int32()), ("part", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), to, pa.array([some], pa.binary())], names=["dim", "shards", "queries"])
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = None, None
@@ -284,10 +308,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0,
                 yield pa.RecordBatch.from_arrays([pa.array(asked["ids"][query]), pa.array(own.ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     firsts = trees.filter("part = 0").select("dim", "home", "tree")
-    visits = written(blocks.join(firsts, ["dim", "home"]).select("dim", "queries", "tree").mapInArrow(begun, "dim int, home int, part int, queries binary"), "visits")
+    started = blocks.join(firsts, ["dim", "home"]).select("dim", "queries", "tree")
+    started = written(started.mapInArrow(begun, "dim int, shards array<struct<home: int, part: int>>, queries binary"), "started")
     # a tree is read once for about sixteen blocks
-    turns = 1 + visits.groupBy("dim", "home", "part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // 16
-    visits = visits.withColumns({"turn": F.pmod(F.xxhash64("queries"), F.lit(turns)).cast("int"), "tree": F.lit(None).cast("binary")})
+    asked = started.select("dim", F.explode("shards").alias("s")).groupBy("dim", "s").count()
+    turns = 1 + asked.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // 16
+    visits = started.mapInArrow(asked_of, "dim int, home int, part int, queries binary").withColumns({"turn": F.pmod(F.xxhash64("queries"), F.lit(turns)).cast("int"), "tree": F.lit(None).cast("binary")})
     own = trees.select("dim", "home", "part", F.lit(None).cast("binary").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "tree")
     keys = ["dim", "home", "part", "turn"]
     routed = own.unionByName(visits).repartition(*keys).sortWithinPartitions(*keys, F.col("tree").isNull())
