@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from zonestudy.llm import decontaminate
+from zonestudy.llm import components, decontaminate
 
 ITEMS, DOCS = "item_id long, text string, n_items int", "doc_id long, text string, item_id long, row int, id int, text_hash int, many int"
 
@@ -73,3 +73,26 @@ def test_recall_of_random_substitutions(spark, changed, least):
     found = {(r.doc_id, r.item_id) for r in overlaps(spark, [(r, " ".join(d)) for r, d in enumerate(docs)], [(k, " ".join(w)) for k, w in enumerate(items)])}
     want = {(r, r % 60) for r, d in enumerate(docs) if every_run(d, items[r % 60])}
     assert found <= want and len(found) >= least * len(want) > 100
+
+
+def test_a_phrase_in_every_document_is_salted(spark, monkeypatch):
+    rng = random.Random(12)
+    phrase = "as all of us know well by now it is so".split()
+    items = [[*phrase, *(f"i{k}w{j}" for j in range(20))] for k in range(6)]
+    docs = [[*phrase, *(f"n{rng.randrange(9999)}" for _ in range(15)), *(items[r % 6][2:] if r % 5 == 0 else []), *phrase] for r in range(150)]
+    rows, asked = [(r, " ".join(d)) for r, d in enumerate(docs)], [(k, " ".join(w)) for k, w in enumerate(items)]
+    plain = sorted(overlaps(spark, rows, asked))
+    assert {(r.doc_id, r.item_id) for r in plain} == {(r, r % 6) for r in range(150) if r % 5 == 0}
+    monkeypatch.setattr(components, "HOT", 20)
+    assert sorted(overlaps(spark, rows, asked)) == plain
+
+
+def test_salted_join_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 8)
+    left = spark.createDataFrame([(k, i) for k in (1, 2, 3, None) for i in range(100 if k == 1 else 5)] * 2, "k long, x long")
+    right = spark.createDataFrame([(1, 7), (1, 8), (1, 8), (2, 9), (4, 1), (None, 3)], "k long, y long")
+    monkeypatch.setattr(components, "BROADCAST", 1)
+    want = sorted(left.join(right, "k").collect())
+    got = components.salted_join(left, right, left.count(), "k")
+    assert sorted(got.collect()) == want and got.columns == ["k", "x", "y"]
+    assert components.salted_join(left.limit(0), right, 0, "k").count() == components.salted_join(left, right.limit(0), left.count(), "k").count() == 0

@@ -2,8 +2,8 @@
 
 import math
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np

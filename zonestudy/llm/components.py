@@ -23,6 +23,21 @@ def joined_by(rows: DataFrame, keyed: DataFrame, total: int, *keys: str) -> Data
     return rows.join(hot, list(keys)).unionByName(cold)
 
 
+def salted_join(rows: DataFrame, others: DataFrame, total: int, key: str) -> DataFrame:
+    """``rows`` joined to ``others``, both of which may have many rows of one ``key``.
+
+    Of a key with ``HOT`` rows or more each ``HOT`` of ``rows`` are dealt out by themselves and the key's ``others`` go to all of them. Which keys
+    those are is a broadcast of at most ``BROADCAST`` rows, those with the most; what is beyond has less than that share of ``total`` rows."""
+    if total < HOT:
+        return rows.join(others, key)
+    many = rows.groupBy(key).agg(F.count("*").alias("many")).filter(F.col("many") >= HOT).orderBy(F.desc("many"), key).limit(BROADCAST)
+    hot = F.broadcast(written(many.select(key, F.ceil(F.col("many") / HOT).cast("int").alias("salts")), "hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("salts")
+    each = others.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(each, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of ``edges`` (a, b: long).
 

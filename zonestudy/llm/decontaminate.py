@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonestudy.llm.components import joined_by
+from zonestudy.llm.components import joined_by, salted_join
 from zonestudy.llm.shared import slices, written
 from zonestudy.llm.words import PUNCTUATION, mix, tokenize, windows
 
@@ -164,7 +164,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     the one with the most equal words is kept if it has ``min_words`` equal ones (of a shorter item three quarters). Hits of items
     under ten words are complete; of longer ones the masks can miss some.
 
-    Only documents with hits are written and joined; their texts meet their items' words in one stream for each document. Null and
+    Seeds that very many windows have are salted. Only documents with hits are written and joined; their texts meet their items' words in one stream for each document. Null and
     empty texts overlap nothing, items under five words are not looked for, repeated rows
     are judged one by one, and an empty table gives no rows. Other columns are ignored."""
     spark = docs.sparkSession
@@ -174,7 +174,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, mi
     present = spark.sparkContext.broadcast(_filter(found))
     candidates = written(_candidates(docs, masks_for(lengths, min_words), present).withColumn("row", F.monotonically_increasing_id()), "candidates")
     hits = candidates.select("row", F.explode("hits").alias("hit")).select("row", "hit.seed", "hit.at")
-    pairs = hits.join(found, "seed").groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    n_hits = candidates.agg(F.sum(F.size("hits").cast("long"))).first()[0] or 0
+    pairs = salted_join(hits, found, n_hits, "seed").groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     pairs = written(pairs, "pairs")
     total = pairs.count()
     held = pairs.groupBy("item").agg(F.count("*").alias("many")).join(items, "item")
