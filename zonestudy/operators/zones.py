@@ -26,7 +26,7 @@ def _zones(found: DataFrame, spacing: DataFrame, max_age_bars: int) -> DataFrame
     z = z.withColumn("expires_at", _later(F.col("formed_at"), F.col("tf_micros") * max_age_bars))
     z = z.withColumn("zone_height", F.col("zone_high") - F.col("zone_low")).filter("zone_height > 0")
     key = F.concat_ws("|", "symbol", F.unix_micros("formed_at").cast("string"), F.unix_micros("source_ts").cast("string"), F.format_string("%.9f", "zone_low"), F.col("bias").cast("string"))
-    return z.withColumn("zone_id", F.substring(F.md5(key), 1, 16)).select(*COLUMNS)
+    return z.withColumn("zone_id", F.md5(key)).select(*COLUMNS)
 
 
 def order_block(
