@@ -448,11 +448,13 @@ def _reached(lists: DataFrame, sets: DataFrame) -> DataFrame:
         left = _labelled(left, reached)
         if found.count() < WORTH * asked.count():
             break
-    entries = left.select("key", F.struct("node", "n", "pos").alias("e"), "component")
+    # each part of a long list meets each part of it in a group by itself
+    entries = left.select("key", "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"), F.struct("node", "n", "pos").alias("e"), "component")
     l, r = entries.alias("l"), entries.alias("r")
     x, y = F.col("l.e.node"), F.col("r.e.node")
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.other")) & (F.col("l.other") == F.col("r.salt"))
     rest = (
-        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")))
+        l.join(r, same & (F.col("l.component") < F.col("r.component")))
         .filter(_can_link("l.e", "r.e"))
         .select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         .distinct()
