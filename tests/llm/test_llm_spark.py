@@ -79,6 +79,23 @@ def test_join_of_random_near_copies(spark, monkeypatch, small):
     assert sorted(got, key=str) == brute_components(rows)
 
 
+def test_unlinked_sets_of_one_list_are_compared_part_by_part(spark, monkeypatch):
+    """400 sets share their first shingle but link only in pairs; whatever the parts of their list, no link is lost."""
+    rng = np.random.default_rng(4)
+    lists, held = [], {}
+    for k in range(200):
+        own = np.sort(rng.choice(1 << 40, 40, replace=False))
+        for node in (2 * k, 2 * k + 1):
+            held[node] = sorted({1, *own[: 39 - (node % 2)].tolist()})
+            lists += [(1, node % 7, 7, node, len(held[node]), 0), (2 + k % 3, 0, 1, node, len(held[node]), 0)]
+    sets = spark.createDataFrame([(n, len(h), h) for n, h in held.items()], "node long, n int, held array<long>")
+    lists = spark.createDataFrame(lists, "key long, salt int, salts int, node long, n int, pos int")
+    for turns in (1, 8):
+        monkeypatch.setattr(ngram_join, "TURNS", turns)
+        got = {r.node: r.component for r in ngram_join._reached(lists, sets).collect()}
+        assert got == {n: n - n % 2 for n in held}
+
+
 @pytest.mark.parametrize("long", [2, 16])
 def test_join_when_lists_are_salted(spark, monkeypatch, long):
     """Pairs whose shingles are common, so that their short lists are salted and the two may have different salts."""
@@ -275,6 +292,9 @@ def test_chat_round_trip_and_turn_order(spark):
         assert back[c].loss_text == "".join(t for r, t in own if r == "assistant")
     assert {c: back[c].valid for c in (1, 2, 3, 4, 5)} == {1: True, 2: False, 3: False, 4: False, 5: False}
     d = {r.conv_id: r for r in chat.chat_digests(turns).collect()}
+    nameless = spark.createDataFrame([(None, 0, "user", "a")] * 40 + [(None, None, "assistant", None), (7, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    apart = chat.chat_digests(nameless).filter("conv_id is null").collect()
+    assert [r.n_turns for r in apart] == [1] * 41 and not any(r.valid for r in apart)
     text = "</s>[INST] ok [/INST]"
     assert d[-7].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert (d[-7].n_turns, d[-7].loss_chars, d[-7].loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())

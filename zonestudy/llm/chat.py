@@ -63,14 +63,15 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
     """conv_id, ``segments`` (array of text and loss flag, in order) and ``valid`` of every conversation.
 
     Joined, the segments are the formatted text. ``valid`` says whether the turns' order is one that the machine accepts;
-    conversations that break it are formatted all the same. Null texts and roles are empty; rows without a conv_id
-    are one conversation; turns are ordered by turn (nulls first), role and text, and repeated rows stay. A conversation
+    conversations that break it are formatted all the same. Null texts and roles are empty; each row without a conv_id
+    is a conversation by itself; turns are ordered by turn (nulls first), role and text, and repeated rows stay. A conversation
     is one row of output, so it must fit a row; many equal conversations are separate groups. Other columns are
     ignored. No rows give no rows."""
     template = template or ChatTemplate()
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    grouped = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id")
-    grouped = grouped.agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    grouped = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    grouped = grouped.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("t").alias("turns")))
 
     def segment(x: Column, loss: bool = False) -> Column:
         return F.struct(x.alias("text"), F.lit(loss).alias("loss"))
@@ -130,13 +131,13 @@ def chat_digests(turns: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
          length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) AS escaped
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM c WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -147,5 +148,5 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(coalesce(CASE coalesce(before, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
     WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' END, false)
     AND (after IS NOT NULL OR role = 'assistant')) AS valid
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
