@@ -1,5 +1,6 @@
 """Pure parts of the text operators against plain Python."""
 
+import collections
 import math
 import random
 import re
@@ -43,6 +44,34 @@ def test_shingle_sets():
     assert same == [[shingles(x) == shingles(y) for y in texts] for x in texts]
 
 
+@pytest.mark.parametrize("slots", [1, 7, 4096])
+def test_shared_tokens_are_counted_whatever_a_task_remembers(slots):
+    rng, hot, parts = np.random.default_rng(slots), np.uint64(2**63 + 77), 3
+    tasks = [[words.mix(rng.integers(0, 4000, (rng.integers(1, 9), 12)).astype(np.uint64)) for _ in range(20)] for _ in range(3)]
+    sent, sets, hot_sent = [], {}, 0
+    for t, slices in enumerate(tasks):
+        told = ngram_join.Told(slots)
+        for k, tokens in enumerate(slices):
+            tokens[:, 0] = hot
+            name = (t << 32) + k
+            tokens = [np.unique(x) for x in tokens]
+            rows = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            sets |= {(name, i): set(x.tolist()) for i, x in enumerate(tokens)}
+            sent.append(ngram_join._rows([parts] * len(tokens), name, len(tokens), place=np.arange(len(tokens)), doc_id=np.arange(len(tokens)) + (name << 8)))
+            sent += ngram_join._sent(name, rows, np.concatenate(tokens), parts, told)
+    table = pa.Table.from_batches(sent)
+    low = np.frombuffer(np.array([hot]).tobytes(), dtype=np.uint8)[:5].tobytes()
+    for r in table.filter(pa.compute.is_valid(table["tokens"])).to_pylist():
+        hot_sent += sum(r["tokens"][i : i + 5] == low for i in range(0, len(r["tokens"]), 5))
+    met = pa.Table.from_batches(list(ngram_join._met(table.sort_by("part").to_batches()))).sort_by("slice")
+    got = {}
+    for batch in ngram_join._counted(met.to_batches()):
+        got |= {r["doc_id"]: r["shared"] for r in batch.to_pylist()}
+    many = collections.Counter(x for s in sets.values() for x in s)
+    assert got == {(name << 8) + i: sum(many[x] > 1 for x in s) for (name, i), s in sets.items()}
+    assert hot_sent <= (2 * len(tasks) if slots == 4096 else 60)
+
+
 def test_boundary_moves_with_the_cost_of_lists():
     sizes = {n: 100 for n in range(2, 100)}
     assert ngram_join.boundary(sizes, 0.0) <= ngram_join.boundary(sizes, 5.0) <= ngram_join.boundary(sizes, 50.0)

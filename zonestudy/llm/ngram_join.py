@@ -91,6 +91,29 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 CHUNK = "part int, slice long, place int, doc_id long, text long, n int, half long, more long, rows binary, tokens binary"
 #: Tokens of a part, about; and the row of a token whose sets in the slice are known to share it.
 PART, CREDITED = 1 << 20, 65_535
+#: Tokens that a task remembers to have sent.
+TOLD = 1 << 20
+
+
+class Told:
+    """Tokens that a task has sent, ``TOLD`` at most: a slot for each, kept once its token was sent as one that several sets have."""
+
+    def __init__(self, slots: int = TOLD) -> None:
+        self.token = np.arange(1, slots + 1, dtype=np.uint64)  # none of these belongs in its slot
+        self.shared = np.zeros(slots, dtype=bool)
+
+    def meet(self, values: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the distinct ``values`` of a slice another slice of the task has sent, and which need not be sent again; ``several`` of the slice's sets
+        have them. A token goes at most once with a row and once more without while it is remembered."""
+        slot = (values % np.uint64(len(self.token))).astype(np.int64)
+        before = self.token[slot] == values
+        enough = before & self.shared[slot]
+        self.shared[slot[before]] = True
+        free = ~before & ~self.shared[slot]
+        self.token[slot[free]] = values[free]
+        put = free & (self.token[slot] == values)
+        self.shared[slot[put]] = several[put]
+        return before, enough
 
 
 def _binary(parts: list[bytes | None]) -> pa.Array:
@@ -109,18 +132,23 @@ def _passing(slice_: int, parts: int) -> int:
     return parts + int(mix(np.array([slice_], dtype=np.uint64))[0] % np.uint64(4096))
 
 
-def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Tokens of the slice's rows, by part; each once, with the row if it is the only one. The rows of others are credited here.
+def _sent(slice_: int, row: np.ndarray, tokens: np.ndarray, parts: int, told: Told) -> Iterator[pa.RecordBatch]:
+    """Tokens of the slice's rows, by part; each once, with the row if it is the only one that is known to have it. The rows of others are credited here.
 
-    A token is sent with its last 40 bits; the part has others. Two that look alike count as one, which lets more sets through, never fewer."""
+    What ``told`` remembers from earlier slices of the task is credited, too, and not sent a third time, so a token that every document has makes two
+    entries for each task. A token is sent with its last 40 bits; the part has others. Two that look alike count as one, which lets more sets through, never
+    fewer."""
     values, place, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
-    known = counts[inverse] > 1
+    before, enough = told.meet(values, counts > 1)
+    shared = before | (counts > 1)
+    known = shared[inverse]
     if known.any():
         yield _rows([_passing(slice_, parts)], slice_, 1, rows=[row[known].astype(np.uint16).tobytes()])
+    values, own = values[~enough], np.where(shared, CREDITED, row[place])[~enough]
     part = ((values >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     there, begin = np.unique(part[order], return_index=True)
-    own = np.where(counts > 1, CREDITED, row[place])[order].astype(np.uint16)
+    own = own[order].astype(np.uint16)
     low = np.ascontiguousarray(values[order]).view(np.uint8).reshape(-1, 8)[:, :5]
     ends = [*begin[1:].tolist(), len(order)]
     if len(there):
@@ -208,13 +236,13 @@ def _memberships(docs: DataFrame) -> DataFrame:
     """doc_id, text (its hash), n, half, more (the set) and ``shared`` of every document: how many of its set's first ``sampled`` shingles in the order of hashes
     are among those of other sets, or of copies in other tasks. Of equal sets in a task the first one counts.
 
-    A slice sends each shingle once, in 7 bytes, to one of the parts of all shingles, which grow in number with the text, so a shingle that very
-    many documents have makes one entry for each slice."""
+    A slice sends each shingle once, in 7 bytes, to one of the parts of all shingles, which grow in number with the text; a shingle that very
+    many documents have makes two entries for each task (see ``Told``)."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = 1 + size // (12 * PART)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=np.uint64)
+        seen, told = np.zeros(0, dtype=np.uint64), Told()
         name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             s = shingle_sets(batch.column("text"))
@@ -226,7 +254,7 @@ def _memberships(docs: DataFrame) -> DataFrame:
             seen = np.union1d(seen, own)
             kept = np.where(fresh & (n > 2), sampled(n), 0)  # smaller sets link with equal ones only
             row = np.repeat(np.arange(len(n)), kept)
-            yield from _sent(name, row, s.hashes[np.arange(len(row)) + (s.first[:-1] - np.cumsum(kept) + kept)[row]], parts)
+            yield from _sent(name, row, s.hashes[np.arange(len(row)) + (s.first[:-1] - np.cumsum(kept) + kept)[row]], parts, told)
             name += 1
 
     return _with_shared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(each, CHUNK))
@@ -237,14 +265,14 @@ def _three_quarters(sets: DataFrame) -> DataFrame:
     parts = 1 + (sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // PART
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 32
+        name, told = TaskContext.get().partitionId() << 32, Told()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 held, node = part.column("held"), part.column("node")
                 n = np.diff(held.offsets.to_numpy())
                 yield _rows([_passing(name, parts)] * len(n), name, len(n), place=np.arange(len(n)), doc_id=node, n=n, half=node, more=node)
-                yield from _sent(name, np.repeat(np.arange(len(n)), n), held.flatten().to_numpy().view(np.uint64), parts)
+                yield from _sent(name, np.repeat(np.arange(len(n)), n), held.flatten().to_numpy().view(np.uint64), parts, told)
                 name += 1
 
     left = _with_shared(sets.select("node", "held").mapInArrow(each, CHUNK)).filter(4 * F.col("shared") >= 3 * F.col("n"))
