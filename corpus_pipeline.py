@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id, with all its columns.
 
-    Null and empty texts are linked with nothing and stay; repeated rows with one doc_id stay or go together; rows with a null doc_id stay; no rows
-    give no rows."""
+    Null and empty texts are linked with nothing and stay. Rows of one doc_id go by their own texts. A row with a null doc_id goes where a document with an
+    id is in its group; of a group without ids one row stays. No rows give no rows."""
     return ngram_join.first_of_each(docs)
 
 
