@@ -1,5 +1,7 @@
 """The study on random walks: scoring and visits against plain loops, no look-ahead, calibration, controls."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -176,6 +178,18 @@ def test_placebo_is_that_of_the_loop(bars, events, pdf):
     assert moved > 30
 
 
+def test_placebo_draws_from_short_ids(bars, events):
+    """Ids have all 32 digits of a zone's hash; the moves are drawn from the first 16 and the number of the test, as in the SQL."""
+    u = lambda what, key: int(hashlib.md5(f"placebo {what} 0|{key}".encode()).hexdigest()[:13], 16) / 16**13
+    got = {r.event_id: r.zone_low for r in C.placebo_tests(kept(B.with_bar_seq(bars)), events, 240).collect()}
+    own = [e for e in events.collect() if e.event_id in got]
+    assert len(own) > 30 and all(len(e.zone_id) == 32 for e in own)
+    for e in own:
+        key = f"{e.zone_id[:16]}-{e.test_number}"
+        move = (0.5 + 2.5 * u("size", key)) * e.atr * (-1 if u("side", key) < 0.5 else 1)
+        assert got[e.event_id] == pytest.approx(e.zone_low + move, abs=1e-9)
+
+
 def test_noise_has_no_edge(bars, events):
     rate = G.summarise(E.rescore(events, "fixed"), 0.33, n_boot=200).first()
     assert 0.2 < rate.rate < 0.48 and abs(rate.mean_r) < 0.4 and 0 <= rate.p_value <= 1

@@ -17,6 +17,13 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def draw_key(event_id: Column | str) -> Column:
+    """What an event's id gives to its draws: of the 32 digits of a zone's hash the first 16, and the number of the test. Other ids count whole.
+
+    Ids tell events apart and keep all digits; draws need not differ, and stay those of the shorter ids."""
+    return F.regexp_replace(event_id, "^([0-9a-f]{16})[0-9a-f]{16}-", "$1-")
+
+
 def _rates(scored: DataFrame) -> DataFrame:
     g = scored.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "win").alias("wins"))
     rate, low, high = wilson_interval(F.col("wins"), F.col("n"))
@@ -65,8 +72,9 @@ def placebo_tests(bars: DataFrame, events: DataFrame, max_holding_bars: int, jit
     starts = before.select("symbol", "formed_at", F.coalesce(F.col("seq_before") + 1, F.lit(0)).cast("long").alias("first_seq"))
     ends = bars.groupBy("symbol").agg(F.count("*").alias("bars"))
     e = events.join(starts, ["symbol", "formed_at"]).join(ends, "symbol").filter("first_seq < bars - 2")
-    draw = F.lit(0.5) + uniform(F.lit(f"placebo size {seed}"), "event_id") * F.lit(jitter_atr - 0.5)
-    shift = draw * F.col("atr") * F.when(uniform(F.lit(f"placebo side {seed}"), "event_id") < 0.5, -1).otherwise(1)
+    key = draw_key("event_id")
+    draw = F.lit(0.5) + uniform(F.lit(f"placebo size {seed}"), key) * F.lit(jitter_atr - 0.5)
+    shift = draw * F.col("atr") * F.when(uniform(F.lit(f"placebo side {seed}"), key) < 0.5, -1).otherwise(1)
     e = e.withColumn("_shift", shift).withColumns({"zone_low": F.col("zone_low") + F.col("_shift"), "zone_high": F.col("zone_high") + F.col("_shift")})
     e = e.select("symbol", "event_id", "bias", "zone_low", "zone_high", "atr", "first_seq")
     spread = e.withColumn("_block", F.explode(F.sequence(block(F.col("first_seq")), block(F.col("first_seq") + horizon - 1))))
