@@ -104,6 +104,19 @@ def test_encoder_of_whole_texts_is_the_tokenizer():
     assert encoder(texts) == want
 
 
+def test_encoder_remembers_words_in_use(monkeypatch):
+    monkeypatch.setattr(bitpack, "REMEMBERED", 40)
+    encoder, made = bitpack.WordEncoder(str(public_tokenizers.path("word_bpe_49k.json"))), []
+    texts = [" ".join(["often", *(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[i % 10]}{'uvwxyz'[i // 10]}x," for k in range(10)), "слово", f"№{i}"]) for i in range(60)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    make = encoder.known.make
+    encoder.known.make = lambda w: made.append(w) or make(w)
+    for text, ids in zip(texts, want):
+        assert encoder(pa.array([text])) == [ids] and len(encoder.known) + len(encoder.known.before) <= 40
+    assert made.count(b"often") == 1 == made.count("слово".encode()) and len(made) == 60 * 11 + 2
+    assert encoder(pa.array(texts)) == want and len(encoder.known) + len(encoder.known.before) <= 40
+
+
 def small_pieces():
     ps = ["a", "b", "ab", "ba", "aba", " ", " a", "é"]
     return pieces.Pieces(list(range(3, 3 + len(ps))), [p.encode() for p in ps], [-0.5 * i for i in range(len(ps))], list(range(100, 356)))

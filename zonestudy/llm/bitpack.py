@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import string
+import struct
 import warnings
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache, reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from zonestudy.llm.shared import scratch_path, slices
 
-#: Words whose ids a worker remembers before it starts anew: about 130 MB.
+#: Words whose ids a worker remembers at most: about 130 MB.
 REMEMBERED = 600_000
 
 BLOCK = "part int, block long, bits int, first_id long, last_id long, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
@@ -46,14 +48,31 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return ((words >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class Remembered(dict):
+    """What ``make`` gives for keys, worked out once for as long as it is remembered. There are never more than ``limit`` entries: once half as many have
+    come or been used again, those that weren't in that time are forgotten."""
+
+    def __init__(self, make: Callable[[Any], bytes], limit: int) -> None:
+        self.make, self.half, self.before = make, limit // 2, {}
+
+    def __missing__(self, key: Any) -> bytes:
+        found = self.before.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.before = self.copy()
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space (checked on samples): each distinct word is encoded once.
+    """Ids of texts by a tokenizer that never joins across ASCII white space (checked on samples): each distinct word is encoded once, as far as
+    words are remembered.
 
     Most words are letters and punctuation after them, which the tokenizer takes apart; those of Latin letters go to its model
-    directly, lower-cased and in its alphabet of bytes, each letter part once. All others are encoded many at a time, with a word of one id
-    between them that none of them holds."""
+    directly, lower-cased and in its alphabet of bytes, each letter part once. All others go through the whole tokenizer."""
 
-    BETWEEN = "|"
     SAMPLES = ("a", "the", "don't", "É1", "x,y.", "(", "'s", "12", "<|", "|>")
     #: ASCII punctuation but the apostrophe, which can begin a part of letters.
     MARKS = string.punctuation.replace("'", "")
@@ -62,14 +81,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        found = self._encode(self.BETWEEN)
-        self.between = found[0] if len(found) == 1 else None
+        self.known = Remembered(self._word, REMEMBERED)
+        self.letters = Remembered(self._letters, REMEMBERED // 2)
+        self.marks = Remembered(lambda tail: self._encode(tail).tobytes(), 10_000)
         for a in self.SAMPLES:
             for b in self.SAMPLES:
                 if self._encode(f"{a} \t{b}").tolist() != [*self._encode(a), *self._encode(b)]:
                     raise ValueError(f"{file} joins {a!r} and {b!r} across white space")
+        self.direct = True
         self.direct = self._is_direct()
 
     def _is_direct(self) -> bool:
@@ -79,61 +98,32 @@ class WordEncoder:
         letters = [chr(i) for i in range(256) if chr(i).isalpha()]
         words = [a + b + "ing" + m for a, b in zip(letters, reversed(letters), strict=True) for m in (".", "$$$", "-_", "")] + [f"Ab{m}" for m in self.MARKS]
         try:
-            return level is not None and all(self._apart(w, *self._cut(w)) == self._encode(w).tobytes() for w in words)
+            return level is not None and all(self._word(w.encode()) == self._encode(w).tobytes() for w in words)
         except Exception as e:  # another kind of model: all words go through the tokenizer
             warnings.warn(f"{e}: words are encoded whole", stacklevel=2)
             return False
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
-        words = [(x or b"").split() for x in texts.cast(pa.large_binary()).to_pylist()]
-        fresh = set().union(*words) - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, self.parts = {}, {}
-            fresh = set().union(*words)
-        rest = []
-        for word in fresh:
-            text = word.decode()
-            head, tail = self._cut(text)
-            if self.direct and head.isalpha() and max(head) < "\u0100":
-                self.known[word] = self._apart(text, head, tail)
-            elif self.between is not None and self.BETWEEN not in text:
-                rest.append(word)
-            else:
-                self.known[word] = self._encode(text).tobytes()
-        for at in range(0, len(rest), 2048):
-            self._learn(rest[at : at + 2048])
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
-
-    def _cut(self, word: str) -> tuple[str, str]:
-        head = word.rstrip(self.MARKS)
-        return head, word[len(head) :]
-
-    def _apart(self, word: str, head: str, tail: str) -> bytes:
-        head = head.lower()
-        ids = self.parts.get(head)
-        if ids is None:
-            spelled = head if head.isascii() else head.translate(self.alphabet)
-            ids = self.parts[head] = np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if not tail:
-            return ids
-        end = self.parts.get(tail)
-        if end is None:
-            end = self.parts[tail] = self._encode(tail).tobytes()
-        return ids + end
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, x.split())) if x else b"" for x in texts.cast(pa.large_binary()).to_pylist()]
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        head = text.rstrip(self.MARKS)
+        if not self.direct or not head.isalpha() or not (head.isascii() or max(head) < "\u0100"):
+            return self._encode(text).tobytes()
+        ids = self.letters[head.lower()]
+        return ids if len(head) == len(text) else ids + self.marks[text[len(head) :]]
+
+    def _letters(self, head: str) -> bytes:
+        spelled = head if head.isascii() else head.translate(self.alphabet)
+        ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = self._encode(f" {self.BETWEEN} ".join(w.decode() for w in words))
-        cuts = np.flatnonzero(ids == self.between)
-        if len(cuts) == len(words) - 1:
-            held = ids.tobytes()
-            self.known.update(zip(words, [held[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(held)], strict=True)], strict=True))
-        else:
-            self.known.update((w, self._encode(w.decode()).tobytes()) for w in words)
-
 
 @lru_cache(maxsize=1)
 def _encoder(file: str) -> WordEncoder:
